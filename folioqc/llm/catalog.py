@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioqc.llm import bpe_tree, exact_dedup, jaccard, line_quality, mixing, sstable
+from folioqc.llm import bpe_tree, exact_dedup, html_main, jaccard, language, line_quality, mixing, pii, sstable, toxicity
 from folioqc.llm.common import table
 from folioqc.llm.oracles import ORACLES  # noqa: F401
 
 END_ID = 2
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_texts(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_tree.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
@@ -43,6 +55,14 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lstm_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_token_shards, op4_mix_sources, op7_bpe_tree, op8_ngram_jaccard, op9_line_quality)
+    f.__name__: f
+    for f in (
+        op1_skip_chain_pii, op2_exact_dedup, op3_token_shards, op4_mix_sources, op5_pu_toxicity,
+        op6_gru_language, op7_bpe_tree, op8_ngram_jaccard, op9_line_quality, op10_lstm_html,
+    )
 }
