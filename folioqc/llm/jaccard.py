@@ -42,6 +42,8 @@ STAR_ROUNDS = 3
 #: Bytes of packed signatures that one bucket holds, and entries that a task sends at once.
 BUCKET_BYTES = 24 << 20
 FLUSH_ENTRIES = 1 << 20
+#: Sets of a block that ask, sets they meet at a time, and parts of a signature's holder list.
+BLOCK_SETS, CHUNK_SETS, PIECES = 256, 4096, 8
 #: A list of identifiers is broadcast up to this many rows, and shuffled beyond.
 BROADCAST_ROWS = 2_000_000
 
@@ -316,31 +318,88 @@ def _links(spark: SparkSession, single: DataFrame, shared: DataFrame, sets: Data
     items = cut(_sets_of(_only(single, cut(members.select("doc_id").distinct(), "in-buckets"))), "sets-of")
 
     links = done = None
-    for turn in range(STAR_ROUNDS + 1):
-        if links is None:
-            marked = members.withColumn("component", F.col("doc_id"))
-        else:
-            labels = components(spark, links).withColumnRenamed("node", "doc_id")
-            marked = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("centre")).where("lo <> hi").select("sig", "centre")
-        apart = marked.join(spans, "sig")
-        if turn < STAR_ROUNDS:
-            pairs = (
-                apart.where("component <> centre.component")
-                .where(_sizes_allow(F.col("n_shingles"), F.col("centre.n_shingles")))
-                .groupBy("doc_id").agg(F.min("centre.doc_id").alias("other"))
-            )
-        else:
-            seekers = probes.join(marked, ["doc_id", "sig"]).join(spans.select("sig"), "sig", "left_semi").select("sig", F.col("doc_id").alias("other"), F.col("component").alias("component2"), F.col("n_shingles").alias("n2"))
-            pairs = apart.join(seekers, "sig").where("component <> component2").where(_sizes_allow(F.col("n_shingles"), F.col("n2"))).select("doc_id", "other")
-        pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    for turn in range(STAR_ROUNDS):
+        marked = _marked(spark, members, links)
+        chosen = F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id"))
+        spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), chosen.alias("centre")).where("lo <> hi").select("sig", "centre")
+        pairs = (
+            marked.join(spans, "sig")
+            .where("component <> centre.component")
+            .where(_sizes_allow(F.col("n_shingles"), F.col("centre.n_shingles")))
+            .groupBy("doc_id").agg(F.min("centre.doc_id").alias("other"))
+            .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        )
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tried = cut(_verified(cut(pairs, "pairs"), items), "verified")
         new = tried.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         done = tried.select("a", "b") if done is None else done.union(tried.select("a", "b"))
-    return links
+    return links.union(_rest(_marked(spark, members, links), probes, items))
+
+
+def _marked(spark: SparkSession, members: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is None:
+        return members.withColumn("component", F.col("doc_id"))
+    labels = components(spark, links).withColumnRenamed("node", "doc_id")
+    return cut(members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "marked")
+
+
+def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
+    """Links (a, b) between components that still share a signature which one of them looked up.
+
+    Sets that look up are put in blocks of about BLOCK_SETS by their most crowded signature. A
+    block meets every set that holds one of its signatures, in chunks of about CHUNK_SETS, as sets
+    of a stated query against all others: no row is made for a pair, and a set goes to a block
+    once, however many signatures it has in common with it. Holder lists travel in pieces.
+    """
+    spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
+    apart = cut(marked.join(spans, "sig"), "apart")
+    seekers = probes.join(apart, ["doc_id", "sig"]).select("doc_id", "sig", "n", "component")
+    home = seekers.groupBy("doc_id").agg(F.max_by("sig", F.struct("n", "sig")).alias("home"), F.first("component").alias("component"))
+    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    placed = cut(home.join(crowd, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).alias("block")), "blocks")
+    wanted = seekers.select("doc_id", "sig").join(placed.select("doc_id", "block"), "doc_id").select("block", "sig").distinct()
+    pieces = apart.select("sig", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).alias("piece")).groupBy("sig", "piece").agg(F.collect_list("doc_id").alias("docs"))
+
+    def unite(key: tuple, lists: pa.Table) -> pa.Table:
+        found = np.unique(np.concatenate([c.values.to_numpy(zero_copy_only=False) for c in lists["docs"].chunks]))
+        return pa.table([pa.array(np.full(len(found), key[0].as_py()), pa.int64()), pa.array(found, pa.int64())], ["block", "doc_id"])
+
+    met = cut(wanted.join(pieces, "sig").select("block", "piece", "docs").groupBy("block", "piece").applyInArrow(unite, "block bigint, doc_id bigint"), "met")
+    chunks = met.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("chunks"))
+    ys = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", F.lit(False).alias("asks"))
+    xs = placed.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(True).alias("asks"))
+    component = apart.select("doc_id", "component").distinct()
+    rows = ys.union(xs).join(component, "doc_id").join(items, "doc_id").select("block", "chunk", "doc_id", "asks", "component", "items")
+    return rows.groupBy("block", "chunk").applyInArrow(_meet_all, "a bigint, b bigint")
+
+
+def _meet_all(rows: pa.Table) -> pa.Table:
+    """One link (a, b) for each asking set and component that it is linked with, by exact counts."""
+    rows = rows.combine_chunks()
+    asks = rows["asks"].to_numpy()
+    ids, parts = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
+    column = rows["items"].chunk(0) if rows["items"].num_chunks else pa.array([], pa.list_(pa.int64()))
+    ends = column.offsets.to_numpy()
+    values, size = column.values.to_numpy(zero_copy_only=False), np.diff(ends)
+    held = np.flatnonzero(~asks)
+    flat = np.concatenate([values[ends[k] : ends[k + 1]] for k in held]) if len(held) else values[:0]
+    owner = np.repeat(np.arange(len(held)), size[held])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    a, b = [], []
+    for k in np.flatnonzero(asks):
+        mine = values[ends[k] : ends[k + 1]]
+        lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(held))
+        ok = np.flatnonzero((both * 100 >= (size[k] + size[held] - both) * THRESHOLD) & (parts[held] != parts[k]))
+        _, first = np.unique(parts[held][ok], return_index=True)
+        a += [int(ids[k])] * len(first)
+        b += ids[held][ok][first].tolist()
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _sizes_allow(x, y):
