@@ -12,11 +12,12 @@ from folioqc.llm.common import cut, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without boilerplate lines; n_chars follows the new text."""
-    judged = line_quality.verdicts(docs).where("kept")
-    cleaned = judged.withColumn("text", F.col("clean_text"))
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
+    judged = line_quality.verdicts(packed).where("kept")
+    new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(docs.columns)
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return judged.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

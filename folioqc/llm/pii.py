@@ -281,8 +281,8 @@ def training_graphs(texts: list[str], rng: np.random.Generator) -> list[tuple[Gr
         if rng.random() < 0.7:
             other, k = spare[rng.integers(0, len(spare))]
             nodes.append((int(rng.integers(0, len(text) + 1)), -1, degrade(other, k, rng), " ", " ", -1, 0))
-        if rng.random() < 0.5:
-            number = "".join(map(str, rng.integers(0, 10, int(rng.integers(7, 18)))))
+        for _ in range(int(rng.integers(1, 5))):
+            number = "".join(map(str, rng.integers(0, 10, int(rng.choice((7, 8, 9, 10, 10, 11, 12, 16, 17))))))
             nodes.append((int(rng.integers(0, len(text) + 1)), -1, number, " ", " ", -1, 0))
         spare += [(text[a:b], k) for a, b, k in base[:2]]
         nodes.sort(key=lambda n: n[:2])
