@@ -25,8 +25,8 @@ from folioqc.llm.common import crc_fold, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of the learning sample, in documents, chosen by a digest of their identifiers.
-MAX_POSITIVE = 4000
-MAX_UNLABELLED = 8000
+MAX_POSITIVE = 2500
+MAX_UNLABELLED = 5000
 #: Share of toxic documents in unlabelled text that the risk assumes.
 PRIOR = 0.10
 MAX_FEATURES = 4000
