@@ -17,6 +17,8 @@ order, nulls last. A value is the identifiers as u16 if all fit, else as u32, af
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import struct
 import uuid
 import zlib
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,7 +43,7 @@ BLOOM_BITS = 10
 BLOOM_PROBES = 7
 FOOTER = struct.Struct("<QIQIIQQ8s")
 INDEX = struct.Struct(f"<{KEY_BYTES}sQI")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 
 def make_key(doc_id: int | None, nth: int = 0) -> bytes:
@@ -171,33 +174,62 @@ class WordEncoder:
     """Whole-text encoding with the tokenizers library, through a bounded memo of spaced words.
 
     The library's byte-level pre-tokenizer always splits before a space that follows a non-space,
-    so a text without white space next to white space around a space may be encoded piece by
-    piece at its spaces. Any other text goes to the library as a whole.
+    between a letter and a mark, and around a line end between non-spaces. So a text without white
+    space next to white space around a space may be encoded piece by piece at these places. Any
+    other text goes to the library as a whole. Of a batch's pieces each distinct one is looked up
+    once.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        import os
-        import re
+    #: White space of any library here, and the texts that must stay whole.
+    SPACE = r"\s\x0b\x1c-\x1f\x{85}\pZ"
+    WHOLE = rf"<\||\x00|\A |[{SPACE}] [{SPACE}]|[{SPACE}]\z"
+    CUTS = ((r"([a-z])([.,;:!?])", "\\1\0\\2"), (rf"([^{SPACE}])\n([A-Za-z])", "\\1\0\n\0\\2"))
 
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.uneven = re.compile(r"\s \s")
         self.memo = _Memo(self.tokenizer)
         self.memo_words = memo_words
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def encode(self, text: str) -> bytes:
-        """Identifiers of a text as packed u32."""
-        if "\0" in text or "<|" in text or text[:1] == " " or text[-1:].isspace() or self.uneven.search(text):
-            return self.whole(text)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Identifiers (u32) of each of an array of texts without nulls."""
+        if not len(texts):
+            return []
         if len(self.memo) > self.memo_words:
             self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        spaced = iter(self._spaced(texts.filter(pc.invert(whole))))
+        return [self.whole(texts[i].as_py()) if w else next(spaced) for i, w in enumerate(whole.to_pylist())]
+
+    def _spaced(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        marked = pc.replace_substring(texts, " ", "\0 ")
+        for pattern, cut_there in self.CUTS:
+            marked = pc.replace_substring_regex(marked, pattern, cut_there)
+        split = pc.split_pattern(marked, "\0")
+        offsets = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        at = coded.indices.to_numpy()
+        packed = [self.memo[w] for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        start = np.cumsum(size) - size
+        n = size[at]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(packed), "<u4")[np.repeat(start[at] - (end - n), n) + np.arange(end[-1])]
+        return np.split(ids, end[offsets[1:-1] - 1])
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, memo_words: int) -> WordEncoder:
+    """The encoder of a worker process, kept for its next tasks."""
+    return WordEncoder(path, memo_words)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, memo_words: int = MEMO_WORDS) -> DataFrame:
@@ -209,13 +241,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     shard. Null texts are empty; null identifiers sort last; repeated identifiers keep one entry
     each, ordered by text.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 1000, 4 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, memo_words)
+        encoder = _encoder(tokenizer_path, memo_words)
         store, root = fs.FileSystem.from_uri(folder)
         part, shard, rows = TaskContext.get().partitionId(), 0, []
-        tail = np.asarray([end_id], "<u4").tobytes()
+        tail = np.asarray([end_id], "<u4")
         stream = writer = None
         last, nth = (), 0
 
@@ -231,15 +263,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(ids, batch.column(1).to_pylist()):
-                packed = encoder.encode(text or "")
+            for doc_id, encoded in zip(ids, encoder.encode(batch.column(1))):
                 if writer is None:
                     temporary = f"{root}/attempt-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(temporary)
                     writer = ShardWriter(stream)
                 nth = nth + 1 if last == (doc_id,) else 0
                 last = (doc_id,)
-                writer.add(make_key(doc_id, nth), np.frombuffer(packed + tail, "<u4"))
+                writer.add(make_key(doc_id, nth), np.concatenate([encoded, tail]))
                 if writer.ids >= SHARD_IDS:
                     close()
         if writer is not None:
