@@ -348,25 +348,39 @@ def _marked(spark: SparkSession, members: DataFrame, links: DataFrame | None) ->
 def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
     """Links (a, b) between components that still share a signature which one of them looked up.
 
-    Sets that look up are put in blocks of about BLOCK_SETS by their most crowded signature. A
-    block meets every set that holds one of its signatures, in chunks of about CHUNK_SETS, as sets
+    Sets that look up are put in blocks of about BLOCK_SETS: those of a component with so many
+    together, in blocks that leave out its other members; else those whose most crowded signature
+    is the same, if they are so many; else those whose most crowded signatures have about as many
+    holders, as holders of crowded signatures are often the same sets.
+    A block meets every set that holds one of its signatures, in chunks of about CHUNK_SETS, as sets
     of a stated query against all others: no row is made for a pair, and a set goes to a block
     once, however many signatures it has in common with it. Holder lists travel in pieces.
     """
     spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
     apart = cut(marked.join(spans, "sig"), "apart")
     seekers = probes.join(apart, ["doc_id", "sig"]).select("doc_id", "sig", "n", "component")
-    home = seekers.groupBy("doc_id").agg(F.max_by("sig", F.struct("n", "sig")).alias("home"), F.first("component").alias("component"))
-    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
-    placed = cut(home.join(crowd, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).alias("block")), "blocks")
-    wanted = seekers.select("doc_id", "sig").join(placed.select("doc_id", "block"), "doc_id").select("block", "sig").distinct()
-    pieces = apart.select("sig", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).alias("piece")).groupBy("sig", "piece").agg(F.collect_list("doc_id").alias("docs"))
+    home = seekers.groupBy("doc_id").agg(F.max_by("sig", F.struct("n", "sig")).alias("home"), F.max("n").alias("n"), F.first("component").alias("component"))
+    large = home.groupBy("component").count().where(F.col("count") >= BLOCK_SETS).select("component", F.col("component").alias("own"))
+    crowded = home.groupBy("home").count().where(F.col("count") >= BLOCK_SETS).select("home", F.lit(True).alias("crowded"))
+    band = F.floor(F.log2("n")).cast("long")
+    kind = F.when(F.col("own").isNotNull(), "component").when(F.col("crowded"), "signature").otherwise("band")
+    seated = home.join(large, "component", "left").join(crowded, "home", "left").select("doc_id", "component", "own", "home", kind.alias("kind"), F.coalesce("own", F.when(F.col("crowded"), F.col("home")), band).alias("name"))
+    crowd = seated.groupBy("kind", "name").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    dealt = F.pmod(F.xxhash64(F.when(F.col("kind") == "band", F.col("home")).otherwise(F.col("doc_id"))), F.col("blocks"))
+    placed = cut(seated.join(crowd, ["kind", "name"]).select("doc_id", "component", "own", F.xxhash64("kind", "name", dealt).alias("block")), "blocks")
+    wanted = seekers.select("doc_id", "sig").join(placed.select("doc_id", "block", "own"), "doc_id").select("block", "own", "sig").distinct()
+    pieces = apart.select("sig", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).alias("piece")).groupBy("sig", "piece").agg(F.collect_list(F.struct("doc_id", "component")).alias("docs"))
 
     def unite(key: tuple, lists: pa.Table) -> pa.Table:
-        found = np.unique(np.concatenate([c.values.to_numpy(zero_copy_only=False) for c in lists["docs"].chunks]))
+        own = lists["own"][0].as_py()
+        parts = []
+        for c in lists["docs"].chunks:
+            ids, component = (x.to_numpy(zero_copy_only=False) for x in c.flatten().flatten())
+            parts.append(ids if own is None else ids[component != own])
+        found = np.unique(np.concatenate(parts))
         return pa.table([pa.array(np.full(len(found), key[0].as_py()), pa.int64()), pa.array(found, pa.int64())], ["block", "doc_id"])
 
-    met = cut(wanted.join(pieces, "sig").select("block", "piece", "docs").groupBy("block", "piece").applyInArrow(unite, "block bigint, doc_id bigint"), "met")
+    met = cut(wanted.join(pieces, "sig").select("block", "piece", "own", "docs").groupBy("block", "piece").applyInArrow(unite, "block bigint, doc_id bigint"), "met")
     chunks = met.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("chunks"))
     ys = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", F.lit(False).alias("asks"))
     xs = placed.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(True).alias("asks"))
