@@ -1,7 +1,7 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
 Base patterns give fixed spans. Mentions that no base span covers (words with an at sign, runs of
-digits) and the base spans of a document are the nodes of a random field: neighbours along the
+digits, cut where two numbers stand side by side) and the base spans of a document are the nodes of a random field: neighbours along the
 text share chain potentials, and mentions that are the same or similar (equal text, equal digits,
 equal last digits, equal local part of an address), however far apart, share skip potentials.
 Loopy message passing makes their labels agree, so a number written without its prefix is found
@@ -11,6 +11,7 @@ base spans and degraded copies of them.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"\S+")
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])*")
+#: Where a block of 12 digits or more stands beside other digits, a run is two mentions.
+GLUE = re.compile(r"(?<=[0-9]{12}) +(?=[+(0-9])|(?<=[0-9]) +(?=[0-9]{12})")
 
 #: Digits that an uncovered run must have to be a mention, and kept spans' marginal.
 MIN_DIGITS, MIN_MARGINAL = 7, 0.5
@@ -170,25 +173,56 @@ def build(mentions: list[tuple[int, int, str, str, str]], observed: list[int]) -
     return Graph([(m[0], m[1]) for m in mentions], features, np.asarray(observed, np.int64), chain, np.asarray(skip, np.int64).reshape(-1, 2), np.asarray(kind, np.int64))
 
 
+def gaps(a: int, b: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What is left of (a, b) outside of disjoint ascending spans."""
+    for k in range(bisect.bisect_right(ends, a), len(starts)):
+        if starts[k] >= b:
+            break
+        if starts[k] > a:
+            yield a, starts[k]
+        a = max(a, ends[k])
+    if a < b:
+        yield a, b
+
+
+def number_mentions(text: str, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of digits outside of base spans, cut where two numbers only stand side by side.
+
+    A base pattern takes a phone and a card with one space between for one number and drops it."""
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < MIN_DIGITS:
+            continue
+        for lo, hi in gaps(run.start(), run.end(), starts, ends):
+            for part in RUN.finditer(text, lo, hi):
+                at = part.start()
+                for a, b in [*(g.span() for g in GLUE.finditer(text, at, part.end())), (part.end(), part.end())]:
+                    if a - at >= MIN_DIGITS and len(_digits(text[at:a])) >= MIN_DIGITS:
+                        yield at, a
+                    at = b
+
+
 def open_mentions(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Mentions that no base span touches."""
+    starts, ends = [], []
+    for a, b, _ in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     found = []
     if "@" in text:
         for m in WORD.finditer(text):
             if "@" in m[0]:
                 a = m.start() + len(m[0]) - len(m[0].lstrip("(<[{\"'*#$%&!"))
                 b = m.end() - len(m[0]) + len(m[0].rstrip(")>]}\"'*#$%&!.,;:"))
-                if b - a > 2:
+                if b - a > 2 and next(gaps(a, b, starts, ends), None) == (a, b):
                     found.append((a, b))
-    found += [(m.start(), m.end()) for m in RUN.finditer(text) if m.end() - m.start() >= MIN_DIGITS and len(_digits(m[0])) >= MIN_DIGITS]
+    found += number_mentions(text, starts, ends)
     found.sort()
-    out, k, free = [], 0, 0
-    reach = 0
+    out, free = [], 0
     for a, b in found:
-        while k < len(base) and base[k][0] < b:
-            reach = max(reach, base[k][1])
-            k += 1
-        if a >= free and a >= reach:
+        if a >= free:
             out.append((a, b))
             free = b
     return out
@@ -267,8 +301,9 @@ def degrade(text: str, kind: int, rng: np.random.Generator) -> str:
 
 
 def training_graphs(texts: list[str], rng: np.random.Generator) -> list[tuple[Graph, np.ndarray]]:
-    """Documents' mentions with degraded copies of some base spans (labelled as these), degraded
-    spans of other documents without support and similar-looking numbers (labelled none)."""
+    """Documents' mentions with degraded copies of some base spans (labelled as these), whole cards
+    and phones as they are where two numbers were cut apart (labelled as these), degraded spans of
+    other documents without support and similar-looking numbers (labelled none)."""
     made, spare = [], [("+1 (555) 010-1234", 3), ("4111111111111111", 2), ("10.20.30.40", 1), ("ab.c@mail.example.com", 0)]
     for text in texts:
         base = base_spans(text)
@@ -278,11 +313,16 @@ def training_graphs(texts: list[str], rng: np.random.Generator) -> list[tuple[Gr
         for a, b, k in base:
             if rng.random() < 0.6:
                 nodes.append((int(rng.integers(0, len(text) + 1)), -1, degrade(text[a:b], k, rng), " ", " ", -1, k + 1))
+        whole, k = spare[rng.integers(0, len(spare))]
+        if k > 1 and rng.random() < 0.7:
+            nodes.append((int(rng.integers(0, len(text) + 1)), -1, whole, " ", " ", -1, k + 1))
         if rng.random() < 0.7:
             other, k = spare[rng.integers(0, len(spare))]
             nodes.append((int(rng.integers(0, len(text) + 1)), -1, degrade(other, k, rng), " ", " ", -1, 0))
         for _ in range(int(rng.integers(1, 5))):
             number = "".join(map(str, rng.integers(0, 10, int(rng.choice((7, 8, 9, 10, 10, 11, 12, 16, 17))))))
+            if len(number) >= 14 and luhn(number):
+                continue
             nodes.append((int(rng.integers(0, len(text) + 1)), -1, number, " ", " ", -1, 0))
         spare += [(text[a:b], k) for a, b, k in base[:2]]
         nodes.sort(key=lambda n: n[:2])

@@ -262,6 +262,17 @@ def test_skip_edges_carry_labels():
     assert [text[a:b] for a, b, _ in spans] == ["+1 (743) 555-3824", "7435553824"] and len(base) == 1 and not alone
 
 
+def test_numbers_side_by_side_are_cut_apart():
+    phone, card, ip = "+1 (269) 555-3296", "4524132264652876", "70.123.182.155"
+    assert pii.luhn(card)
+    field = pii.train([f"a {phone} b {card} c {ip} d" for _ in range(200)])
+    for first, second, kinds in ((phone, card, (3, 2)), (card, ip, (2, 1)), (ip, card, (1, 2)), (phone, ip, (3, 1))):
+        text = f"see {first} {second} here"
+        ((base, spans),) = pii.label(field, [text])
+        assert set(base) <= set(spans) and [(text[a:b], k) for a, b, k in spans] == list(zip((first, second), kinds)), text
+    assert pii.label(field, ["id 4524132264652877 12 token 89e7068c0026514394582020 and 1234567"]) == [([], [])]
+
+
 def test_classifiers_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
