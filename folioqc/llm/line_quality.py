@@ -106,7 +106,7 @@ def boilerplate(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SH
 def verdicts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
     """docs with the base columns, clean_text (without boilerplate lines), n_words_left and kept.
 
-    A null text is empty and fails the base rules; a null source is a host of its own. Each row is
+    A null text is empty and fails the base rules; null and empty sources are one host. Each row is
     judged on its own, so repeated rows get the same verdict. The boilerplate list is gathered as
     one sorted list for each host and joined on the host; it is no longer than
     1 / share lines for each line position of a document, whatever the number of documents.
