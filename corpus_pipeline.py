@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from folioqc.llm import bpe_tree, exact_dedup, jaccard, line_quality, mixing
 from folioqc.llm.common import cut, table
 
+#: A line that more distinct texts of its host hold is boilerplate, however large the host is.
+LINE_CEILING = 1000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without boilerplate lines; n_chars follows the new text."""
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
-    judged = line_quality.verdicts(packed).where("kept")
+    judged = line_quality.verdicts(packed, ceiling=LINE_CEILING).where("kept")
     new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)

@@ -22,12 +22,26 @@ LINE_FLOOR = 20
 LINE_SHARE = 0.10
 #: A document is depleted when fewer words than MIN_WORDS and than this share are left.
 LEFT_SHARE = 0.5
+#: Tasks that one very common line or text is dealt to.
+SALTS = 8
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _text_key() -> Column:
+    return F.xxhash64(_text(), F.length(_text()))
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALTS)))))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
@@ -87,36 +101,53 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE) -> DataFrame:
-    """host, line (hash) of lines above the limit of their host.
+def host_lines(docs: DataFrame) -> DataFrame:
+    """host, text_key and lines (hashes) of the distinct texts of each host."""
+    hashed = F.array_distinct(F.transform(F.filter(F.split(_text(), "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(normal_line(x))))
+    return docs.select(_host().alias("host"), hashed.alias("lines"), _text_key().alias("text_key")).dropDuplicates(["host", "text_key"])
 
-    A text counts once for each host however many rows hold it. Counts are summed before the
-    shuffle, so a hot host or line sends a number, not its rows.
+
+def boilerplate(distinct: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, ceiling: int | None = None) -> DataFrame:
+    """host, line (hash) of lines above the limit of their host; distinct is as host_lines gives it.
+
+    The limit is floor and the share of the host's texts, but never more than ceiling if one is
+    given. A text counts once for each host however many rows hold it. Counts are summed before
+    the shuffle, so a hot host or line sends a number, not its rows.
     """
-    text = _text()
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    hashed = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(normal_line(x))))
-    distinct = docs.select(host.alias("host"), hashed.alias("lines"), F.xxhash64(text, F.length(text)).alias("text_key")).dropDuplicates(["host", "text_key"])
-    distinct = cut(distinct, "host-lines")
     size = distinct.groupBy("host").agg(F.count("*").alias("n_host"))
     counts = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > floor)
-    return counts.join(size, "host").where(F.col("n") > F.col("n_host") * share).select("host", "line")
+    above = F.col("n") > F.col("n_host") * share
+    if ceiling is not None:
+        above = above | (F.col("n") > ceiling)
+    return counts.join(size, "host").where(above).select("host", "line")
+
+
+def heavy_lines(distinct: DataFrame, heavy: DataFrame) -> DataFrame:
+    """host, text_key, heavy: the boilerplate lines of each text that has any."""
+    lines = distinct.select("host", "text_key", F.explode("lines").alias("line")).withColumn("salt", F.pmod("text_key", F.lit(SALTS)))
+    return lines.join(_salted(heavy), ["host", "line", "salt"]).groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
 
 
-def verdicts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def verdicts(
+    docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, left_share: float = LEFT_SHARE, ceiling: int | None = None
+) -> DataFrame:
     """docs with the base columns, clean_text (without boilerplate lines), n_words_left and kept.
 
     A null text is empty and fails the base rules; null and empty sources are one host. Each row is
-    judged on its own, so repeated rows get the same verdict. The boilerplate list is gathered as
-    one sorted list for each host and joined on the host; it is no longer than
-    1 / share lines for each line position of a document, whatever the number of documents.
+    judged on its own, so repeated rows get the same verdict. Boilerplate is a table of (host, line)
+    rows: it meets the lines of the distinct texts, and a row gets only the heavy lines of its own
+    text, so neither the limit nor the number of boilerplate lines bounds what a row carries. Both
+    joins are salted, so a line or a text that very many rows hold is dealt to SALTS tasks.
     """
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    heavy = boilerplate(docs, floor, share).groupBy("host").agg(F.collect_set("line").alias("heavy"))
-    heavy = cut(heavy.select(F.col("host").alias("__host"), F.col("heavy").alias("__heavy")), "boilerplate")
-    joined = base_rules(docs).join(heavy, host == F.col("__host"), "left")
+    distinct = cut(host_lines(docs), "host-lines")
+    heavy = cut(boilerplate(distinct, floor, share, ceiling), "boilerplate")
+    marks = _salted(cut(heavy_lines(distinct, heavy), "heavy-lines"))
+    marks = marks.select(*(F.col(c).alias(f"__{c}") for c in ("host", "text_key", "heavy", "salt")))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    same = (_host() == F.col("__host")) & (_text_key() == F.col("__text_key")) & (salt == F.col("__salt"))
+    joined = base_rules(docs).join(marks, same, "left")
     kept_lines = F.filter(F.split(_text(), "\n"), lambda x: ~F.array_contains(F.col("__heavy"), F.xxhash64(normal_line(x))))
     clean = F.when(F.col("__heavy").isNull(), _text()).otherwise(F.array_join(kept_lines, "\n"))
     judged = joined.withColumn("clean_text", clean).withColumn("n_words_left", word_count(F.col("clean_text")))
     depleted = (F.col("n_words_left") < MIN_WORDS) & (F.col("n_words_left") < F.col("n_words") * left_share)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__host", "__heavy")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__host", "__text_key", "__heavy", "__salt")

@@ -329,3 +329,21 @@ def test_pipeline_against_its_stages(spark):
     assert set(c) == {i for i, (_, k) in brute_components(list(b.items())).items() if i == k}
     out = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id for r in out} <= set(c) and all(r.decoded_sha256 == hashlib.sha256(c[r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_limit_of_a_large_host_is_bounded(spark):
+    """A line that more documents of a large host hold than the ceiling is boilerplate below the share too."""
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    big = [(i, f"{prose(i)}\n{'Shared  LINE' if i % 2 else 'shared line'}" if i < 40 else prose(i), "big") for i in range(600)]
+    rows = spark.createDataFrame([*big, big[0], (None, big[1][1], "big"), (1000, "x " + prose(1) + "\nshared line", None)], "doc_id long, text string, source string")
+    by_share = line_quality.verdicts(rows).where("lower(clean_text) like '%shared%line'").count()
+    left = [r for r in line_quality.verdicts(rows, ceiling=30).collect() if r.clean_text.lower().endswith("line")]
+    assert by_share == 43 and [r.doc_id for r in left] == [1000]
+
+
+def test_pipeline_bounds_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "LINE_CEILING", 30)
+    made = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + ("\nshared line" if i < 40 else ""), "big") for i in range(600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    kept = corpus_pipeline.quality(spark, docs, FOLDER).collect()
+    assert len(kept) == 600 and not any("shared" in r.text for r in kept)
