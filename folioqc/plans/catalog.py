@@ -549,6 +549,21 @@ def fn15_flt10_wn5_comments(s, d):
     return report.comments(raw).select("slide", "summary", "note")
 
 
+@query(f"""{_F}, c as (select slide, bool_or(type = 'wrong_color') as colour from f group by slide), s as (select c_custkey as slide from customer union select slide from c)
+ select s.slide, case when c.slide is not null then 'AI review findings' end as summary,
+ case when colour then 'AI review findings' || chr(10) || '- Wrong COLOR of the title' || chr(10) || '- Text differs' when c.slide is not null then 'AI review findings' || chr(10) || '- Text differs' end as note
+ from s left join c on s.slide is not distinct from c.slide""")
+def fn15_wn5_all_comments(s, d):
+    """As fn15_flt10_wn5_comments over every finding, with a row of nulls for a customer's slide without any."""
+    f = V.findings(s, d).groupBy("slide").agg(F.collect_set("type").alias("types"), F.lit(True).alias("found"))
+    slides = V.table(s, d, "customer").select(F.col("c_custkey").alias("slide")).union(f.select("slide")).distinct()
+    joined = slides.alias("s").join(f.alias("f"), F.col("s.slide").eqNullSafe(F.col("f.slide")), "left").select("s.slide", "types", "found")
+    bullets = F.array(*map(F.lit, ("Wrong COLOR of the title", "Text differs", "text DIFFERS", " ", "The box is shifted")))
+    raw = joined.select("slide", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.lit("  ").alias("raw_summary"), F.lit(None).cast("string").alias("raw_note"),
+                        bullets.alias("raw_bullets"), F.when(F.col("found"), F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("messages"))
+    return report.comments(raw).select("slide", "summary", "note")
+
+
 @query("""select p_partkey, case when p_size % 4 = 0 then 'numeric-token mismatch' when p_size % 4 = 1 then 'possible unicode/confusable-character mismatch' when p_size % 4 = 2 then 'short label or symbol-level text mismatch'
  when p_size > 25 then 'likely line-level typo/spelling difference' else 'line-level text mismatch' end as label from part""")
 def fn9_fn10_fn11_labels(s, d):

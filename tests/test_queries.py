@@ -35,3 +35,11 @@ def test_equals_sql(spark, db, name):
     got, want = catalog.QUERIES[name](spark, FOLDER).toPandas(), db.sql(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+def test_comments_take_every_finding_and_slides_without_any(spark, db):
+    rows = {r.slide: r for r in catalog.QUERIES["fn15_wn5_all_comments"](spark, FOLDER).collect()}
+    found = dict(db.sql("select user_id, bool_or(event_type = 'error') from events group by 1").fetchall())
+    assert set(rows) == set(found) | {k for (k,) in db.sql("select c_custkey from customer").fetchall()}
+    assert all(rows[s].summary is None and rows[s].note is None for s in set(rows) - set(found)) and set(rows) > set(found)
+    assert all(("COLOR" in rows[s].note) == colour for s, colour in found.items())
