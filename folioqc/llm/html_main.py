@@ -26,7 +26,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math head title select option datalist canvas audio video textarea".split())
+HIDDEN_TAGS = frozenset("script style template noscript iframe object svg head title select option datalist canvas audio video textarea".split())
+MATH = frozenset(
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+PHRASE = INLINE | MATH
+#: Start tags that leave an open head open; any other, or text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -74,7 +80,13 @@ def blocks(page: str | None) -> list[Block]:
                 found.append(Block(tuple(n for _, names in stack for n in names), text, sum(len(t) for t, link in run if link)))
             run.clear()
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop()
+
     def say(a: int, b: int) -> None:
+        if hidden and not page[a:b].isspace() and b > a:
+            end_head()
         if b > a and not hidden:
             run.append((html.unescape(page[a:b]), links > 0))
 
@@ -94,25 +106,31 @@ def blocks(page: str | None) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag not in PHRASE:
             flush()
+        elif tag in MATH and not hidden:
+            run.append((" ", False))
         if m[1]:
+            if tag in ("body", "html", "br"):
+                end_head()
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
                     while len(stack) > n:
                         pop()
                     break
-                if tag in INLINE and stack[n][0] not in INLINE:
+                if tag in PHRASE and stack[n][0] not in PHRASE:
                     break
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P | INLINE:
             continue
         if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-            while stack and stack[-1][0] in INLINE | {"p"}:
+            while stack and stack[-1][0] in PHRASE | {"p"}:
                 if pop() or not any(t == "p" for t, _ in stack):
                     break
         if tag in SIBLINGS:
-            while stack and stack[-1][0] in INLINE | {"p", *SIBLINGS[tag]}:
+            while stack and stack[-1][0] in PHRASE | {"p", *SIBLINGS[tag]}:
                 pop()
         stack.append((tag, _names(tag, m[3])))
         hidden += tag in HIDDEN_TAGS

@@ -347,3 +347,13 @@ def test_pipeline_bounds_the_limit(spark, monkeypatch):
     docs = spark.createDataFrame(made, "doc_id long, text string, source string")
     kept = corpus_pipeline.quality(spark, docs, FOLDER).collect()
     assert len(kept) == 600 and not any("shared" in r.text for r in kept)
+
+
+def test_head_may_be_left_open_and_formulas_stay():
+    texts = lambda page: [b.text for b in html_main.blocks(page)]
+    rest = "<article><p>one</p><p>two</p></article>"
+    for start in ("<head><title>t</title><body>", "<head><title>t</title>", "<html><head><meta charset=x><script>a<b</script></head><body>", "<head><title>t</title></body>"):
+        assert texts(start + rest) == ["one", "two"], start
+    assert texts("<head><title>t</title> \n bare text <p>one") == ["bare text", "one"]
+    assert texts("<head><noscript><img src=a>no</noscript><title>t</title></head><p>one") == ["one"]
+    assert texts("<p>let <math><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/><mo>=</mo><mi>x</mi></math> hold</p><p>b") == ["let 1 2 = x hold", "b"]
