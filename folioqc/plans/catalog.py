@@ -512,10 +512,12 @@ def str5_fn25_fingerprints(s, d):
 
 
 def _paragraphs(pages: DataFrame) -> DataFrame:
-    """Up to 15 lines of each page as paragraphs in a column of boxes."""
-    p = pages.select("job_id", "page_index", F.posexplode(F.slice(X.split_lines(F.col("text")), 1, 15)).alias("ord", "text"))
-    y = F.col("ord") / 16.0
-    return p.withColumn("bbox", G.box(F.lit(0.1), y, F.least(F.lit(0.9), 0.1 + F.length("text") / 200.0), y + 0.05)).withColumn("n_lines", F.lit(1) + F.floor(F.length("text") / 80))
+    """Every line of each page as a paragraph in a column of boxes: 16 places, or more if the page has more lines."""
+    lines = X.split_lines(F.col("text"))
+    p = pages.select("job_id", "page_index", F.greatest(F.lit(16), F.size(lines) + 1).alias("places"), F.posexplode(lines).alias("ord", "text"))
+    y = F.col("ord") / F.col("places")
+    high = F.when(F.col("places") == 16, F.lit(0.05)).otherwise(0.8 / F.col("places"))
+    return p.withColumn("bbox", G.box(F.lit(0.1), y, F.least(F.lit(0.9), 0.1 + F.length("text") / 200.0), y + high)).withColumn("n_lines", F.lit(1) + F.floor(F.length("text") / 80)).drop("places")
 
 
 @query()

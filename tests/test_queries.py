@@ -43,3 +43,11 @@ def test_comments_take_every_finding_and_slides_without_any(spark, db):
     assert set(rows) == set(found) | {k for (k,) in db.sql("select c_custkey from customer").fetchall()}
     assert all(rows[s].summary is None and rows[s].note is None for s in set(rows) - set(found)) and set(rows) > set(found)
     assert all(("COLOR" in rows[s].note) == colour for s, colour in found.items())
+
+
+def test_paragraphs_take_every_line(spark):
+    pages = spark.createDataFrame([(1, 0, "\n".join(f"line {i}" for i in range(60))), (1, 1, "a\nb")], "job_id long, page_index int, text string")
+    rows = catalog._paragraphs(pages).orderBy("page_index", "ord").collect()
+    assert [r.text for r in rows] == [*(f"line {i}" for i in range(60)), "a", "b"]
+    assert all(a.bbox.y1 <= b.bbox.y0 for a, b in zip(rows[:59], rows[1:60])) and rows[59].bbox.y1 <= 1
+    assert (rows[61].bbox.y0, rows[61].bbox.y1) == (1 / 16.0, 1 / 16.0 + 0.05)
