@@ -190,7 +190,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memo = _Memo(self.tokenizer)
         self.memo_words = memo_words
 

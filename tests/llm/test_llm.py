@@ -357,3 +357,10 @@ def test_head_may_be_left_open_and_formulas_stay():
     assert texts("<head><title>t</title> \n bare text <p>one") == ["bare text", "one"]
     assert texts("<head><noscript><img src=a>no</noscript><title>t</title></head><p>one") == ["one"]
     assert texts("<p>let <math><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/><mo>=</mo><mi>x</mi></math> hold</p><p>b") == ["let 1 2 = x hold", "b"]
+
+
+def test_special_token_in_a_text_is_as_the_library_has_it():
+    texts = ["a <|endoftext|> b", "plain words here", "<|endoftext|>", "a <|end b"]
+    library = Tokenizer.from_file(BPE)
+    got = [x.tolist() for x in sstable.WordEncoder(BPE).encode(pa.array(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [64, 220, 50256, 275]
