@@ -1,14 +1,18 @@
-"""Tables, the shared folder and batch limits that the corpus operators have in common."""
+"""Tables, the shared folder, whole rows as structs and bounded samples, for all corpus operators."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+#: Narrow rows (identifiers, digests) that are broadcast at once; beyond, joins shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Only in plain local mode, where driver and executors are one process, a temporary folder
-    stands in for an unset setting; on a cluster an unset setting is an error.
+    stands in for an unset setting; on a cluster an unset setting is an error. A folder without a
+    scheme is one of Hadoop's default file system, for every reader and writer alike.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="folioqc-"))
-    return _own_folder[0]
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own_folder:
+            _own_folder.append(f"file://{tempfile.mkdtemp(prefix='folioqc-')}")
+        folder = _own_folder[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -39,13 +45,69 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at replicated files."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
-    """Bound what one Arrow batch of whole documents holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._cut_folder = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of cut tables that nothing reads any more."""
+    for df in tables:
+        spark, folder = df.sparkSession, getattr(df, "_cut_folder", None)
+        if folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a few rows, so that Python holds few whole texts at once. Spark
+    bounds the batches themselves by bytes; no setting of the session is touched."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def named(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
+def packed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Each row of docs as a struct `row` beside the given columns: whatever names docs has, no
+    column of an operator can clash with them."""
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *columns)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows that packed() took, with new values for some columns."""
+    return df.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
+def but_for(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those whose keys (nulls equal nulls) are in gone. A list of at most
+    BROADCAST_ROWS is broadcast, so rows stay where they are; a longer one is shuffled."""
+    names = [f"gone_{k}" for k in keys]
+    listed = gone.select(*(F.col(k).alias(n) for k, n in zip(keys, names)))
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(F.broadcast(listed) if gone.count() <= BROADCAST_ROWS else listed, same, "left_anti")
+
+
+def sample_rows(rows: DataFrame, text: str, max_rows: int, max_bytes: int, salt: str, order: tuple[str, ...] = ()) -> list[Row]:
+    """A bounded sample of distinct rows, whole, on the driver: at most max_rows rows and max_bytes
+    bytes of text, by the columns of `order` and then by a digest. A text that does not fit what
+    is left is passed over; equal rows count once. The narrow pass brings at most 4 * max_rows
+    digests and lengths, the second one only the chosen rows."""
+    tagged = rows.select("*", F.xxhash64(F.lit(salt), *(named(c) for c in rows.columns if c not in order)).alias("digest"), F.octet_length(text).alias("bytes"))
+    left, chosen = max_bytes, {}
+    for r in tagged.select(*order, "digest", "bytes").orderBy(*order, "digest").limit(4 * max_rows).collect():
+        if len(chosen) < max_rows and r.digest not in chosen and r.bytes <= left:
+            chosen[r.digest] = len(chosen)
+            left -= r.bytes
+    if not chosen:
+        return []
+    found = tagged.where(F.expr(f"digest in ({', '.join(f'{d}L' for d in chosen)})")).dropDuplicates(["digest"]).collect()
+    return sorted(found, key=lambda r: chosen[r.digest])
 
 
 def let(value: Column, body) -> Column:
