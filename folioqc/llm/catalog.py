@@ -51,7 +51,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.verdicts(table(spark, sf_dir, "documents"))
     return judged.select(
-        F.col("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        F.col("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "n_words_left", "base_failed", "kept"
     )
 
 

@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
 Lines are normalised (lower case, white space collapsed) and hashed; for each host (the source
-column) the number of distinct documents that hold a line is counted, where copies of one text
-are one document. Lines in more documents of their host than a limit are boilerplate and are
-removed; a document of which little is left is depleted and rejected.
+column) the number of distinct documents that hold a line is counted. Lines in more documents of
+their host than a limit are boilerplate and are removed; a document of which too little is left is
+depleted and rejected.
 """
 
 from __future__ import annotations
@@ -11,35 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import cut, let
+from folioqc.llm.common import BROADCAST_ROWS, cut, let, packed, release
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A line is boilerplate in a host when more than this many documents and this share hold it.
-LINE_FLOOR = 20
-LINE_SHARE = 0.10
-#: A document is depleted when fewer words than MIN_WORDS and than this share are left.
+#: A line is boilerplate in a host when more distinct documents of the host hold it, however large the host is.
+LINE_LIMIT = 20
+#: A document that lost lines is depleted when fewer words than MIN_WORDS, or than this share, are left.
 LEFT_SHARE = 0.5
-#: Tasks that one very common line or text is dealt to.
-SALTS = 8
+#: Tasks that one very common line or text is dealt to where a list is too long to broadcast.
+SALTS = 16
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _host() -> Column:
-    return F.coalesce(F.col("source").cast("string"), F.lit(""))
-
-
 def _text_key() -> Column:
     return F.xxhash64(_text(), F.length(_text()))
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALTS)))))
+def _meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table whose rows have no key twice. It is broadcast while short; else a key of
+    very many rows is dealt to SALTS tasks, each of which gets the one row it needs."""
+    if narrow.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(narrow), keys, how)
+    salted = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
 
 
 def word_count(text: Column) -> Column:
@@ -87,12 +87,12 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), GAP, " "))
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def base_rules(rows: DataFrame) -> DataFrame:
+    """rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = _text()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return (
-        docs.withColumn("n_words", word_count(text))
+        rows.withColumn("n_words", word_count(text))
         .withColumn("word_chars", F.length(F.regexp_replace(text, GAP, "")).cast("bigint"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
@@ -101,53 +101,55 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def host_lines(docs: DataFrame) -> DataFrame:
-    """host, text_key and lines (hashes) of the distinct texts of each host."""
+def host_lines(rows: DataFrame) -> DataFrame:
+    """host, text_key, doc and lines (distinct hashes) of each row. A document is its identifier;
+    rows without one are told apart by their text."""
     hashed = F.array_distinct(F.transform(F.filter(F.split(_text(), "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(normal_line(x))))
-    return docs.select(_host().alias("host"), hashed.alias("lines"), _text_key().alias("text_key")).dropDuplicates(["host", "text_key"])
+    doc = F.struct(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), _text_key()).alias("other"))
+    return rows.select("host", _text_key().alias("text_key"), doc.alias("doc"), hashed.alias("lines"))
 
 
-def boilerplate(distinct: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, ceiling: int | None = None) -> DataFrame:
-    """host, line (hash) of lines above the limit of their host; distinct is as host_lines gives it.
+def boilerplate(listed: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """host, line (hash) of lines that more than limit distinct documents of their host hold.
 
-    The limit is floor and the share of the host's texts, but never more than ceiling if one is
-    given. A text counts once for each host however many rows hold it. Counts are summed before
-    the shuffle, so a hot host or line sends a number, not its rows.
+    Rows are counted first, summed before the shuffle; only lines of enough rows have their
+    documents told apart, in two steps whose first deals a line's documents to all tasks.
     """
-    size = distinct.groupBy("host").agg(F.count("*").alias("n_host"))
-    counts = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > floor)
-    above = F.col("n") > F.col("n_host") * share
-    if ceiling is not None:
-        above = above | (F.col("n") > ceiling)
-    return counts.join(size, "host").where(above).select("host", "line")
+    single = listed.select("host", "doc", F.explode("lines").alias("line"))
+    often = cut(single.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("host", "line"), "often")
+    exact = _meet(single, often, ["host", "line"]).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
+    return exact.where(F.col("n") > limit).select("host", "line")
 
 
-def heavy_lines(distinct: DataFrame, heavy: DataFrame) -> DataFrame:
+def heavy_lines(listed: DataFrame, heavy: DataFrame) -> DataFrame:
     """host, text_key, heavy: the boilerplate lines of each text that has any."""
-    lines = distinct.select("host", "text_key", F.explode("lines").alias("line")).withColumn("salt", F.pmod("text_key", F.lit(SALTS)))
-    return lines.join(_salted(heavy), ["host", "line", "salt"]).groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
+    texts = listed.dropDuplicates(["host", "text_key"])
+    lines = texts.select("host", "text_key", F.explode("lines").alias("line"))
+    return _meet(lines, heavy, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
 
 
-def verdicts(
-    docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, left_share: float = LEFT_SHARE, ceiling: int | None = None
-) -> DataFrame:
-    """docs with the base columns, clean_text (without boilerplate lines), n_words_left and kept.
+def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE) -> DataFrame:
+    """row (each row of docs as a struct), doc_id, the base columns, clean_text (without boilerplate
+    lines), n_removed_lines, n_words_left and kept.
 
     A null text is empty and fails the base rules; null and empty sources are one host. Each row is
-    judged on its own, so repeated rows get the same verdict. Boilerplate is a table of (host, line)
-    rows: it meets the lines of the distinct texts, and a row gets only the heavy lines of its own
-    text, so neither the limit nor the number of boilerplate lines bounds what a row carries. Both
-    joins are salted, so a line or a text that very many rows hold is dealt to SALTS tasks.
+    judged on its own, so repeated rows get the same verdict and count as one document; rows of one
+    identifier are one document, rows without any are one for each text. No row gives no row.
+    Columns of docs may have any names, as they stay inside `row`. Very long texts and lines are
+    read whole. Boilerplate is a table of (host, line) rows: it meets the lines' hashes, and a row
+    gets only the heavy lines of its own text, so no limit bounds what a row carries.
     """
-    distinct = cut(host_lines(docs), "host-lines")
-    heavy = cut(boilerplate(distinct, floor, share, ceiling), "boilerplate")
-    marks = _salted(cut(heavy_lines(distinct, heavy), "heavy-lines"))
-    marks = marks.select(*(F.col(c).alias(f"__{c}") for c in ("host", "text_key", "heavy", "salt")))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    same = (_host() == F.col("__host")) & (_text_key() == F.col("__text_key")) & (salt == F.col("__salt"))
-    joined = base_rules(docs).join(marks, same, "left")
-    kept_lines = F.filter(F.split(_text(), "\n"), lambda x: ~F.array_contains(F.col("__heavy"), F.xxhash64(normal_line(x))))
-    clean = F.when(F.col("__heavy").isNull(), _text()).otherwise(F.array_join(kept_lines, "\n"))
-    judged = joined.withColumn("clean_text", clean).withColumn("n_words_left", word_count(F.col("clean_text")))
-    depleted = (F.col("n_words_left") < MIN_WORDS) & (F.col("n_words_left") < F.col("n_words") * left_share)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__host", "__text_key", "__heavy", "__salt")
+    rows = packed(docs, F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
+    listed = cut(host_lines(rows), "host-lines")
+    heavy = cut(boilerplate(listed, limit), "boilerplate")
+    marks = cut(heavy_lines(listed, heavy), "heavy-lines")
+    release(listed, heavy)
+    judged = _meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left")
+    lines = F.split(_text(), "\n")
+    rest = F.filter(lines, lambda x: ~F.array_contains(F.col("heavy"), F.xxhash64(normal_line(x))) | ~x.rlike(WORD))
+    judged = judged.withColumn("rest", F.when(F.col("heavy").isNotNull(), rest))
+    judged = judged.withColumn("clean_text", F.when(F.col("heavy").isNull(), _text()).otherwise(F.array_join("rest", "\n")))
+    judged = judged.withColumn("n_removed_lines", F.when(F.col("heavy").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("rest")).cast("bigint"))
+    judged = judged.withColumn("n_words_left", F.when(F.col("heavy").isNull(), F.col("n_words")).otherwise(word_count(F.col("clean_text"))))
+    depleted = (F.col("n_removed_lines") > 0) & ((F.col("n_words_left") < MIN_WORDS) | (F.col("n_words_left") < F.col("n_words") * left_share))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("host", "text", "text_key", "heavy", "rest")

@@ -18,7 +18,7 @@ with d as (
   select doc_id, source, coalesce(text, '') as t from documents
 ), k as (
   select doc_id, source, len(regexp_extract_all(t, '{_WORD}'))::bigint as size,
-         -ln((('0x' || md5(coalesce(doc_id::varchar, 'null'))[1:12])::bigint + 1.0::double) / 281474976710656.0::double)
+         -ln((('0x' || md5(coalesce(doc_id::varchar, 'null' || t))[1:12])::bigint + 1.0::double) / 281474976710656.0::double)
          / greatest(0.05::double, 1.0::double - (length(t) - length(translate(t, '#*$%&|<>', ''))) * 10.0::double / greatest(length(t), 1)) as key
   from d
 ), s as (
@@ -52,6 +52,7 @@ from p
 _OP9 = rf"""
 with d as (
   select doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
+         coalesce(doc_id::varchar, 'null' || coalesce(text, '')) as doc,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
          string_split(coalesce(text, ''), chr(10)) as lines,
          row_number() over () as r
@@ -65,31 +66,31 @@ with d as (
   select r, count(distinct j)::bigint as n
   from (select r, unnest([i, i + 1, i + 2]) as j from twice where n > 1) group by r
 ), norm as (
-  select r, host, t, unnest(lines) as line, generate_subscripts(lines, 1) as nth from d
+  select r, host, doc, unnest(lines) as line, generate_subscripts(lines, 1) as nth from d
 ), normal as (
-  select r, host, t, nth, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as nl,
+  select r, host, doc, nth, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as nl,
          regexp_matches(line, '{_WORD}') as solid
   from norm
 ), counts as (
-  select host, nl, count(distinct t) as n from normal where solid group by all
-), hosts as (
-  select host, count(distinct t) as n_host from d group by host
+  select host, nl, count(distinct doc) as n from normal where solid group by all
 ), heavy as (
-  select c.host, nl from counts c join hosts h using (host) where n > 20 and n > n_host * 0.10::double
+  select host, nl from counts where n > 20
+), marked as (
+  select normal.*, heavy.nl is not null and solid as gone from normal left join heavy on normal.host = heavy.host and normal.nl = heavy.nl
 ), after as (
-  select r, coalesce(string_agg(line, chr(10) order by nth) filter (where (normal.host, normal.nl) not in (select host, nl from heavy) or not solid), '') as rest
-  from normal group by r
+  select r, coalesce(string_agg(line, chr(10) order by nth) filter (where not gone), '') as rest, count(*) filter (where gone) as n_removed from marked group by r
 ), b as (
   select d.r, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
          (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
          (len(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))))::bigint as n_dup_lines,
-         coalesce(c.n, 0)::bigint as n_repeat_words,
-         len(regexp_extract_all(rest, '{_WORD}')) as n_left
+         coalesce(c.n, 0)::bigint as n_repeat_words, n_removed::bigint as n_removed_lines,
+         len(regexp_extract_all(rest, '{_WORD}'))::bigint as n_words_left
   from d join after using (r) left join covered c using (r)
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines, n_words_left,
        n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed,
-       not (n_words < 50 or n_repeat_words * 100 > n_words * 50) and not (n_left < 50 and n_left < n_words * 0.5::double) as kept
+       not (n_words < 50 or n_repeat_words * 100 > n_words * 50)
+       and not (n_removed_lines > 0 and (n_words_left < 50 or n_words_left < n_words * 0.5::double)) as kept
 from b
 """
 
