@@ -10,15 +10,17 @@ A shard holds documents in key order:
                   documents u64, identifiers u64, magic
 
 All integers are little-endian but for the key: a null flag, the identifier with its sign bit
-turned, big-endian, and the number among rows of the same identifier. So byte order is document
-order, nulls last. A value is the identifiers as u16 if all fit, else as u32, after a width byte.
+turned, big-endian, and the number among the shard's rows of the same identifier. So byte order is
+document order, nulls last; rows of one identifier may go on in the next shard. A value is the identifiers as u16 if all fit, else as u32, after a width byte.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import cut, new_path, small_batches
+from folioqc.llm.common import cut, new_path, slices
 
 MAGIC = b"FQSST001"
 KEY_BYTES = 13
@@ -116,7 +118,7 @@ class ShardReader:
     """Reads one shard from a random-access file: footer and index first, blocks as needed."""
 
     def __init__(self, file):
-        self.file = file
+        self.file, self._open = file, (-1, {})
         size = file.size()
         at, blocks, bloom_at, bloom_bytes, _, self.documents, self.ids, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC:
@@ -145,17 +147,17 @@ class ShardReader:
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(make_key(doc_id), len(self.bloom) * 8))
 
     def get(self, doc_id: int | None) -> np.ndarray | None:
-        """Identifiers of the first row with this identifier: Bloom filter, then binary search."""
+        """Identifiers of the shard's first row with this identifier: the Bloom filter, then binary
+        search in the sparse index, then the one block that can hold it (the last one is kept)."""
         if not self.documents or not self.may_hold(doc_id):
             return None
         key = make_key(doc_id)
-        for n in range(max(0, bisect.bisect_right(self.first_keys, key) - 1), len(self.index)):
-            for found, ids in self.block(n):
-                if found == key:
-                    return ids
-                if found > key:
-                    return None
-        return None
+        n = bisect.bisect_right(self.first_keys, key) - 1
+        if n < 0:
+            return None
+        if self._open[0] != n:
+            self._open = n, dict(self.block(n))
+        return self._open[1].get(key)
 
 
 class _Memo(dict):
@@ -173,16 +175,17 @@ class _Memo(dict):
 class WordEncoder:
     """Whole-text encoding with the tokenizers library, through a bounded memo of spaced words.
 
-    The library's byte-level pre-tokenizer always splits before a space that follows a non-space,
-    between a letter and a mark, and around a line end between non-spaces. So a text without white
-    space next to white space around a space may be encoded piece by piece at these places. Any
-    other text goes to the library as a whole. Of a batch's pieces each distinct one is looked up
-    once.
+    A byte-level pre-tokenizer with the library's own pattern always splits before a space that
+    follows a non-space, between a letter and a mark, and around a line end between non-spaces. So
+    a text without white space next to white space around a space may be encoded piece by piece at
+    these places. Texts that may hold an added token go to the library as a whole, and so does
+    every text if the tokenizer file is of any other kind. Of a batch's pieces each distinct one
+    is looked up once.
     """
 
     #: White space of any library here, and the texts that must stay whole.
     SPACE = r"\s\x0b\x1c-\x1f\x{85}\pZ"
-    WHOLE = rf"<\||\x00|\A |[{SPACE}] [{SPACE}]|[{SPACE}]\z"
+    WHOLE = rf"\x00|\A |[{SPACE}] [{SPACE}]|[{SPACE}]\z"
     CUTS = ((r"([a-z])([.,;:!?])", "\\1\0\\2"), (rf"([^{SPACE}])\n([A-Za-z])", "\\1\0\n\0\\2"))
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -192,6 +195,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = _Memo(self.tokenizer)
         self.memo_words = memo_words
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        added = [t["content"] for t in kind.get("added_tokens") or ()]
+        self.in_pieces = self._splits_at_spaces(kind) and all(len(t) > 1 and not re.search(r"[\s\\]", t) for t in added)
+        self.not_in_pieces = "|".join([self.WHOLE, *(re.escape(t[:2]) for t in added)])
+
+    @staticmethod
+    def _splits_at_spaces(kind: dict) -> bool:
+        before = kind.get("pre_tokenizer") or {}
+        model = kind.get("model") or {}
+        return (
+            before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+            and not any(kind.get(k) for k in ("normalizer", "truncation", "padding")) and (kind.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
+            and model.get("type") == "BPE" and not model.get("dropout")
+        )
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -202,7 +220,9 @@ class WordEncoder:
             return []
         if len(self.memo) > self.memo_words:
             self.memo.clear()
-        whole = pc.match_substring_regex(texts, self.WHOLE)
+        if not self.in_pieces:
+            return [self.whole(t) for t in texts.to_pylist()]
+        whole = pc.match_substring_regex(texts, self.not_in_pieces)
         spaced = iter(self._spaced(texts.filter(pc.invert(whole))))
         return [self.whole(texts[i].as_py()) if w else next(spaced) for i, w in enumerate(whole.to_pylist())]
 
@@ -234,13 +254,13 @@ def _encoder(path: str, memo_words: int) -> WordEncoder:
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Encode every whole text, append end_id and write shards; returns shard, path, documents, ids.
 
-    One range shuffle on doc_id moves texts (not the longer identifiers) into key order; each task
-    then encodes its range and writes shards of at most about SHARD_IDS identifiers. Files go to a
-    name of the attempt's own and are moved into place, so a lost or repeated task leaves no half
-    shard. Null texts are empty; null identifiers sort last; repeated identifiers keep one entry
-    each, ordered by text.
+    One range shuffle on doc_id and a digest of the text moves texts (not the longer identifiers)
+    into key order, so that rows of one identifier, or of none, are dealt to as many tasks as they
+    fill; each task then encodes its range and writes shards of at most about SHARD_IDS
+    identifiers. Files go to a name of the attempt's own and are moved into place, so a lost or
+    repeated task leaves no half shard. Null texts are empty; null identifiers sort last; repeated
+    identifiers keep one entry each, ordered by that digest.
     """
-    small_batches(docs.sparkSession, 1000, 4 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, memo_words)
@@ -260,7 +280,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             stream = writer = None
             shard += 1
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             for doc_id, encoded in zip(ids, encoder.encode(batch.column(1))):
                 if writer is None:
@@ -282,29 +302,35 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = slim.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    ranged = slim.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return cut(ranged.mapInArrow(run, "shard bigint, path string, documents bigint, ids bigint"), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every entry, read back from the files.
+    """doc_id, start, n_tokens, ids_crc32 of every entry, read back from the files, and found: if a
+    search for the identifier (Bloom filter, sparse index, block) ends at an entry of the shard.
 
-    Only the list of shards is summed in one place (a row for each file); documents are read
-    block by block where their shard is.
+    Only the list of shards is summed in one place (a row for each file of SHARD_IDS identifiers);
+    documents are read block by block where their shard is.
     """
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = shards.select("shard", "path", before.alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "found"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
             for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows = []
                 with store.open_input_file(path) as file:
-                    for key, ids in ShardReader(file):
-                        rows.append((key_id(key), start, len(ids), zlib.crc32(ids.tobytes())))
+                    reader = ShardReader(file)
+                    for key, ids in reader:
+                        doc_id = key_id(key)
+                        hit = reader.get(doc_id)
+                        same = hit is not None and (key != make_key(doc_id) or np.array_equal(hit, ids))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), same))
                         start += len(ids)
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -313,11 +339,15 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     spread = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, found boolean")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write the shards of docs to a new shared folder and return what the files say."""
-    folder = new_path(docs.sparkSession, "sst")
-    folder = folder if "://" in folder else f"file://{folder}"
+    """Write the shards of docs to a new shared folder and return what the files say.
+
+    Null and empty texts have the end token alone; a null doc_id comes last, after all numbers;
+    rows of one doc_id are entries of their own; no row, no shard. Only doc_id and text are read,
+    so other columns may have any names; a text of any length is one entry.
+    """
+    folder = re.sub("^file:/+", "file:///", new_path(docs.sparkSession, "sst"))
     return read_shards(write_shards(docs, tokenizer_path, end_id, folder), folder)
