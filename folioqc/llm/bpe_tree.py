@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import small_batches
+from folioqc.llm.common import slices
 
 SAFE_CUT = re.compile(r"(?<=\S)[ \n\t]")
-LEAF_CHARS = 2048
+#: Fixed value: the pattern for which these cuts are safe.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LEAF_CHARS = 64
 FIRST_WINDOW = 16
-DECODE_LEAF = 1024
+DECODE_LEAF = 64
 
 
 class TreeCodec:
@@ -38,11 +40,14 @@ class TreeCodec:
     def __init__(self, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS):
         import tiktoken
 
+        if pattern != PATTERN:
+            raise ValueError("cuts before white space are not known to be safe for this pattern")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = {rank: piece for piece, rank in ranks.items()}
         self.leaf_chars = max(1, leaf_chars)
+        self.joins = 0
 
     def encode(self, text: str) -> list[int]:
         return self._span(text, 0, len(text)) if text else []
@@ -55,12 +60,17 @@ class TreeCodec:
 
     def join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """Tokens of text[a:b] from those of text[a:m] and text[m:b]."""
+        self.joins += 1
         lo, hi = self._left_cut(text, a, m), self._right_cut(text, m, b)
         if lo == hi:
-            return left + right
+            left += right
+            return left
         keep = len(left) - self._covering(reversed(left), len(text[lo:m].encode()))
         skip = self._covering(iter(right), len(text[m:hi].encode()))
-        return left[:keep] + self._encode(text[lo:hi]) + right[skip:]
+        del left[keep:]
+        left += self._encode(text[lo:hi])
+        left += right[skip:]
+        return left
 
     def _left_cut(self, text: str, a: int, m: int) -> int:
         width = FIRST_WINDOW
@@ -113,34 +123,36 @@ def codec(ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeCo
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids of every whole text.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins (of the text's tree) and, if asked,
+    token_ids of every whole text.
 
-    Null texts count as empty: no tokens, digests of nothing. Null identifiers, repeated rows and
-    other columns pass through untouched: one row out for each row in, and only doc_id and text
-    are read. No shuffle: documents are independent, and a long one is a deeper tree.
+    Null texts count as empty: no tokens, digests of nothing. Null identifiers and repeated rows
+    give one row each; only doc_id and text are read, so other columns may have any names. No row,
+    no output. No shuffle: documents are independent, and a long one is a deeper tree.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = codec(ranks_path, pattern, leaf_chars)
-        for batch in batches:
-            counts, digests, decoded, tokens = [], [], [], []
+        for batch in slices(batches):
+            counts, digests, decoded, joins, tokens = [], [], [], [], []
             for text in batch.column(1).to_pylist():
+                before = tree.joins
                 ids = tree.encode(text or "")
+                joins.append(tree.joins - before)
                 packed = np.asarray(ids, dtype="<u4")
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(packed.tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(tree.decode(ids)).hexdigest())
                 if with_ids:
                     tokens.append(packed.astype(np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(joins, pa.int64())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"]
             if with_ids:
                 columns.append(pa.array(tokens, pa.list_(pa.int32())))
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_joins bigint"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, schema + (", token_ids array<int>" if with_ids else "")
     )
