@@ -2,8 +2,9 @@
 
 Trained in numpy by backpropagation through time. Every byte position gets a distribution over
 languages from the states that read up to it from both sides; a document's probabilities are the
-means over its positions. Texts are read whole, in segments of SEGMENT bytes that are run side by
-side; both directions start anew in each.
+means over its positions. Both directions carry their states through the whole of every text;
+documents run side by side, sorted by length, so that few steps are left to a few long ones.
+Training backpropagates through windows drawn from all of every sampled text.
 """
 
 from __future__ import annotations
@@ -13,20 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import crc_fold, small_batches
+from folioqc.llm.common import crc_fold, sample_rows, slices
 
 HIDDEN = 6
-SEGMENT = 96
-#: Segments that are run together.
-LANES = 2048
-#: Bounds of the learning sample: documents, and bytes of each that training reads.
-MAX_DOCUMENTS = 3000
-TRAIN_BYTES = 4 * SEGMENT
-STEPS = 350
-TRAIN_LANES = 256
+#: Bytes of text that run side by side, positions of a block, and bytes of backward states that are
+#: kept from block to block; beyond that they are made again for each block.
+POOL_BYTES, BLOCK_POSITIONS, KEPT_BYTES = 16 << 20, 1 << 18, 256 << 20
+#: Bounds of the learning sample, of whole documents: rows and bytes.
+MAX_DOCUMENTS, MAX_BYTES = 3000, 24 << 20
+#: Training: window bytes, windows of a step, steps.
+WINDOW, TRAIN_LANES, STEPS = 128, 256, 350
 UNKNOWN = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -70,6 +70,27 @@ class Direction:
             s = new
         return states
 
+    def run_block(self, x: np.ndarray, active: np.ndarray, s: np.ndarray, backward: bool) -> np.ndarray:
+        """States (positions, hidden, lanes) for bytes x (positions, lanes); at each position only the
+        first `active` lanes move. s (hidden, all lanes) is carried on in place."""
+        h = self.h
+        inputs = np.take(self.table, x, axis=1)
+        states = np.zeros((len(x), h, x.shape[1]), np.float32)
+        for t in range(len(x) - 1, -1, -1) if backward else range(len(x)):
+            k = active[t]
+            i, old, new = inputs[:, t, :k], s[:, :k], states[t, :, :k]
+            r = self.u @ old
+            g = _hard_sigmoid(i[: 2 * h] + r[: 2 * h])
+            n = r[2 * h :] + self.c
+            n *= g[:h]
+            n += i[2 * h :]
+            np.tanh(n, out=n)
+            np.subtract(old, n, out=new)
+            new *= g[h:]
+            new += n
+            old[:] = new
+        return states
+
     def back(self, x: np.ndarray, keep: list, d_states: np.ndarray) -> dict[str, np.ndarray]:
         h = self.h
         grads = {k: np.zeros_like(getattr(self, k)) for k in self.names}
@@ -136,34 +157,31 @@ class Network:
         return loss, [*(ga[k] for k in Direction.names), *(gb[k] for k in Direction.names), g_out, d.sum(axis=(0, 2))[:, None]]
 
 
-def cut_segments(raw: bytes) -> np.ndarray:
-    """All bytes of a text as rows of SEGMENT, the last filled up with zeros."""
-    n = -(-len(raw) // SEGMENT)
-    rows = np.zeros(n * SEGMENT, np.uint8)
-    rows[: len(raw)] = np.frombuffer(raw, np.uint8)
-    return rows.reshape(n, SEGMENT)
-
-
 def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 11) -> Network:
-    """Adam over random segments of the sample, languages drawn equally often."""
+    """Adam over random windows from anywhere in the sampled texts, languages drawn equally often
+    and the texts of a language by their lengths."""
     classes = sorted(set(langs))
     net = Network(classes)
     if len(classes) < 2:
         return net
-    pools: list[np.ndarray] = []
-    for c in classes:
-        parts = []
-        for text, lang in zip(texts, langs):
-            if lang == c and text:
-                rows = cut_segments(text.encode())
-                middle = max(0, (len(rows) - TRAIN_BYTES // SEGMENT) // 2)
-                parts.append(rows[middle : middle + TRAIN_BYTES // SEGMENT])
-        pools.append(np.concatenate(parts) if parts else np.zeros((1, SEGMENT), np.uint8))
+    raws = [t.encode() for t in texts]
+    of_class = {c: [i for i, lang in enumerate(langs) if lang == c and raws[i]] for c in classes}
+    ends = {c: np.cumsum([len(raws[i]) for i in of_class[c]]) for c in classes}
+
+    def window(c: str) -> np.ndarray:
+        out = np.zeros(WINDOW, np.uint8)
+        if of_class[c]:
+            raw = raws[of_class[c][int(np.searchsorted(ends[c], rng.integers(0, ends[c][-1]), "right"))]]
+            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
+            part = np.frombuffer(raw, np.uint8, min(WINDOW, len(raw) - at), at)
+            out[: len(part)] = part
+        return out
+
     rng = np.random.default_rng(seed)
     moments = [[np.zeros_like(getattr(o, k)) for o, k in net.parameters()] for _ in range(2)]
     for step in range(1, steps + 1):
         y = rng.integers(0, len(classes), TRAIN_LANES)
-        x = np.stack([pools[c][rng.integers(0, len(pools[c]))] for c in y], axis=1)
+        x = np.stack([window(classes[c]) for c in y], axis=1)
         solid = (x > 0).astype(np.float32)
         _, grads = net.learn(x, solid, y)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
@@ -177,49 +195,104 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 11
     return net
 
 
-def pooled(net: Network, texts: list[str]) -> np.ndarray:
-    """Mean position probabilities (texts, classes) of whole non-empty texts."""
+def pooled(net: Network, texts: list[str], block_positions: int = BLOCK_POSITIONS, kept_bytes: int = KEPT_BYTES) -> np.ndarray:
+    """Mean position probabilities (texts, classes) of whole non-empty texts.
+
+    Lanes are the texts, longest first. The backward direction runs from the last position to the
+    first, block by block, then the forward one from the first to the last; a position is labelled
+    where both have its state. Backward states of all blocks are kept in half precision if they
+    take at most kept_bytes; else only the states at the blocks' ends are, and each block's are
+    made again when the forward direction is there.
+    """
     raws = [t.encode() for t in texts]
-    segments = [cut_segments(r) for r in raws]
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s in segments])
-    totals = np.zeros((len(texts), len(net.classes)))
-    if len(owner):
-        rows = np.concatenate(segments)
-        for a in range(0, len(rows), LANES):
-            x = np.ascontiguousarray(rows[a : a + LANES].T)
-            p, _ = net.label(x)
-            p *= (x > 0)[:, None, :]
-            np.add.at(totals, owner[a : a + LANES], p.sum(axis=0).T)
-    return totals / np.maximum(1, [len(r) for r in raws])[:, None]
-
-
-def learning_sample(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> tuple[list[str], list[str]]:
-    """Texts and languages of a bounded sample of the learning folds, chosen by digest."""
-    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(crc_fold() != 2)
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).distinct()
-    rows = docs.where("lang is not null and text is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return [r.text for r in rows], [r.lang for r in rows]
+    order = sorted(range(len(raws)), key=lambda i: -len(raws[i]))
+    sizes = np.asarray([len(raws[i]) for i in order], np.int64)
+    totals = np.zeros((len(net.classes), len(raws)))
+    if len(sizes):
+        flat = np.frombuffer(b"".join(raws[i] for i in order), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        blocks = []
+        p, lanes = 0, len(sizes)
+        while p < sizes[0]:
+            lanes = int(np.searchsorted(-sizes[:lanes], -p, "left"))
+            blocks.append((p, min(int(sizes[0]), p + max(16, min(4096, block_positions // lanes))), lanes))
+            p = blocks[-1][1]
+
+        def load(first: int, last: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.arange(first, last)[:, None]
+            solid = at < sizes[:lanes]
+            x = flat[np.minimum(starts[:lanes] + at, len(flat) - 1)]
+            return x, solid, solid.sum(1)
+
+        def backward(block: tuple[int, int, int], s: np.ndarray) -> np.ndarray:
+            x, _, active = load(*block)
+            return net.backward.run_block(x, active, s, True).astype(np.float16)
+
+        keep_all = sum((b - a) * n for a, b, n in blocks) * 2 * net.backward.h <= kept_bytes
+        s = np.zeros((net.backward.h, len(sizes)), np.float32)
+        kept = []
+        for block in reversed(blocks):
+            entered = None if keep_all else s[:, : block[2]].copy()
+            states = backward(block, s)
+            kept.append(states if keep_all else entered)
+        s = np.zeros((net.forward.h, len(sizes)), np.float32)
+        h = net.forward.h
+        for block in blocks:
+            x, solid, active = load(*block)
+            b = kept.pop()
+            b = b if keep_all else backward(block, b)
+            a = net.forward.run_block(x, active, s, False)
+            logits = np.matmul(net.out[:, :h], a)
+            logits += np.matmul(net.out[:, h:], b.astype(np.float32))
+            logits += net.bias
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(axis=1, keepdims=True)
+            logits *= solid[:, None, :]
+            totals[:, : block[2]] += logits.sum(axis=0)
+    found = np.empty((len(raws), len(net.classes)))
+    found[order] = (totals / np.maximum(1, sizes)).T
+    return found
+
+
+def learning_sample(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[str]]:
+    """Texts and languages of a bounded sample of the learning folds: of every language in turn the
+    next document by digest, so that a rare language is learnt as well."""
+    rows = docs.where("lang is not null and doc_id is not null and text is not null").where(crc_fold() != 2).select("doc_id", "text", "lang")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    known = rows.withColumn("turn", turn).where(F.col("turn") <= max_documents)
+    found = sample_rows(known, "text", max_documents, max_bytes, "lang", ("turn",))
+    return [r.text for r in found], [r.lang for r in found]
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
     A null text, or one without a letter, is `und` with score 0; so is every text when no document
-    has a language to learn from. Each row depends on its own text alone.
+    has a language to learn from. Each row depends on its own text alone: repeated rows agree, null
+    identifiers pass through and are not held out, no row gives no row. Other columns may have any
+    names. A text of any length is read whole, in bounded memory but for 2 bytes a character.
     """
-    small_batches(docs.sparkSession)
-    texts, langs = learning_sample(docs)
-    net = train(texts, langs)
+    net = train(*learning_sample(docs))
+
+    def label(rows: list[tuple]) -> pa.RecordBatch:
+        names, scores = [UNKNOWN] * len(rows), [0.0] * len(rows)
+        at = [i for i, r in enumerate(rows) if r[2] and LETTER.search(r[2])] if net.classes else []
+        for i, p in zip(at, pooled(net, [rows[i][2] for i in at])):
+            names[i], scores[i] = net.classes[int(p.argmax())], float(min(1.0, p.max()))
+        ids, held = [r[0] for r in rows], [r[1] for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net.classes else []
-            for i, p in zip(at, pooled(net, [texts[i] for i in at])):
-                names[i], scores[i] = net.classes[int(p.argmax())], float(min(1.0, p.max()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        rows, size = [], 0
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append(row)
+                size += len(row[2] or "")
+                if size >= POOL_BYTES:
+                    yield label(rows)
+                    rows, size = [], 0
+        yield label(rows)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(crc_fold() == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
