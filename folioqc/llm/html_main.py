@@ -1,10 +1,11 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is parsed into its sequence of leaf blocks. Each block is a vector of its hashed tag path
-(with class and id words), its hashed words and a few counts; a numpy bidirectional LSTM reads
-the whole sequence and labels every block as main text or not, so that a block's label rests on
-the page around it. It is trained here, on generated pages of known structure and on a bounded
-sample of given pages whose own semantic tags label their blocks.
+A page is parsed into its sequence of leaf blocks, in linear time. Each block is a vector of its
+hashed tag path (with class and id words), its hashed words and a few counts; a numpy
+bidirectional LSTM reads the whole sequence and labels every block as main text or not, so that a
+block's label rests on the page around it. It is trained here, on generated pages of known
+structure and on a bounded sample of given pages whose own semantic tags label their blocks; of
+both kinds it also sees versions without these tags and without names.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import small_batches
+from folioqc.llm.common import sample_rows, slices
 
 # Element kinds of HTML that decide how markup is cut into blocks.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -34,139 +35,208 @@ PHRASE = INLINE | MATH
 #: Start tags that leave an open head open; any other, or text, ends it.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*>|/[^>]*>)""", re.S)
+COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
 ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 
 PATH_SPACE, WORD_SPACE = 2048, 2048
 EMBED, COUNTS, HIDDEN = 12, 6, 16
-LANES = 256
-TRAIN_PAGES, SAMPLE_PAGES, STEPS = 900, 300, 220
+#: Pages that run side by side, and cells (blocks by pages) that they may fill.
+LANES, CELLS = 256, 1 << 18
+#: Generated pages; bounds of the sample of given pages: rows and bytes; blocks of a training window
+#: (a longer page gives several); steps.
+TRAIN_PAGES, SAMPLE_PAGES, SAMPLE_BYTES, TRAIN_BLOCKS, STEPS = 1200, 300, 24 << 20, 256, 340
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, name, attributes) of all tags; comments and declarations have no name.
+
+    A quote counts after an equals sign only. If a tag does not end because its quotes do not, this
+    and all later tags end at their first >, so that the rest of the page is not lost and no
+    character is looked at more than a few times.
+    """
+    at, last, loose = 0, page.rfind(">"), False
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            at = COMMENT.match(page, i).end()
+            yield i, at, False, "", ""
+            continue
+        if i > last:
+            return
+        closes = page.startswith("/", i + 1)
+        name = NAME.match(page, i + 1 + closes)
+        if not name:
+            if not (closes or page.startswith(("!", "?"), i + 1)):
+                at = i + 1
+                continue
+            at = page.find(">", i) + 1
+            yield i, at, False, "", ""
+            continue
+        end = 0 if loose else _tag_end(page, name.end())
+        if not end:
+            loose, end = True, page.find(">", i) + 1
+        yield i, end, closes, name[0].lower(), page[name.end() : end - 1]
+        at = end
+
+
+def _tag_end(page: str, at: int) -> int:
+    while m := QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            break
+    return 0
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A leaf: the sets (as bits) of the tags and of the names on its path, its depth, its text and
+    the characters of it that are in links. Sets of one path are shared by all its blocks."""
+
+    __slots__ = ("tags", "names", "depth", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, tags: int, names: int, depth: int, text: str, linked: int):
+        self.tags, self.names, self.depth, self.text, self.linked = tags, names, depth, text, linked
 
 
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
-    """A tag and the words of its class, id and role."""
-    if not attributes:
-        return (tag,)
-    words = [w for m in ATTR.finditer(attributes) for w in NAME_PART.findall(next(g for g in m.groups() if g is not None).lower())]
-    return (tag, *(f".{w}" for w in words))
+_buckets: dict[tuple[str, int], int] = {}
+
+
+def _bucket(word: str, space: int) -> int:
+    key = (word, space)
+    found = _buckets.get(key)
+    if found is None:
+        if len(_buckets) > 500_000:
+            _buckets.clear()
+        found = _buckets[key] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % space
+    return found
+
+
+def _bits(words: Iterable[str]) -> int:
+    out = 0
+    for w in words:
+        out |= 1 << _bucket(w, PATH_SPACE)
+    return out
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order, with white space collapsed; hidden and raw elements are none."""
+    """Leaf blocks in page order, with white space collapsed; hidden and raw elements are none.
+
+    Each open element has its set of path words, made from its parent's; open elements are also
+    listed by tag, so that no end tag looks through the stack.
+    """
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int, int]] = []
+    open_at: dict[str, list[int]] = {}
+    walls: list[int] = []
     run: list[tuple[str, bool]] = []
-    hidden = links = 0
-    at = 0
+    hidden = links = at = skip_to = 0
 
     def flush() -> None:
         if run:
             text = " ".join("".join(t for t, _ in run).split())
             if text:
-                found.append(Block(tuple(n for _, names in stack for n in names), text, sum(len(t) for t, link in run if link)))
+                found.append(Block(*(stack[-1][1:] if stack else (0, 0)), len(stack), text, sum(len(t) for t, link in run if link)))
             run.clear()
 
-    def end_head() -> None:
-        if stack and stack[-1][0] == "head":
-            pop()
-
-    def say(a: int, b: int) -> None:
-        if hidden and not page[a:b].isspace() and b > a:
-            end_head()
-        if b > a and not hidden:
-            run.append((html.unescape(page[a:b]), links > 0))
+    def push(tag: str, attributes: str) -> None:
+        nonlocal hidden, links
+        names = 0
+        if attributes:
+            names = _bits(f".{w}" for m in ATTR.finditer(attributes) for w in NAME_PART.findall(next(g for g in m.groups() if g is not None).lower()))
+        above = stack[-1] if stack else ("", 0, 0)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in PHRASE:
+            walls.append(len(stack))
+        stack.append((tag, above[1] | _bits((tag,)), above[2] | names))
+        hidden += tag in HIDDEN_TAGS
+        links += tag == "a"
 
     def pop() -> None:
         nonlocal hidden, links
-        tag, _ = stack.pop()
+        tag = stack.pop()[0]
+        open_at[tag].pop()
+        if tag not in PHRASE:
+            walls.pop()
         hidden -= tag in HIDDEN_TAGS
         links -= tag == "a"
 
-    while True:
-        m = TAG.search(page, at)
-        if not m:
-            say(at, len(page))
-            break
-        say(at, m.start())
-        at = m.end()
-        tag = (m[2] or "").lower()
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop()
+
+    def say(a: int, b: int) -> None:
+        if b > a:
+            if hidden and not page[a:b].isspace():
+                end_head()
+            if not hidden:
+                run.append((html.unescape(page[a:b]), links > 0))
+
+    for start, end, closes, tag, attributes in tags(page):
+        if start < skip_to:
+            continue
+        say(at, start)
+        at = end
         if not tag:
             continue
         if tag not in PHRASE:
             flush()
         elif tag in MATH and not hidden:
             run.append((" ", False))
-        if m[1]:
+        if closes:
             if tag in ("body", "html", "br"):
                 end_head()
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    while len(stack) > n:
-                        pop()
-                    break
-                if tag in PHRASE and stack[n][0] not in PHRASE:
-                    break
+            place = open_at.get(tag)
+            if place and (tag not in PHRASE or not walls or place[-1] > walls[-1]):
+                least = place[-1]
+                while len(stack) > least:
+                    pop()
             continue
         if tag not in IN_HEAD:
             end_head()
-        if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P | INLINE:
+        if tag in VOID or attributes.endswith("/") and tag not in CLOSES_P | INLINE:
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-            while stack and stack[-1][0] in PHRASE | {"p"}:
-                if pop() or not any(t == "p" for t, _ in stack):
-                    break
+        if tag in CLOSES_P:
+            while open_at.get("p") and stack[-1][0] in PHRASE | {"p"}:
+                pop()
         if tag in SIBLINGS:
             while stack and stack[-1][0] in PHRASE | {"p", *SIBLINGS[tag]}:
                 pop()
-        stack.append((tag, _names(tag, m[3])))
-        hidden += tag in HIDDEN_TAGS
-        links += tag == "a"
+        push(tag, attributes)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = RAW_END[tag].search(page, at)
+            after = page.find(">", close.end()) + 1 if close else 0
+            at = skip_to = after or len(page)
             pop()
+    say(at, len(page))
     flush()
     return found
 
 
-_buckets: dict[tuple[str, int], int] = {}
-
+def _positions(bits: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(PATH_SPACE // 8, "little"), np.uint8), bitorder="little")).astype(np.uint16)
 
-def _bucket(word: str, space: int) -> int:
-    key = (word, space)
-    found = _buckets.get(key)
-    if found is None:
-        if len(_buckets) > 500_000:
-            _buckets.clear()
-        found = _buckets[key] = zlib.crc32(word.encode()) % space
-    return found
 
-
-def vectors(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Path buckets, word buckets and counts of every block."""
-    paths, words, counts = [], [], np.zeros((len(page), COUNTS), np.float32)
+def vectors(page: list[Block]) -> tuple[list[np.ndarray], np.ndarray, list[list[int]], np.ndarray]:
+    """Buckets of the distinct paths and the path of every block; word buckets and counts of every block."""
+    known: dict[int, int] = {}
+    path_of = np.asarray([known.setdefault(b.tags | b.names, len(known)) for b in page], np.int64)
+    words, counts = [], np.zeros((len(page), COUNTS), np.float32)
     n = max(1, len(page))
     for i, b in enumerate(page):
-        paths.append([_bucket(p, PATH_SPACE) for p in b.path] or [0])
-        split = set(b.text.lower().split())
-        words.append([_bucket(w, WORD_SPACE) for w in split])
+        words.append([_bucket(w, WORD_SPACE) for w in set(b.text.lower().split())])
         size = len(b.text)
-        counts[i] = (np.log1p(size) / 6, min(1.0, b.linked / size), i / n, len(b.path) / 12, sum(map(b.text.count, ".,;:!?")) / size * 10, np.log1p(n) / 6)
-    return paths, words, counts
+        counts[i] = (np.log1p(size) / 6, min(1.0, b.linked / size), i / n, min(b.depth, 100) / 12, sum(map(b.text.count, ".,;:!?")) / size * 10, np.log1p(n) / 6)
+    return [_positions(p) for p in known], path_of, words, counts
 
 
 class Lstm:
@@ -224,45 +294,60 @@ class Labeller:
         self.out = rng.normal(0, 0.3, 2 * HIDDEN).astype(np.float32)
         self.bias = np.zeros(1, np.float32)
 
-    def inputs(self, pages: list) -> tuple[np.ndarray, np.ndarray, list]:
-        """x (blocks, pages, inputs), solid, and what backpropagation needs of the bags."""
-        longest = max(len(p[0]) for p in pages)
+    def inputs(self, pages: list) -> tuple[np.ndarray, np.ndarray, tuple, list]:
+        """x (blocks, pages, inputs), solid, the places of blocks, and each bag's members: buckets,
+        the bag of each, shares, and the bag of each block."""
+        longest = max(len(p[1]) for p in pages)
         x = np.zeros((longest, len(pages), 2 * EMBED + COUNTS), np.float32)
         solid = np.zeros((longest, len(pages)), np.float32)
+        t = np.concatenate([np.arange(len(p[1])) for p in pages])
+        lane = np.repeat(np.arange(len(pages)), [len(p[1]) for p in pages])
+        first = np.cumsum([0, *(len(p[0]) for p in pages)])
+        listed = (
+            (self.path, [b for p in pages for b in p[0]], np.concatenate([p[1] + o for p, o in zip(pages, first)])),
+            (self.word, [b for p in pages for b in p[2]], np.arange(len(t))),
+        )
         bags = []
-        for k, table in enumerate((self.path, self.word)):
-            rows = [row for p in pages for row in p[k]]
-            sizes = np.asarray([len(r) for r in rows])
-            flat = np.asarray([v for r in rows for v in r], np.int64)
-            owner = np.repeat(np.arange(len(rows)), sizes)
+        for k, (table, rows, of_block) in enumerate(listed):
+            sizes = np.asarray([len(r) for r in rows], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint16), *(np.asarray(r, np.uint16) for r in rows)])
             share = (1 / np.maximum(1, sizes)).astype(np.float32)
             sums = np.zeros((len(rows), EMBED), np.float32)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                sums[full] = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
-            bags.append((flat, owner, share, sums * share[:, None]))
-        t = np.concatenate([np.arange(len(p[0])) for p in pages])
-        lane = np.repeat(np.arange(len(pages)), [len(p[0]) for p in pages])
-        x[t, lane, :EMBED], x[t, lane, EMBED : 2 * EMBED] = bags[0][3], bags[1][3]
-        x[t, lane, 2 * EMBED :] = np.concatenate([p[2] for p in pages])
+            ends = np.cumsum(sizes)
+            # Members are summed in parts, so that their vectors never all stand side by side.
+            a = 0
+            while a < len(rows):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CELLS, "right")))
+                full = a + np.flatnonzero(sizes[a:b])
+                if len(full):
+                    low = ends[a] - sizes[a]
+                    sums[full] = np.add.reduceat(table[flat[low : ends[b - 1]]], ends[full] - sizes[full] - low, axis=0)
+                a = b
+            x[t, lane, k * EMBED : (k + 1) * EMBED] = (sums * share[:, None])[of_block]
+            bags.append((flat, sizes, share, of_block))
+        x[t, lane, 2 * EMBED :] = np.concatenate([p[3] for p in pages])
         solid[t, lane] = 1
-        return x, solid, [(t, lane), bags]
+        return x, solid, (t, lane), bags
 
     def probabilities(self, pages: list) -> list[np.ndarray]:
         """Probability of main text of every block of each page (as vectors() gives it)."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if p[0]), key=lambda i: len(pages[i][0]))
-        for k in range(0, len(order), LANES):
-            part = order[k : k + LANES]
-            x, solid, _ = self.inputs([pages[i] for i in part])
+        order = sorted((i for i, p in enumerate(pages) if len(p[1])), key=lambda i: len(pages[i][1]))
+        while order:
+            # Pages of like length run together; the longest page sets how many.
+            n = max(1, min(LANES, len(order)))
+            while n > 1 and n * len(pages[order[n - 1]][1]) > CELLS:
+                n //= 2
+            part, order = order[:n], order[n:]
+            x, solid, _, _ = self.inputs([pages[i] for i in part])
             states = np.concatenate([self.a.run(x, solid), self.b.run(x[::-1], solid[::-1])[::-1]], axis=2)
             p = 1 / (1 + np.exp(-(states @ self.out + self.bias)))
             for lane, i in enumerate(part):
-                out[i] = p[: len(pages[i][0]), lane]
+                out[i] = p[: len(pages[i][1]), lane]
         return out
 
     def learn(self, pages: list, labels: list[np.ndarray]) -> list[tuple[object, str, np.ndarray]]:
-        x, solid, ((t, lane), bags) = self.inputs(pages)
+        x, solid, (t, lane), bags = self.inputs(pages)
         ka, kb = [], []
         states = np.concatenate([self.a.run(x, solid, ka), self.b.run(x[::-1], solid[::-1], kb)[::-1]], axis=2)
         p = 1 / (1 + np.exp(-(states @ self.out + self.bias)))
@@ -275,10 +360,11 @@ class Labeller:
         dx = xa + xb[::-1]
         grads = [(self.a, "w", wa), (self.a, "b", ba), (self.b, "w", wb), (self.b, "b", bb), (self, "out", (d[:, :, None] * states).sum((0, 1))), (self, "bias", d.sum()[None])]
         for k, name in enumerate(("path", "word")):
-            flat, owner, share, _ = bags[k]
-            row = dx[t, lane, k * EMBED : (k + 1) * EMBED] * share[:, None]
+            flat, sizes, share, of_block = bags[k]
+            of_bag = np.zeros((len(sizes), EMBED), np.float32)
+            np.add.at(of_bag, of_block, dx[t, lane, k * EMBED : (k + 1) * EMBED])
             g = np.zeros_like(getattr(self, name))
-            np.add.at(g, flat, row[owner])
+            np.add.at(g, flat, np.repeat(of_bag * share[:, None], sizes, axis=0))
             grads.append((self, name, g))
         return grads
 
@@ -365,6 +451,10 @@ def generated_page(rng: np.random.Generator) -> tuple[str, list[str], list[str]]
                 parts.append(boiler(rng.choice(["ad", "aside", "form", "notice"])))
         return "".join(parts)
 
+    if rng.random() < 0.06:
+        # Text without any container, or without any markup.
+        texts = [take(" ".join(_sentence(rng, 3, 25) for _ in range(int(rng.integers(1, 4)))), main) for _ in range(int(rng.integers(1, 6)))]
+        return "".join(f"<p>{t}" for t in texts) if rng.random() < 0.6 else "\n".join(texts), main, other
     before = [k for k in ("notice", "header", "menu", "ad", "aside", "form") if rng.random() < (0.7 if k == "menu" else 0.35)]
     after = [k for k in ("ad", "aside", "form", "comments", "footer", "notice", "menu") if rng.random() < (0.75 if k == "footer" else 0.5 if k == "comments" else 0.25)]
     rng.shuffle(before)
@@ -394,30 +484,43 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = 17) -> tuple[list[list[Bloc
 
 
 # Elements whose meaning labels blocks of given pages.
-_IS_MAIN = frozenset(("article", "main"))
-_IS_OTHER = frozenset(("nav", "header", "footer", "aside", "form", "menu", "button", ".ad", ".ads", ".comments", ".comment", ".cookie", ".sidebar"))
+_IS_MAIN = ("article", "main")
+_IS_OTHER = ("nav", "header", "footer", "aside", "form", "menu", "button")
+_IS_OTHER_NAME = (".ad", ".ads", ".comments", ".comment", ".cookie", ".sidebar")
 
 
 def self_labelled(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray]]:
     """Pages with a semantic main element, labelled by their own tags."""
-    found = [b for b in map(blocks, pages) if any(_IS_MAIN & set(x.path) for x in b)]
-    return found, [np.asarray([float(bool(_IS_MAIN & set(x.path)) and not _IS_OTHER & set(x.path)) for x in b], np.float32) for b in found]
+    main, other, names = _bits(_IS_MAIN), _bits(_IS_OTHER), _bits(_IS_OTHER_NAME)
+    found = [b for b in map(blocks, pages) if any(main & x.tags for x in b)]
+    return found, [np.asarray([float(bool(main & x.tags) and not other & x.tags and not names & x.names) for x in b], np.float32) for b in found]
 
 
-def train(sample: list[str], steps: int = STEPS, seed: int = 23) -> Labeller:
-    """Adam over batches of generated and self-labelled pages. Names are dropped from half of the
-    paths, so that structure and words are learnt too."""
-    pages, labels = training_pages()
-    own, own_labels = self_labelled(sample)
-    rng = np.random.default_rng(seed)
+def _plainer(page: list[Block], rng: np.random.Generator, how: int) -> list[Block]:
+    """The page as it is; with some names dropped; with semantic elements made div; with both."""
+    if not how:
+        return page
+    semantic, div = _bits((*_IS_MAIN, *_IS_OTHER, "section")), _bits(("div",))
+    bits = np.frombuffer(rng.bytes(PATH_SPACE // 8), np.uint8)
+    kept = int.from_bytes(bits.tobytes(), "little") if rng.random() < 0.7 else 0
+    out = []
+    for b in page:
+        t = b.tags & ~semantic | div if how > 1 and b.tags & semantic else b.tags
+        out.append(Block(t, b.names & kept if how % 2 else b.names, b.depth, b.text, b.linked))
+    return out
 
-    def featured(page: list[Block], bare: bool) -> tuple:
-        if bare:
-            page = [Block(tuple(p for p in b.path if p[0] != "." or rng.random() < 0.5), b.text, b.linked) for b in page]
-        return vectors(page)
 
-    data = [(featured(p, i % 2 == 1), y) for i, (p, y) in enumerate(zip(pages, labels)) if p]
-    data += [(featured(p, False), y) for p, y in zip(own, own_labels) if p and len(p) <= 400]
+def train(sample: list[str], steps: int = STEPS, seed: int = 23) -> Labeller:
+    """Adam over batches of windows of generated and self-labelled pages, in plainer forms as well,
+    so that structure and words are learnt and not some tag."""
+    rng = np.random.default_rng(seed)
+    data = []
+    for page, y in (x for pages, labels in (training_pages(), self_labelled(sample)) for x in zip(pages, labels)):
+        for a in range(0, len(page), TRAIN_BLOCKS):
+            part = _plainer(page, rng, int(rng.integers(0, 4)))
+            listed, path_of, words, counts = vectors(part)
+            used, of_part = np.unique(path_of[a : a + TRAIN_BLOCKS], return_inverse=True)
+            data.append((([listed[k] for k in used], of_part, words[a : a + TRAIN_BLOCKS], counts[a : a + TRAIN_BLOCKS]), y[a : a + TRAIN_BLOCKS]))
     net = Labeller()
     moments: dict[tuple[int, str], list[np.ndarray]] = {}
     for step in range(1, steps + 1):
@@ -438,21 +541,21 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
     return [" ".join(b.text for b, p in zip(page, ps) if p >= 0.5) for page, ps in zip(parsed, probabilities)]
 
 
-def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     A null or empty html, or one without main text, gives an empty text. Every page is parsed and
-    labelled whole, on its own; repeated rows agree and null identifiers pass through.
+    labelled whole, on its own; repeated rows agree, null identifiers pass through and no row gives
+    no row. Only page_id, url and html are read, so other columns may have any names. Memory grows
+    with the blocks of the longest page, about 500 bytes each.
     """
-    small_batches(pages.sparkSession, 500)
-    ids = pages.where("html is not null and page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).distinct()
-    sample = sorted(r.html for r in pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").where("html is not null").collect())
-    net = train(sample[: 2 * sample_pages])
+    slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    sample = sample_rows(slim.where("html is not null").select("page_id", "html"), "html", sample_pages, sample_bytes, "pages")
+    net = train([r.html for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts = main_texts(net, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return slim.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
