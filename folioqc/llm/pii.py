@@ -1,11 +1,12 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
 Base patterns give fixed spans. Mentions that no base span covers (words with an at sign, runs of
-digits, cut where two numbers stand side by side) and the base spans of a document are the nodes of a random field: neighbours along the
+digits) and the base spans of a document are the nodes of a random field: neighbours along the
 text share chain potentials, and mentions that are the same or similar (equal text, equal digits,
 equal last digits, equal local part of an address), however far apart, share skip potentials.
-Loopy message passing makes their labels agree, so a number written without its prefix is found
-where the document has it in full. Weights are learnt by pseudo-likelihood from a bounded sample of
+Loopy message passing, until no message changes, makes their labels agree, so a number written
+without its prefix is found where the document has it in full. Where several numbers stand side by
+side, the node potentials decide which groups of digits are a mention. Weights are learnt by pseudo-likelihood from a bounded sample of
 base spans and degraded copies of them.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import small_batches
+from folioqc.llm.common import sample_rows, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -36,13 +37,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"\S+")
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])*")
-#: Where a block of 12 digits or more stands beside other digits, a run is two mentions.
-GLUE = re.compile(r"(?<=[0-9]{12}) +(?=[+(0-9])|(?<=[0-9]) +(?=[0-9]{12})")
-
-#: Digits that an uncovered run must have to be a mention, and kept spans' marginal.
-MIN_DIGITS, MIN_MARGINAL = 7, 0.5
-MAX_DOCUMENTS = 3000
-ROUNDS, DAMPING = 8, 0.3
+GROUP = re.compile(r"[+(]{0,2}[0-9](?:[().-]{0,2}[0-9])*")
+
+#: Digits that an uncovered run must have to be a mention, digits that a part of a run may have to be
+#: one, and the marginal of spans that are kept.
+MIN_DIGITS, PART_DIGITS, MIN_MARGINAL = 7, (10, 19), 0.5
+#: Bounds of the learning sample, of whole documents: rows and bytes.
+MAX_DOCUMENTS, MAX_BYTES = 3000, 24 << 20
+#: Message passing ends when no message changes by more, or after so many rounds (loops may not settle).
+TOLERANCE, MAX_ROUNDS, DAMPING = 1e-3, 200, 0.3
 SKIPS = ("same text", "same digits", "same tail", "same local part")
 
 Span = tuple[int, int, int]
@@ -154,20 +157,26 @@ def keys(text: str) -> list[tuple[int, str]]:
 
 
 def build(mentions: list[tuple[int, int, str, str, str]], observed: list[int]) -> Graph:
-    """Nodes and edges. Equal keys are linked along the text, each to the next, so that a mention
-    repeated n times has n - 1 edges of a kind."""
+    """Nodes and edges. Of mentions with an equal key each is linked to the one before and to the first
+    observed one (or the first of all), so that evidence is one step away however often a mention
+    is repeated, and n of them have fewer than 2 n edges of a kind."""
     n = len(mentions)
     features = np.stack([shape(t, b, a) for _, _, t, b, a in mentions]) if n else np.zeros((0, N_FEATURES), np.float32)
     last: dict[tuple[int, str], int] = {}
+    sure: dict[tuple[int, str], int] = {}
+    for i, m in enumerate(mentions):
+        for key in keys(m[2]):
+            if key not in sure or observed[i] >= 0 > observed[sure[key]]:
+                sure[key] = i
     skip, kind = [], []
     for i, m in enumerate(mentions):
         linked = set()
         for key in keys(m[2]):
-            j = last.get(key)
-            if j is not None and j not in linked:
-                skip.append((j, i))
-                kind.append(key[0])
-                linked.add(j)
+            for j in (last.get(key), sure[key]):
+                if j is not None and j != i and j not in linked and (j < i or last.get(key) is None):
+                    skip.append((min(i, j), max(i, j)))
+                    kind.append(key[0])
+                    linked.add(j)
             last[key] = i
     chain = np.stack([np.arange(n - 1), np.arange(1, n)], 1) if n > 1 else np.zeros((0, 2), np.int64)
     return Graph([(m[0], m[1]) for m in mentions], features, np.asarray(observed, np.int64), chain, np.asarray(skip, np.int64).reshape(-1, 2), np.asarray(kind, np.int64))
@@ -185,23 +194,58 @@ def gaps(a: int, b: int, starts: list[int], ends: list[int]) -> Iterator[tuple[i
         yield a, b
 
 
-def number_mentions(text: str, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of digits outside of base spans, cut where two numbers only stand side by side.
-
-    A base pattern takes a phone and a card with one space between for one number and drops it."""
+def number_mentions(text: str, starts: list[int], ends: list[int], field: Field | None) -> Iterator[tuple[int, int]]:
+    """Runs of digits outside of base spans, divided where the field finds mentions in them."""
     for run in RUN.finditer(text):
         if run.end() - run.start() < MIN_DIGITS:
             continue
         for lo, hi in gaps(run.start(), run.end(), starts, ends):
             for part in RUN.finditer(text, lo, hi):
-                at = part.start()
-                for a, b in [*(g.span() for g in GLUE.finditer(text, at, part.end())), (part.end(), part.end())]:
-                    if a - at >= MIN_DIGITS and len(_digits(text[at:a])) >= MIN_DIGITS:
-                        yield at, a
-                    at = b
+                for a, b in divided(text, part.start(), part.end(), field) if field else [part.span()]:
+                    if b - a >= MIN_DIGITS and len(_digits(text[a:b])) >= MIN_DIGITS:
+                        yield a, b
+
+
+def divided(text: str, a: int, b: int, field: Field) -> list[tuple[int, int]]:
+    """text[a:b], a run of digit groups, as parts: those whose node potentials speak for a kind, with
+    the greatest sum of their margins over no kind, and what lies between. A base pattern takes
+    numbers side by side for one number and drops it."""
+    groups = [g.span() for g in GROUP.finditer(text, a, b)]
+    if len(groups) < 2:
+        return [(a, b)]
+    digits = np.cumsum([0, *(len(_digits(text[x:y])) for x, y in groups)])
+    best, back = [0.0], [0]
+    for k in range(1, len(groups) + 1):
+        best.append(best[-1])
+        back.append(k)
+        for j in range(k - 1, -1, -1):
+            n = digits[k] - digits[j]
+            if n > PART_DIGITS[1]:
+                break
+            if n >= PART_DIGITS[0]:
+                x, y = groups[j][0], groups[k - 1][1]
+                scores = shape(text[x:y], text[x - 1 : x] if x else "", text[y : y + 1]) @ field.node
+                gain = best[j] + float(scores[1:].max() - scores[0])
+                if gain > best[k]:
+                    best[k], back[k] = gain, j
+    parts, k, end = [], len(groups), None
+    while k:
+        j = back[k]
+        if j == k:
+            end, k = groups[k - 1][1] if end is None else end, k - 1
+            start = groups[k][0]
+            continue
+        if end is not None:
+            parts.append((start, end))
+            end = None
+        parts.append((groups[j][0], groups[k - 1][1]))
+        k = j
+    if end is not None:
+        parts.append((groups[0][0], end))
+    return parts[::-1]
 
 
-def open_mentions(text: str, base: list[Span]) -> list[tuple[int, int]]:
+def open_mentions(text: str, base: list[Span], field: Field | None = None) -> list[tuple[int, int]]:
     """Mentions that no base span touches."""
     starts, ends = [], []
     for a, b, _ in base:
@@ -218,7 +262,7 @@ def open_mentions(text: str, base: list[Span]) -> list[tuple[int, int]]:
                 b = m.end() - len(m[0]) + len(m[0].rstrip(")>]}\"'*#$%&!.,;:"))
                 if b - a > 2 and next(gaps(a, b, starts, ends), None) == (a, b):
                     found.append((a, b))
-    found += number_mentions(text, starts, ends)
+    found += number_mentions(text, starts, ends, field)
     found.sort()
     out, free = [], 0
     for a, b in found:
@@ -228,9 +272,9 @@ def open_mentions(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def graph_of(text: str, base: list[Span]) -> Graph | None:
+def graph_of(text: str, base: list[Span], field: Field) -> Graph | None:
     """None when nothing is open: base spans stay as they are."""
-    loose = open_mentions(text, base)
+    loose = open_mentions(text, base, field)
     if not loose:
         return None
     nodes = sorted([(a, b, k + 1) for a, b, k in base] + [(a, b, -1) for a, b in loose])
@@ -253,7 +297,7 @@ class Field:
 
 
 def marginals(field: Field, graphs: list[Graph]) -> list[np.ndarray]:
-    """Loopy sum-product over all graphs of a batch at once, ROUNDS rounds, damped."""
+    """Loopy sum-product over all graphs of a batch at once, damped; a graph stops when its messages do."""
     sizes = [len(g.spans) for g in graphs]
     offset = np.concatenate([[0], np.cumsum(sizes)])
     unary = np.concatenate([g.features for g in graphs]) @ field.node
@@ -271,14 +315,23 @@ def marginals(field: Field, graphs: list[Graph]) -> list[np.ndarray]:
     e = len(edges)
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
     messages = np.zeros((2 * e, len(LABELS)))
-    for _ in range(ROUNDS):
+    graph_of_edge = np.searchsorted(offset, target, "right") - 1
+    moving = np.arange(2 * e)
+    for _ in range(MAX_ROUNDS):
         belief = unary.copy()
         np.add.at(belief, target, messages)
-        rest = belief[source] - messages[back]
+        rest = belief[source[moving]] - messages[back[moving]]
         rest = np.exp(rest - rest.max(1, keepdims=True))
-        new = np.log(np.einsum("ei,eij->ej", rest, tables) + 1e-300)
+        new = np.log(np.einsum("ei,eij->ej", rest, tables[moving]) + 1e-300)
         new -= new.max(1, keepdims=True)
-        messages = DAMPING * messages + (1 - DAMPING) * new
+        change = np.abs(new - messages[moving]).max(1) > TOLERANCE
+        messages[moving] = DAMPING * messages[moving] + (1 - DAMPING) * new
+        # Graphs share no messages, so what a batch holds besides changes nothing.
+        restless = np.zeros(len(graphs), bool)
+        restless[graph_of_edge[moving[change]]] = True
+        moving = moving[restless[graph_of_edge[moving]]]
+        if not len(moving):
+            break
     belief = unary.copy()
     np.add.at(belief, target, messages)
     p = np.exp(belief - belief.max(1, keepdims=True))
@@ -367,10 +420,9 @@ def train(texts: list[str], steps: int = 300, seed: int = 29) -> Field:
     return field
 
 
-def learning_sample(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> list[str]:
-    ids = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64(F.lit("pii"), "doc_id"), "doc_id").limit(max_documents).distinct()
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").rlike("@|[0-9]")).collect()
-    return [r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+def learning_sample(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> list[str]:
+    rows = docs.where("doc_id is not null and text is not null").where(F.col("text").rlike("@|[0-9]")).select("doc_id", F.col("text").cast("string").alias("text"))
+    return [r.text for r in sample_rows(rows, "text", max_documents, max_bytes, "pii")]
 
 
 def label(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
@@ -378,7 +430,7 @@ def label(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]
     bases = [base_spans(t) for t in texts]
     at, graphs = [], []
     for i, (text, base) in enumerate(zip(texts, bases)):
-        graph = graph_of(text, base) if "@" in text or DIGIT.search(text) else None
+        graph = graph_of(text, base, field) if "@" in text or DIGIT.search(text) else None
         if graph:
             at.append(i)
             graphs.append(graph)
@@ -392,24 +444,26 @@ def label(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans (of all kinds),
+    n_added (by the field).
 
     Null texts are empty: no spans, the digest of an empty list. Every text is read whole and on
-    its own, so repeated rows agree; null identifiers pass through.
+    its own, so repeated rows agree; null identifiers pass through; no row gives no row. Only doc_id
+    and text are read, so other columns may have any names.
     """
-    small_batches(docs.sparkSession)
     field = train(learning_sample(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = label(field, [t or "" for t in batch.column(1).to_pylist()])
             columns = [batch.column(0)]
             for k in range(len(KINDS)):
                 columns.append(pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()))
             columns.append(pa.array([hashlib.sha256(write_spans(base).encode()).hexdigest() for base, _ in found], pa.string()))
             columns.append(pa.array([write_spans(spans) for _, spans in found], pa.string()))
+            columns.append(pa.array([len(spans) for _, spans in found], pa.int64()))
             columns.append(pa.array([len(spans) - len(base) for base, spans in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return slim.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint, n_added bigint")
