@@ -16,8 +16,8 @@ looks up any H + 1 of its non-empty segments finds every partner:
   too few its empty segments. A pair of thin sets then meets in one of these; a pair with one set that is
   not thin meets through that one.
 
-Candidates are verified by the exact size of intersection and union. Sets of equal content are one
-set throughout. Holders of a signature first meet only through single members, so a large group
+Candidates are verified by the exact size of intersection and union of the sets of 64-bit shingle
+hashes; sets of equal size and equal 128-bit digest are taken for equal and are one set throughout. Holders of a signature first meet only through single members, so a large group
 of near copies is joined up along stars; then every holder pair that is still apart is verified,
 so no link between different texts is lost and no group is expanded into all its pairs.
 """
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import cut, small_batches
+from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, packed, release, slices, unpacked
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= THRESHOLD * union.
@@ -42,13 +43,13 @@ STAR_ROUNDS = 3
 #: Bytes of packed signatures that one bucket holds, and entries that a task sends at once.
 BUCKET_BYTES = 24 << 20
 FLUSH_ENTRIES = 1 << 20
-#: Sets of a block that ask, sets they meet at a time, and parts of a signature's holder list.
-BLOCK_SETS, CHUNK_SETS, PIECES = 256, 4096, 8
-#: A list of identifiers is broadcast up to this many rows, and shuffled beyond.
-BROADCAST_ROWS = 2_000_000
+#: Signatures that HOT_COUNT of a sample's sets hold are dealt to tasks by set, not by signature. The
+#: sample, which only decides how signatures travel, has HOT_SAMPLE sets or one in HOT_EVERY.
+HOT_SAMPLE, HOT_EVERY, HOT_COUNT, HOT_MOST = 8192, 16384, 16, 2_000_000
+#: Shingles of the sets of a block that ask, and of those that it meets at a time; holders in a list.
+BLOCK_ITEMS, CHUNK_ITEMS, LIST_DOCS = 1 << 18, 1 << 20, 4096
 
 _U = np.uint64
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,36 +59,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = _mix(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64)) | _U(1)
-_STEP, _BACK = _U(0x9E3779B97F4A7C15), pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _grow_powers(n: int) -> None:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_STEP, _U(_BACK))):
-                _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+class _Words(dict):
+    """The 64-bit hash of each word met, bounded in number."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_words = _Words()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order; equal words have equal hashes."""
-    raw = np.frombuffer(text.translate(_LOWER), np.uint8)
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    _grow_powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * _powers[0][: len(raw)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * _powers[1][start] + (end - start).astype(np.uint64))
+    """A hash of each word of a text, in order. In bytes, lower() and split() know ASCII alone."""
+    listed = text.lower().split()
+    return np.fromiter(map(_words.__getitem__, listed), np.uint64, len(listed))
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; empty without words."""
-    w = word_hashes((text or "").encode())
+    w = word_hashes((text or "").encode("utf-8", "surrogatepass"))
     if not len(w):
         return w
     if len(w) < SHINGLE:
@@ -130,10 +126,15 @@ def schemes(n: int) -> list[tuple[int, int]]:
     return found
 
 
+def segment_of(items: np.ndarray, band: int) -> np.ndarray:
+    """The segment of each element of a sorted set; it ascends."""
+    return ((items >> _U(32)) * _U(segments(band))) >> _U(32)
+
+
 def signatures(items: np.ndarray, band: int, most: int) -> tuple[np.ndarray, int, bool]:
     """Signatures of a sorted set in a scheme, the number of non-empty segments, and if it is thin."""
     m = segments(band)
-    seg = ((items >> _U(32)) * _U(m)) >> _U(32)
+    seg = segment_of(items, band)
     first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
     at = seg[first]
     mixed = _mix(items ^ _U(0x5851F42D4C957F2D))
@@ -154,31 +155,58 @@ def signatures(items: np.ndarray, band: int, most: int) -> tuple[np.ndarray, int
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest (h1, h2) of the set of every whole text."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_shingles, a 128-bit digest (h1, h2) of the set of every whole text, and for each
+    scheme of the set (part) its non-empty segments, H, and if it is thin."""
+    part = pa.struct([("part", pa.int32()), ("filled", pa.int64()), ("most", pa.int64()), ("thin", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, h1, h2 = [], [], []
+        for batch in slices(batches):
+            n, h1, h2, parts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingles(text)
                 n.append(len(items))
                 h1.append(int(np.sum(_mix(items), dtype=np.uint64).view(np.int64)))
                 h2.append(int(np.sum(_mix(items ^ _U(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
+                listed = []
+                for k, (band, most) in enumerate(schemes(len(items)) if len(items) else []):
+                    seg = segment_of(items, band)
+                    filled = 1 + int(np.count_nonzero(seg[1:] != seg[:-1]))
+                    listed.append({"part": k, "filled": filled, "most": most, "thin": filled <= most})
+                parts.append(listed)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in (n, h1, h2)), pa.array(parts, pa.list_(part))], ["doc_id", "n_shingles", "h1", "h2", "parts"]
+            )
 
-    return _slim(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+    return _slim(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, parts array<struct<part: int, filled: bigint, most: bigint, thin: boolean>>")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_signatures(docs: DataFrame, n_buckets: int) -> DataFrame:
+def hot_signatures(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Sorted signatures that many sets of a sample hold."""
+    every = max(1, n_docs // max(HOT_SAMPLE, n_docs // HOT_EVERY))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                items = shingles(text)
+                for band, most in schemes(len(items)) if len(items) else []:
+                    yield pa.RecordBatch.from_arrays([pa.array(signatures(items, band, most)[0].view(np.int64))], ["sig"])
+
+    seen = _slim(docs).where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(every)) == 0).mapInArrow(run, "sig bigint")
+    counted = seen.groupBy("sig").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "sig").limit(HOT_MOST)
+    return np.sort(np.asarray([r.sig for r in counted.select("sig").collect()], np.int64).view(np.uint64))
+
+
+def shared_signatures(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
     """doc_id, part, sig, holders for every signature that two or more sets hold.
 
     Signatures travel packed: a task sends, for each bucket of the signature space, one array of
-    signatures and one of document numbers, and a bucket is sorted as a whole where it arrives.
+    signatures and one of document numbers, and a bucket is sorted as a whole where it arrives. So
+    that no bucket has to hold all holders of a very common signature, hot ones go to as many
+    buckets more, by document; these hold what they are sent, and the holders are counted after.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,19 +215,23 @@ def shared_signatures(docs: DataFrame, n_buckets: int) -> DataFrame:
         def flush():
             sig, own = np.concatenate(sigs), np.concatenate(owners)
             ids = np.asarray(docs_seen, np.int64)
-            bucket = ((sig >> _U(40)) * _U(n_buckets)) >> _U(24)
+            bucket = ((sig >> _U(32)) * _U(n_buckets)) >> _U(32)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+                by_doc = _U(n_buckets) + ((_mix(ids.view(np.uint64))[own] >> _U(32)) * _U(n_buckets) >> _U(32))
+                bucket = np.where(hot[at] == sig, by_doc, bucket)
             order = np.argsort(bucket, kind="stable")
-            sig, own = sig[order], own[order]
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+            sig, own, bucket = sig[order], own[order], bucket[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
             out = [[], [], [], []]
-            for b in np.flatnonzero(np.diff(cuts)):
-                s, o = sig[cuts[b] : cuts[b + 1]], own[cuts[b] : cuts[b + 1]]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                s, o = sig[lo:hi], own[lo:hi]
                 used, local = np.unique(o, return_inverse=True)
-                for column, value in zip(out, (int(b), s.tobytes(), local.astype("<u4").tobytes(), ids[used].tobytes())):
+                for column, value in zip(out, (int(bucket[lo]), s.tobytes(), local.astype("<u4").tobytes(), ids[used].tobytes())):
                     column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "sigs", "owners", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "sigs", "owners", "ids"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 items = shingles(text)
                 if not len(items):
@@ -228,32 +260,21 @@ def shared_signatures(docs: DataFrame, n_buckets: int) -> DataFrame:
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
         count = np.diff(np.append(np.flatnonzero(new), len(sig)))
         holders = np.repeat(count, count)
-        keep = holders > 1
+        if key[0].as_py() >= n_buckets:
+            holders[:] = 0
+        keep = holders != 1
         return pa.table(
             [pa.array(own[keep] >> 1, pa.int64()), pa.array((own[keep] & 1).astype(np.int32), pa.int32()), pa.array(sig[keep].view(np.int64), pa.int64()), pa.array(holders[keep].astype(np.int32), pa.int32())],
             ["doc_id", "part", "sig", "holders"],
         )
 
-    small_batches(docs.sparkSession)
-    packed = _slim(docs).mapInArrow(emit, "bucket int, sigs binary, owners binary, ids binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "doc_id bigint, part int, sig bigint, holders int")
-
-
-def allowances(docs: DataFrame) -> DataFrame:
-    """doc_id, part, segments (non-empty) and H for the given documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                items = shingles(text)
-                for part, (band, most) in enumerate(schemes(len(items)) if len(items) else []):
-                    _, filled, thin = signatures(items, band, most)
-                    rows.append((doc_id, part, filled, most, thin))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "part", "filled", "most", "thin"])
-
-    return docs.mapInArrow(run, "doc_id bigint, part int, filled bigint, most bigint, thin boolean")
+    packed = _slim(docs).mapInArrow(emit, "bucket bigint, sigs binary, owners binary, ids binary")
+    found = packed.groupBy("bucket").applyInArrow(meet, "doc_id bigint, part int, sig bigint, holders int")
+    if not len(hot):
+        return found
+    found = cut(found, "packed-signatures")
+    counts = cut(found.where("holders = 0").groupBy("sig").agg(F.count("*").cast("int").alias("n")), "hot")
+    return found.join(F.broadcast(counts), "sig", "left").where("coalesce(n, holders) > 1").select("doc_id", "part", "sig", F.coalesce("n", "holders").alias("holders"))
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -269,9 +290,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         stepped = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("further"))
         new = cut(stepped.join(jump, F.col("component") == F.col("via"), "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        release(labels)
         if new.where("component <> old").isEmpty():
+            release(both)
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels = new
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -292,27 +315,26 @@ def similar_components(docs: DataFrame) -> DataFrame:
     has_set = profile.where("n_shingles > 0 and doc_id is not null")
     sets = cut(has_set.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("rows")), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(1, min(1 << 16, -(-int(total * 0.75) * 10 // BUCKET_BYTES)))
-    n_buckets = max(n_buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = min(1 << 31, max(-(-int(total * 0.75) * 10 // BUCKET_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     # One row for each distinct set stands for it; copies are left out before signatures are made.
     copies = cut(has_set.join(sets.where("rows > 1").select("h1", "h2", F.col("doc_id").alias("first")), ["h1", "h2"]).where("doc_id <> first").select("doc_id").distinct(), "copies")
     whole = _slim(docs).where("doc_id is not null")
     single = whole.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
-    shared = cut(shared_signatures(single, n_buckets), "signatures")
-
-    links = _links(spark, single, shared, sets)
-    named = sets.join(components(spark, links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
-    found = profile.join(named.where("h1 is not null"), ["h1", "h2"], "left")
+    hot = hot_signatures(single, sets.count())
+    shared = cut(shared_signatures(single, n_buckets, hot), "signatures")
+
+    allowed = has_set.select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*").dropDuplicates(["doc_id", "part"])
+    links = cut(_links(spark, single, shared, sets, allowed), "links")
+    release(shared)
+    labelled = sets.join(components(spark, links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
+    found = profile.select("doc_id", "n_shingles", "h1", "h2").join(labelled.where("h1 is not null"), ["h1", "h2"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(spark: SparkSession, single: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(spark: SparkSession, single: DataFrame, shared: DataFrame, sets: DataFrame, allowed: DataFrame) -> DataFrame:
     """Verified links (a, b) between distinct sets that connect all that are linked."""
-    holders = shared.select("doc_id").distinct()
-    allowed = allowances(_only(single, cut(holders, "holders")))
-    lookups = _lookups(shared, allowed)
-    probes = cut(lookups, "lookups")
+    probes = cut(_lookups(shared, allowed), "lookups")
 
     members = cut(shared.select("doc_id", "sig").distinct().join(probes.select("sig").distinct(), "sig", "left_semi").join(sets.select("doc_id", "n_shingles"), "doc_id"), "members")
     items = cut(_sets_of(_only(single, cut(members.select("doc_id").distinct(), "in-buckets"))), "sets-of")
@@ -345,31 +367,45 @@ def _marked(spark: SparkSession, members: DataFrame, links: DataFrame | None) ->
     return cut(members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "marked")
 
 
+def _blocks(seated: DataFrame, keys: list[str]) -> DataFrame:
+    """seated with the number of blocks of about BLOCK_ITEMS shingles that its kind and name fill."""
+    crowd = seated.groupBy(*keys).agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).alias("blocks"))
+    return seated.join(crowd, keys)
+
+
 def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
     """Links (a, b) between components that still share a signature which one of them looked up.
 
-    Sets that look up are put in blocks of about BLOCK_SETS: those of a component with so many
-    together, in blocks that leave out its other members; else those whose most crowded signature
-    is the same, if they are so many; else those whose most crowded signatures have about as many
-    holders, as holders of crowded signatures are often the same sets.
-    A block meets every set that holds one of its signatures, in chunks of about CHUNK_SETS, as sets
-    of a stated query against all others: no row is made for a pair, and a set goes to a block
-    once, however many signatures it has in common with it. Holder lists travel in pieces.
+    Sets that look up are put in blocks of about BLOCK_ITEMS shingles: those of a component that
+    fills one together, in blocks that leave out its other members; else those whose most crowded
+    signature is the same, if they fill one; else those whose most crowded signatures have about as
+    many holders, as holders of crowded signatures are often the same sets.
+    A block meets every set that holds one of its signatures, in chunks of about CHUNK_ITEMS
+    shingles, as sets of a stated query against all others: no row is made for a pair, and a set
+    goes to a block once, however many signatures it has in common with it. Holder lists travel in
+    pieces of about LIST_DOCS.
     """
     spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
     apart = cut(marked.join(spans, "sig"), "apart")
-    seekers = probes.join(apart, ["doc_id", "sig"]).select("doc_id", "sig", "n", "component")
-    home = seekers.groupBy("doc_id").agg(F.max_by("sig", F.struct("n", "sig")).alias("home"), F.max("n").alias("n"), F.first("component").alias("component"))
-    large = home.groupBy("component").count().where(F.col("count") >= BLOCK_SETS).select("component", F.col("component").alias("own"))
-    crowded = home.groupBy("home").count().where(F.col("count") >= BLOCK_SETS).select("home", F.lit(True).alias("crowded"))
+    crowded = apart.agg(F.max("n")).first()[0] or 1
+    slots = 8
+    while slots * LIST_DOCS < crowded:
+        slots *= 2
+    seekers = probes.join(apart, ["doc_id", "sig"]).select("doc_id", "sig", "n", "component", "n_shingles")
+    home = seekers.groupBy("doc_id").agg(F.max_by("sig", F.struct("n", "sig")).alias("home"), F.max("n").alias("n"), F.first("component").alias("component"), F.first("n_shingles").alias("n_shingles"))
+
+    def full(key: str, name: str) -> DataFrame:
+        return home.groupBy(key).agg(F.sum("n_shingles").alias("all")).where(F.col("all") >= BLOCK_ITEMS).select(key, F.lit(True).alias(name))
+
     band = F.floor(F.log2("n")).cast("long")
-    kind = F.when(F.col("own").isNotNull(), "component").when(F.col("crowded"), "signature").otherwise("band")
-    seated = home.join(large, "component", "left").join(crowded, "home", "left").select("doc_id", "component", "own", "home", kind.alias("kind"), F.coalesce("own", F.when(F.col("crowded"), F.col("home")), band).alias("name"))
-    crowd = seated.groupBy("kind", "name").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    kind = F.when(F.col("large"), "component").when(F.col("crowded"), "signature").otherwise("band")
+    seated = home.join(full("component", "large"), "component", "left").join(full("home", "crowded"), "home", "left")
+    seated = seated.select("doc_id", "n_shingles", "home", F.when(F.col("large"), F.col("component")).alias("own"), kind.alias("kind"), F.when(F.col("large"), F.col("component")).when(F.col("crowded"), F.col("home")).otherwise(band).alias("name"))
     dealt = F.pmod(F.xxhash64(F.when(F.col("kind") == "band", F.col("home")).otherwise(F.col("doc_id"))), F.col("blocks"))
-    placed = cut(seated.join(crowd, ["kind", "name"]).select("doc_id", "component", "own", F.xxhash64("kind", "name", dealt).alias("block")), "blocks")
-    wanted = seekers.select("doc_id", "sig").join(placed.select("doc_id", "block", "own"), "doc_id").select("block", "own", "sig").distinct()
-    pieces = apart.select("sig", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).alias("piece")).groupBy("sig", "piece").agg(F.collect_list(F.struct("doc_id", "component")).alias("docs"))
+    placed = cut(_blocks(seated, ["kind", "name"]).select("doc_id", "own", F.xxhash64("kind", "name", dealt).alias("block")), "blocks")
+    wanted = seekers.select("doc_id", "sig").join(placed, "doc_id").select("block", "own", "sig").distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")
+    lists = apart.select("sig", "doc_id", "component", slot).groupBy("sig", "slot").agg(F.collect_list(F.struct("doc_id", "component")).alias("docs"))
 
     def unite(key: tuple, lists: pa.Table) -> pa.Table:
         own = lists["own"][0].as_py()
@@ -380,12 +416,14 @@ def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
         found = np.unique(np.concatenate(parts))
         return pa.table([pa.array(np.full(len(found), key[0].as_py()), pa.int64()), pa.array(found, pa.int64())], ["block", "doc_id"])
 
-    met = cut(wanted.join(pieces, "sig").select("block", "piece", "own", "docs").groupBy("block", "piece").applyInArrow(unite, "block bigint, doc_id bigint"), "met")
-    chunks = met.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("chunks"))
-    ys = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", F.lit(False).alias("asks"))
-    xs = placed.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", F.lit(True).alias("asks"))
-    component = apart.select("doc_id", "component").distinct()
-    rows = ys.union(xs).join(component, "doc_id").join(items, "doc_id").select("block", "chunk", "doc_id", "asks", "component", "items")
+    met = wanted.join(lists, "sig").select("block", "slot", "own", "docs").groupBy("block", "slot").applyInArrow(unite, "block bigint, doc_id bigint")
+    about = apart.select("doc_id", "component", "n_shingles").distinct()
+    met = cut(met.join(about, "doc_id"), "met")
+    chunks = cut(met.groupBy("block").agg(F.ceil(F.sum("n_shingles") / CHUNK_ITEMS).cast("int").alias("chunks")), "chunks")
+    chunks = F.broadcast(chunks) if chunks.count() <= BROADCAST_ROWS else chunks
+    ys = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "component", F.lit(False).alias("asks"))
+    xs = placed.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id").join(about.select("doc_id", "component"), "doc_id")
+    rows = ys.unionByName(xs.withColumn("asks", F.lit(True))).join(items, "doc_id").select("block", "chunk", "doc_id", "asks", "component", "items")
     return rows.groupBy("block", "chunk").applyInArrow(_meet_all, "a bigint, b bigint")
 
 
@@ -433,7 +471,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, items (sorted shingle hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             items = [shingles(text).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])
 
@@ -449,7 +487,8 @@ def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; null identifiers stay."""
+    """The rows of docs whose doc_id is the smallest of its component; null identifiers and texts
+    without words stay, and so do rows that repeat one that stays. Columns may have any names."""
     found = similar_components(docs)
     gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    return unpacked(but_for(packed(docs, F.col("doc_id").cast("bigint").alias("doc_id")), gone, ["doc_id"]), docs.columns)
