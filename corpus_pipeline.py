@@ -7,40 +7,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioqc.llm import bpe_tree, exact_dedup, jaccard, line_quality, mixing
-from folioqc.llm.common import cut, table
-
-#: A line that more distinct texts of its host hold is boilerplate, however large the host is.
-LINE_CEILING = 1000
+from folioqc.llm.common import cut, release, table, unpacked
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without boilerplate lines; n_chars follows the new text."""
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
-    judged = line_quality.verdicts(packed, ceiling=LINE_CEILING).where("kept")
+    """Documents that pass the rules, without boilerplate lines; n_chars follows the new text.
+
+    Null and empty texts fail. Rows that repeat a document stay or go together; null identifiers are
+    judged as all others; no row gives no row; other columns pass through whatever their names.
+    """
+    judged = line_quality.verdicts(docs).where("kept")
     new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
-    return judged.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
+    return unpacked(judged, docs.columns, **new)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the smallest doc_id.
+
+    Null texts equal empty ones; a null doc_id loses to any number; rows that repeat a doc_id and
+    text come out once; no row gives no row; other columns pass through whatever their names.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share most of their word shingles."""
+    """One document of each group of texts that share most of their word shingles.
+
+    Texts without words link with nothing and stay, as do rows with a null doc_id and rows that
+    repeat one that stays; no row gives no row; other columns pass through whatever their names.
+    """
     return jaccard.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Each row is decided by itself, whatever its doc_id: null or repeated ones multiply nothing.
+    Texts without words are not taken; a null source is a source; no row gives no row; other
+    columns pass through whatever their names.
+    """
+    taken = mixing.mix(docs, keep_rows=True).where("taken > 0")
+    times = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
+    return unpacked(taken.select("row", times), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token identifiers and digests of every document."""
+    """Token identifiers and digests of every document, one row for each.
+
+    Null texts have no tokens; null and repeated identifiers give one row each; no row gives no
+    row; columns but doc_id and text are not read.
+    """
     return bpe_tree.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -60,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
