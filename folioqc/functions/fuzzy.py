@@ -23,6 +23,44 @@ def similarity(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(a or "", b or "") for a, b in zip(reference, candidate)])
 
 
+class Ratios:
+    """Ratios of references against fixed candidates. What a matcher learns about a candidate is
+    learnt once, and a ratio is only worked out if its cheap upper bounds exceed what it must beat."""
+
+    def __init__(self, candidates: list[str]):
+        self.matchers = []
+        for c in candidates:
+            m = SequenceMatcher(None)
+            m.set_seq2(c)
+            self.matchers.append(m)
+
+    def above(self, reference: str, k: int, least: float) -> float:
+        """The ratio with candidate k if it is greater than least, else some number that is not."""
+        m = self.matchers[k]
+        m.set_seq1(reference)
+        if m.real_quick_ratio() <= least or m.quick_ratio() <= least:
+            return least
+        return m.ratio()
+
+
+def pick(n_candidates: int, references: int, score, accept: float) -> list[tuple[int | None, float]]:
+    """For each reference in order the unused candidate of highest score above 0, the first of equal
+    ones, if it reaches accept. score(r, c, least) may return least for scores that are not greater."""
+    free, out = list(range(n_candidates)), []
+    for r in range(references):
+        best, found = None, 0.0
+        for c in free:
+            s = score(r, c, found)
+            if s > found:
+                best, found = c, s
+        if best is not None and found >= accept:
+            free.remove(best)
+            out.append((best, found))
+        else:
+            out.append((None, found))
+    return out
+
+
 def greedy_matches(reference: DataFrame, candidate: DataFrame, accept: float = DEFAULT.paragraph_match) -> DataFrame:
     """Each reference, in order, takes the unused candidate of highest ratio, if it reaches accept.
 
@@ -31,25 +69,32 @@ def greedy_matches(reference: DataFrame, candidate: DataFrame, accept: float = D
     """
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
         left, right = left.sort_values("ord"), right.sort_values("ord")
-        pool = [(o, normalise_text(t)) for o, t in zip(right["ord"], right["text"])]
-        for job, page, o, text in left[["job_id", "page_index", "ord", "text"]].itertuples(index=False):
-            wanted, best, score = normalise_text(text), None, 0.0
-            for k, (_, other) in enumerate(pool):
-                r = ratio_of(wanted, other) if wanted and other else 0.0
-                if r > score:
-                    best, score = k, r
-            if best is not None and score >= accept:
-                rows.append((job, page, o, pool.pop(best)[0], score))
-            else:
-                rows.append((job, page, o, None, score))
+        wanted, others = [normalise_text(t) for t in left["text"]], [normalise_text(t) for t in right["text"]]
+        ratios = Ratios(others)
+        found = pick(len(others), len(wanted), lambda r, c, least: ratios.above(wanted[r], c, least) if wanted[r] and others[c] else 0.0, accept)
+        ords = right["ord"].tolist()
+        rows = [(job, page, o, None if c is None else ords[c], s) for (job, page, o), (c, s) in zip(left[["job_id", "page_index", "ord"]].itertuples(index=False), found)]
         return pd.DataFrame(rows, columns=["job_id", "page_index", "ref_ord", "cand_ord", "score"]).astype({"cand_ord": "Int64"})
 
     keys = ["job_id", "page_index"]
     return reference.groupBy(keys).cogroup(candidate.groupBy(keys)).applyInPandas(match, "job_id long, page_index int, ref_ord int, cand_ord int, score double")
 
 
+def greedy_by_score(scores: DataFrame, accept: float = DEFAULT.paragraph_match) -> DataFrame:
+    """page, ref_ord, cand_ord, score: greedy matches over given scores (page, ref_ord, cand_ord, score)."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot_table(index="ref_ord", columns="cand_ord", values="score", fill_value=0.0).sort_index().sort_index(axis=1)
+        values = table.to_numpy()
+        found = pick(values.shape[1], len(values), lambda r, c, least: float(values[r, c]), accept)
+        page = pdf["page"].iloc[0]
+        rows = [(page, r, None if c is None else table.columns[c], None if c is None else s) for r, (c, s) in zip(table.index, found)]
+        return pd.DataFrame(rows, columns=["page", "ref_ord", "cand_ord", "score"]).astype({"cand_ord": "Int64", "score": "Float64"})
+
+    return scores.groupBy("page").applyInPandas(match, "page long, ref_ord long, cand_ord long, score double")
+
+
 def _box(row) -> tuple[float, float, float, float]:
     return row.x0, row.y0, row.x1, row.y1
 
@@ -68,15 +113,22 @@ def block_matches(left: list, right: list) -> list[tuple[int, int, float, float]
     """Greedy by text and position, without a threshold: (left, right, text, position)."""
     p, free, out = DEFAULT, list(range(len(right))), []
     texts = [normalise_strict(r.text) for r in right]
+    boxes = [_box(r) for r in right]
+    ratios = Ratios(texts)
     for i, item in enumerate(left):
-        wanted = normalise_strict(item.text)
+        wanted, box = normalise_strict(item.text), _box(item)
         best = None
         for j in free if wanted else ():
             if not texts[j]:
                 continue
-            text, place = ratio_of(wanted, texts[j]), position_score(_box(item), _box(right[j]))
-            total = text * p.text_weight + place * p.position_weight + p.same_cell_bonus * (_cell(_box(item)) == _cell(_box(right[j])))
-            if best is None or total > best[0]:
+            place = position_score(box, boxes[j])
+            rest = place * p.position_weight + p.same_cell_bonus * (_cell(box) == _cell(boxes[j]))
+            # A text score that cannot lift the sum above the best one is not worked out. The bound
+            # leaves room for rounding.
+            least = -1.0 if best is None else (best[0] - rest) / p.text_weight - 1e-9
+            text = ratios.above(wanted, j, least)
+            total = text * p.text_weight + place * p.position_weight + p.same_cell_bonus * (_cell(box) == _cell(boxes[j]))
+            if text > least and (best is None or total > best[0]):
                 best = (total, j, text, place)
         if best:
             free.remove(best[1])
@@ -84,28 +136,46 @@ def block_matches(left: list, right: list) -> list[tuple[int, int, float, float]
     return out
 
 
+class Nearest:
+    """The lexicographically greatest (text, position) similarity to any of some items, from (0, 0)."""
+
+    def __init__(self, others: list):
+        listed = [(t, _box(o)) for o in others if (t := normalise_strict(o.text))]
+        self.boxes, self.ratios = [b for _, b in listed], Ratios([t for t, _ in listed])
+
+    def __call__(self, item) -> tuple[float, float]:
+        wanted, box, best = normalise_strict(item.text), _box(item), (0.0, 0.0)
+        for k, other in enumerate(self.boxes if wanted else ()):
+            # Just below the best, so that an equal text still competes by position.
+            text = self.ratios.above(wanted, k, best[0] - 1e-12)
+            if text >= best[0]:
+                best = max(best, (text, position_score(box, other)))
+        return best
+
+
 def nearest(item, others: list) -> tuple[float, float]:
-    """The lexicographically greatest (text, position) similarity, from (0, 0)."""
-    wanted = normalise_strict(item.text)
-    return max([(0.0, 0.0), *((ratio_of(wanted, t), position_score(_box(item), _box(o))) for o in others if (t := normalise_strict(o.text)))])
+    return Nearest(others)(item)
 
 
-def only_on_one_side(items: list, others: list, matched: set[int]) -> list[int]:
-    """Items without an equal partner left on the other side nor a similar one, in order."""
+def only_on_one_side(items: list, others: list, matched: set[int], most: int | None = None) -> list[int]:
+    """Items without an equal partner left on the other side nor a similar one, in order, `most` at most."""
     stock: dict[str, int] = {}
     for o in others:
         t = normalise_strict(o.text)
         stock[t] = stock.get(t, 0) + 1
-    out = []
+    out, near = [], None
     for i, item in enumerate(items):
+        if most is not None and len(out) >= most:
+            break
         t = normalise_strict(item.text)
         if not t:
             continue
         if stock.get(t, 0) > 0:
             stock[t] -= 1
         elif i not in matched:
-            text, place = nearest(item, others)
-            if text < 0.55 and place < 0.78:
+            near = near or Nearest(others)
+            text, place = near(item)
+            if text < DEFAULT.similar_text and place < DEFAULT.similar_place:
                 out.append(i)
     return out
 
@@ -124,10 +194,12 @@ def text_discrepancies(reference: DataFrame, candidate: DataFrame, most: int = 1
         if a and b:
             found = block_matches(a, b)
             for i, j, text, place in found:
-                if normalise_strict(a[i].text) != normalise_strict(b[j].text) and (text >= 0.58 or place >= 0.82):
+                if normalise_strict(a[i].text) != normalise_strict(b[j].text) and (text >= DEFAULT.mismatch_text or place >= DEFAULT.mismatch_place):
                     rows.append(("mismatch", a[i].text, b[j].text, text, place))
-            rows += [("candidate-only extra text item", "", b[j].text, 0.0, 0.0) for j in only_on_one_side(b, a, {m[1] for m in found})]
-            rows += [("reference-only missing text item", a[i].text, "", 0.0, 0.0) for i in only_on_one_side(a, b, {m[0] for m in found})]
+            # Work stops at the limit, phase by phase.
+            rows = rows[:most]
+            rows += [("candidate-only extra text item", "", b[j].text, 0.0, 0.0) for j in only_on_one_side(b, a, {m[1] for m in found}, most - len(rows))]
+            rows += [("reference-only missing text item", a[i].text, "", 0.0, 0.0) for i in only_on_one_side(a, b, {m[0] for m in found}, most - len(rows))]
         source = left if len(left) else right
         head = (int(source["job_id"].iloc[0]), int(source["page_index"].iloc[0]))
         return pd.DataFrame([(*head, n, *r) for n, r in enumerate(rows[:most])], columns=["job_id", "page_index", "ord", "label", "reference_text", "candidate_text", "text_score", "position_score"])

@@ -135,11 +135,11 @@ def in_edge_band(b: Column, band: float = DEFAULT.edge_band) -> Column:
 
 
 def drifts(a: Column, b: Column) -> Column:
-    """Left, top, centre or width differ by more than allowed; height is not looked at."""
+    """Left, top, centre or width differ by the allowed amount or more; height is not looked at."""
     p = DEFAULT
     centre = F.hypot(centre_x(a) - centre_x(b), centre_y(a) - centre_y(b))
     width = F.abs((a["x1"] - a["x0"]) - (b["x1"] - b["x0"]))
-    return (F.abs(a["x0"] - b["x0"]) > p.drift_left) | (F.abs(a["y0"] - b["y0"]) > p.drift_top) | (centre > p.drift_centre) | (width > p.drift_width)
+    return (F.abs(a["x0"] - b["x0"]) >= p.drift_left) | (F.abs(a["y0"] - b["y0"]) >= p.drift_top) | (centre >= p.drift_centre) | (width >= p.drift_width)
 
 
 def crop_pixels(b: Column, width: Column, height: Column) -> Column:
@@ -159,10 +159,28 @@ def emu_to_pixels(emu: Column, dpi: int = 240) -> Column:
     return F.greatest(F.lit(1), F.bround(emu / 914400.0 * dpi).cast("int"))
 
 
-def upscaled_size(page_w: Column, page_h: Column, least_w: Column, least_h: Column) -> Column:
-    """A size of the page's aspect that is no smaller than the page or the wanted size."""
-    k = F.greatest(F.lit(1.0), least_w / F.greatest(page_w, F.lit(1)), least_h / F.greatest(page_h, F.lit(1)))
-    return F.struct(scaled_pixels(page_w, k).alias("w"), scaled_pixels(page_h, k).alias("h"))
+def scaled_pixel_box(x: Column, y: Column, w: Column, h: Column, by_x: Column, by_y: Column) -> Column:
+    """A box in whole pixels after scaling; halves round to even, sides keep a pixel."""
+    at = lambda v, k: F.bround(v * k).cast("int")
+    return F.struct(at(x, by_x).alias("x"), at(y, by_y).alias("y"), scaled_pixels(w, by_x).alias("w"), scaled_pixels(h, by_y).alias("h"))
+
+
+def preferred_size(reference_w: Column, reference_h: Column, candidate_w: Column, candidate_h: Column) -> Column:
+    """The candidate's size, enlarged in its own aspect as far as the reference holds it, but never
+    reduced; the reference's for a candidate without area."""
+    empty = (candidate_w <= 0) | (candidate_h <= 0)
+    k = F.greatest(F.lit(1.0), F.least(reference_w / F.greatest(candidate_w, F.lit(1)), reference_h / F.greatest(candidate_h, F.lit(1))))
+    grown = lambda v: F.greatest(v, F.bround(v * k).cast("int"))
+    return F.struct(F.when(empty, reference_w).otherwise(grown(candidate_w)).alias("w"), F.when(empty, reference_h).otherwise(grown(candidate_h)).alias("h"))
+
+
+def hull_of_points(points: Column, width: Column, height: Column) -> Column:
+    """The clamped box around points (x, y) given in shares of the page if they are `normalized`, else
+    in page units; without points the full page."""
+    xs = F.transform(points["xy"], lambda p: F.when(points["normalized"], p["x"]).otherwise(p["x"] / F.greatest(width, F.lit(1.0))))
+    ys = F.transform(points["xy"], lambda p: F.when(points["normalized"], p["y"]).otherwise(p["y"] / F.greatest(height, F.lit(1.0))))
+    found = box(clamp(F.array_min(xs)), clamp(F.array_min(ys)), clamp(F.array_max(xs)), clamp(F.array_max(ys)))
+    return F.when(F.coalesce(F.size(points["xy"]), F.lit(0)) > 0, found).otherwise(whole_page())
 
 
 def aspect_score(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
