@@ -1,53 +1,116 @@
 """Order-dependent folds over the findings of a slide.
 
-A dropped row must not suppress a later one, so these are folds over the slide's ordered array
-and not anti-joins. Arrays are bounded by the findings of one slide and type.
+A dropped row must not suppress a later one, so these are folds over the slide's ordered rows and
+not anti-joins. Each slide (and type) is one Arrow group of boxes, 40 bytes a finding; a row is
+compared with all kept ones at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.functions import geometry as G
 from folioqc.params import DEFAULT
 
+BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
+
+
+def _area(b: np.ndarray) -> np.ndarray:
+    return np.maximum(0, b[..., 2] - b[..., 0]) * np.maximum(0, b[..., 3] - b[..., 1])
+
+
+def _shared(kept: np.ndarray, b: np.ndarray) -> np.ndarray:
+    w = np.minimum(kept[:, 2], b[2]) - np.maximum(kept[:, 0], b[0])
+    h = np.minimum(kept[:, 3], b[3]) - np.maximum(kept[:, 1], b[1])
+    return np.maximum(0, w) * np.maximum(0, h)
+
+
+def ious(kept: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = _shared(kept, b)
+    union = _area(kept) + _area(b) - both
+    return np.where((both > 0) & (union > 0), both / np.where(union > 0, union, 1), 0.0)
+
 
-def _ordered(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias("rows"))
+def covered(kept: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of b's area that each kept box covers."""
+    area = _area(b)
+    return _shared(kept, b) / area if area > 0 else np.zeros(len(kept))
 
 
-def _fold(rows: Column, step) -> Column:
-    return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.slice(rows, 1, 1), step)
+Chosen = tuple[np.ndarray, dict[str, np.ndarray]]
+
+
+def _folded(df: DataFrame, keys: list[str], more: list[str], names: list[str], choose: Callable[[np.ndarray, dict[str, np.ndarray]], Chosen], **new_types: str) -> DataFrame:
+    """The named columns of rows that choose(boxes, more columns), in order, keeps by number; it also
+    gives the new columns."""
+    fields = ["ord", *more]
+    flat = df.select(*keys, *fields, *(F.col("bbox")[n].alias(f"bbox_{n}") for n in ("x0", "y0", "x1", "y1")))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("ord")
+        boxes = np.stack([group[f"bbox_{n}"].to_numpy() for n in ("x0", "y0", "x1", "y1")], axis=1)
+        kept, new = choose(boxes, {f: group[f].to_numpy() for f in more})
+        out = group.take(pa.array(kept, pa.int64()))
+        box = pa.StructArray.from_arrays([out[f"bbox_{n}"].combine_chunks() for n in ("x0", "y0", "x1", "y1")], ["x0", "y0", "x1", "y1"])
+        columns = {c: out[c] for c in (*keys, *fields)} | {"bbox": box} | {n: pa.array(v) for n, v in new.items()}
+        return pa.table({n: columns[n] for n in names})
+
+    types = dict(df.dtypes) | {"bbox": BOX} | new_types
+    return flat.groupBy(*keys).applyInArrow(run, ", ".join(f"{n} {types[n]}" for n in names))
 
 
 def keep_first(df: DataFrame, threshold: float = DEFAULT.dedup_rule) -> DataFrame:
     """Rows (slide, type, ord, bbox) whose box no earlier kept row of its type overlaps."""
-    folded = _fold(F.col("rows"), lambda acc, r: F.when(F.exists(acc, lambda k: G.iou(k["bbox"], r["bbox"]) >= threshold), acc).otherwise(F.concat(acc, F.array(r))))
-    return _ordered(df, ["slide", "type"], ["bbox"]).select("slide", "type", F.explode(folded).alias("r")).select("slide", "type", "r.ord", "r.bbox")
+
+    def choose(boxes: np.ndarray, _: dict) -> Chosen:
+        kept = np.empty(len(boxes), np.int64)
+        n = 0
+        for i, b in enumerate(boxes):
+            if not (ious(boxes[kept[:n]], b) >= threshold).any():
+                kept[n] = i
+                n += 1
+        return kept[:n], {}
+
+    return _folded(df, ["slide", "type"], [], ["slide", "type", "ord", "bbox"], choose)
 
 
 def keep_best(df: DataFrame, threshold: float = DEFAULT.dedup_model) -> DataFrame:
     """Rows (slide, type, ord, bbox, confidence); a row that matches a kept one takes the place of
     the first such if it is strictly more confident, and is dropped otherwise. place is the
-    position that a row holds."""
+    position that a row holds among its type, place_ord the ord of the row that opened it."""
 
-    def step(acc: Column, r: Column) -> Column:
-        hit = F.array_position(F.transform(acc, lambda k: G.iou(k["bbox"], r["bbox"]) >= threshold), F.lit(True))
-        return (
-            F.when(hit == 0, F.concat(acc, F.array(r)))
-            .otherwise(F.transform(acc, lambda k, i: F.when((i + 1 == hit) & (r["confidence"] > k["confidence"]), r).otherwise(k)))
-        )
+    def choose(boxes: np.ndarray, more: dict) -> Chosen:
+        kept = np.empty(len(boxes), np.int64)
+        opened, confidence, n = [], more["confidence"], 0
+        for i, b in enumerate(boxes):
+            hit = np.flatnonzero(ious(boxes[kept[:n]], b) >= threshold)
+            if not len(hit):
+                kept[n] = i
+                opened.append(i)
+                n += 1
+            elif confidence[i] > confidence[kept[hit[0]]]:
+                kept[hit[0]] = i
+        return kept[:n], {"place": np.arange(n, dtype=np.int32), "place_ord": more["own"][opened]}
 
-    folded = _fold(F.col("rows"), step)
-    return _ordered(df, ["slide", "type"], ["bbox", "confidence"]).select("slide", "type", F.posexplode(folded).alias("place", "r")).select("slide", "type", "place", "r.ord", "r.bbox", "r.confidence")
+    own = df.withColumn("own", F.col("ord").cast("bigint"))
+    return _folded(own, ["slide", "type"], ["confidence", "own"], ["slide", "type", "place", "place_ord", "ord", "bbox", "confidence"], choose, place="int", place_ord="bigint")
 
 
 def suppress_covered(df: DataFrame, threshold: float = DEFAULT.region_overlap) -> DataFrame:
     """Rows (slide, ord, fixed, bbox) in order; rows that are not fixed go if a kept row of any
     type covers the threshold of their area."""
-    folded = _fold(
-        F.col("rows"),
-        lambda acc, r: F.when(~r["fixed"] & F.exists(acc, lambda k: G.overlap_ratio(r["bbox"], k["bbox"]) >= threshold), acc).otherwise(F.concat(acc, F.array(r))),
-    )
-    return _ordered(df, ["slide"], ["fixed", "bbox"]).select("slide", F.explode(folded).alias("r")).select("slide", "r.ord", "r.fixed", "r.bbox")
+
+    def choose(boxes: np.ndarray, more: dict) -> Chosen:
+        kept = np.empty(len(boxes), np.int64)
+        n = 0
+        for i, b in enumerate(boxes):
+            if more["fixed"][i] or not (covered(boxes[kept[:n]], b) >= threshold).any():
+                kept[n] = i
+                n += 1
+        return kept[:n], {}
+
+    return _folded(df, ["slide"], ["fixed"], ["slide", "ord", "fixed", "bbox"], choose)

@@ -38,10 +38,10 @@ def visual_fallback(findings: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def lines_of_paragraphs(lines: DataFrame, paragraphs: DataFrame, threshold: float = DEFAULT.line_overlap) -> DataFrame:
-    """slide, para, n_lines: lines that cover the threshold of the paragraph's area."""
+    """slide, para, n_lines and the sorted ords of the lines that cover the threshold of the paragraph's area."""
     hit = (F.col("l.slide") == F.col("p.slide")) & (G.overlap_ratio(F.col("p.bbox"), F.col("l.bbox")) >= threshold)
     joined = paragraphs.alias("p").join(lines.alias("l"), hit, "left")
-    return joined.groupBy(F.col("p.slide").alias("slide"), F.col("p.ord").alias("para")).agg(F.count("l.ord").alias("n_lines"))
+    return joined.groupBy(F.col("p.slide").alias("slide"), F.col("p.ord").alias("para")).agg(F.count("l.ord").alias("n_lines"), F.sort_array(F.collect_list("l.ord")).alias("lines"))
 
 
 def visual_filter(findings: DataFrame, regions: DataFrame) -> DataFrame:
