@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,8 +15,9 @@ def submissions(spark: SparkSession, path: str, dedup_delay: str = "24 hours") -
     """Submissions in arrival order; one with the same pair and sizes as another within the delay
     is left out (only the last completed pair was guarded before; this is stricter)."""
     stream = spark.readStream.schema(SUBMISSION).option("maxFilesPerTrigger", 1).json(path)
-    fingerprint = F.concat_ws("::", "pdf", "pptx", "size", "modified")
-    return stream.withColumn("fingerprint", fingerprint).withWatermark("submitted", dedup_delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    from folioqc.functions.text import fingerprint
+
+    return stream.withColumn("fingerprint", fingerprint("pdf", "pptx", "size", "modified")).withWatermark("submitted", dedup_delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def run_jobs(stream: DataFrame, work: Callable[[DataFrame], DataFrame], events: str, checkpoint: str) -> StreamingQuery:
@@ -47,3 +48,29 @@ def run_jobs(stream: DataFrame, work: Callable[[DataFrame], DataFrame], events:
 
 def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"))
+
+
+def progress(slides: DataFrame, finished: DataFrame) -> DataFrame:
+    """job_id, processed, total, percent of jobs, from their slides and the log of finished ones
+    (job_id, slide), in which a slide may be named again after a retry."""
+    from folioqc.functions.text import percent_done
+
+    total = slides.groupBy("job_id").agg(F.count("*").alias("total"))
+    done = finished.join(slides, ["job_id", "slide"], "left_semi").groupBy("job_id").agg(F.count_distinct("slide").alias("processed"))
+    joined = total.join(done, "job_id", "left").withColumn("processed", F.coalesce("processed", F.lit(0)))
+    return joined.select("job_id", "processed", "total", percent_done(F.col("processed"), F.col("total")).alias("percent"))
+
+
+def status_answer(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """job_id, state, ready, answer of a request for a job's file: 404 for an unknown job, 409 until it is ready, else 200."""
+    joined = jobs.join(latest_states(events), "job_id", "left")
+    ready = F.coalesce(F.col("state") == "completed", F.lit(False))
+    return joined.select("job_id", "state", ready.alias("ready"), F.when(F.col("state").isNull(), 404).when(ready, 200).otherwise(409).alias("answer"))
+
+
+def repeats_last(submissions: DataFrame) -> DataFrame:
+    """submissions (session, seq, fingerprint, completed) with repeated: if the pair is the last one
+    that the session has completed before. An earlier pair may be given again."""
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("completed"), F.col("fingerprint")), ignorenulls=True).over(before)
+    return submissions.withColumn("repeated", F.coalesce(last == F.col("fingerprint"), F.lit(False)))
