@@ -5,33 +5,16 @@ Names start with the identifiers of the operators they cover.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioqc.functions import fuzzy
 from folioqc.functions import geometry as G
 from folioqc.functions import text as X
-from folioqc.operators import folds, fonts, placement, raster, report, spatial
-from folioqc.plans import model_qc, rule_qc
+from folioqc.operators import folds, fonts, layouts, placement, raster, report, spatial
+from folioqc.plans import model_qc
 from folioqc.plans import views as V
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from folioqc.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return V.pages(s, d, "user"), V.pages(s, d, "assistant")
@@ -93,14 +76,6 @@ def pl6_missing_page(s, d):
     return placement.missing_page_findings(placement.place(b, a))
 
 
-@query(f"""{_PLACED}, q as (select user_id as page_index, count(*) as n from events group by 1)
- select job_id, p.page_index, coalesce(n, 0) as n from p left join q on p.page_index = q.page_index where status <> 'extra_pdf_page'""")
-def jn10_slide_results(s, d):
-    slides = placement.place(*_sides(s, d)).where("status <> 'extra_pdf_page'")
-    n = V.table(s, d, "events").groupBy(F.col("user_id").alias("page_index")).agg(F.count("*").alias("n"))
-    return slides.join(n, "page_index", "left").select("job_id", "page_index", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query(f"{_F} select type, count(*) as n from f group by type")
 def ag1_counts_by_type(s, d):
     return report.counts_by_type(V.findings(s, d))
@@ -111,17 +86,6 @@ def wn1_finding_ids(s, d):
     return report.numbered(V.findings(s, d)).select("slide", "ord", "finding_id")
 
 
-@query(f"{_F} select slide, round(min(x0), 6) as x0, round(min(y0), 6) as y0, round(max(x1), 6) as x1, round(max(y1), 6) as y1 from f group by slide")
-def ag2_union_box(s, d):
-    b = F.col("bbox")
-    return V.findings(s, d).groupBy("slide").agg(*(F.round(f(b[n]), 6).alias(n) for f, n in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
-
-
-@query(f"{_F} select slide, round(coalesce(avg(confidence) filter (type = 'wrong_color'), 0), 6) as mean_confidence from f group by slide")
-def ag4_mean_confidence(s, d):
-    return V.findings(s, d).groupBy("slide").agg(F.round(F.coalesce(F.avg(F.when(F.col("type") == "wrong_color", F.col("confidence"))), F.lit(0.0)), 6).alias("mean_confidence"))
-
-
 @query(f"{_F} select {V.sql_cell('f')} as cell, count(*) as n from f group by 1")
 def fn12_grid_cells(s, d):
     return V.findings(s, d).groupBy(G.grid_cell(F.col("bbox")).alias("cell")).agg(F.count("*").alias("n"))
@@ -163,13 +127,6 @@ def flt14_visual_fallback(s, d):
     return spatial.visual_fallback(V.findings(s, d).where("type = 'extra_content'"), V.regions(s, d)).select("slide", "ord")
 
 
-@query(f"""{_O}, p as (select * from o where type = 'wrong_text'), l as (select * from o where type = 'wrong_color')
- select p.slide, p.ord as para, count(l.ord) as n_lines from p left join l on p.slide = l.slide and {V.sql_overlap('p', 'l')} >= 0.55::double group by all""")
-def jn7_lines_of_paragraphs(s, d):
-    o = V.overlapping(s, d)
-    return spatial.lines_of_paragraphs(o.where("type = 'wrong_color'"), o.where("type = 'wrong_text'"))
-
-
 _BOX = "struct_pack(ord := ord, x0 := x0, y0 := y0, x1 := x1, y1 := y1{more})"
 
 
@@ -225,23 +182,6 @@ def fn17_statuses(s, d):
     return j.select("slide", "n_findings", report.rule_status(F.col("manual"), F.col("n_findings")).alias("rule_status"), report.model_status(F.col("manual"), F.col("n_findings")).alias("model_status"))
 
 
-@query(f"""{_F} select slide, '{{"slideIndex":' || slide || ',"findings":[' || string_agg('{{"findingId":' || id || ',"findingType":"' || type || '"}}', ',' order by id) || ']}}' as report
- from (select *, row_number() over (partition by slide order by ord) as id from f) group by slide""")
-def snk1_report_json(s, d):
-    r = report.report_json(report.numbered(V.findings(s, d)))
-    return r.select("slide", F.regexp_replace("report", ',"confidence":[-0-9.E]+', "").alias("report"))
-
-
-@query(
-    _fold_sql(_FILTERED, "slide, type", ", confidence := confidence",
-              f"""case when len(list_filter(acc, lambda k: {V.sql_iou('k', 'x[1]')} >= 0.82::double)) = 0 then acc || x
- else list_transform(acc, lambda k, i: case when i = list_position(list_transform(acc, lambda q: {V.sql_iou('q', 'x[1]')} >= 0.82::double), true) and x[1].confidence > k.confidence then x[1] else k end) end""",
-              "select slide, type, row_number() over (partition by slide order by ord) as finding_id, round(confidence, 6) as confidence from (select slide, type, unnest(kept).ord as ord, unnest(kept).confidence as confidence from h)").replace("{source}", "v")
-)
-def pl3_model_review(s, d):
-    return model_qc.reviewed(V.findings(s, d), V.regions(s, d)).withColumn("confidence", F.round("confidence", 6))
-
-
 _L = f"with {V.SQL_LINES}"
 _WS = r"[\s\p{Z}]+"
 
@@ -278,45 +218,6 @@ def fn1_normalised_built_in(s, d):
     return V.lines(s, d).select("doc_id", "ord", X.normalised_fast(F.col("line")).alias("norm"))
 
 
-@query(r"select doc_id, len(regexp_extract_all(text, '(?i)[\$\(]?-?\d[\d,]*\.?\d*[%\)BMK]?')) as numbers, regexp_matches(text, '[^\x00-\x7F]') as foreign_letters from documents")
-def fn7_fn8_tokens(s, d):
-    return V.table(s, d, "documents").select("doc_id", F.size(X.number_tokens(F.col("text"))).cast("bigint").alias("numbers"), X.non_ascii(F.col("text")).alias("foreign_letters"))
-
-
-@query("select doc_id, regexp_replace(source, '^[A-Z]{6}\\+', '') as font, regexp_matches(source, '^[A-Z]{6}(\\+|$)') as subset, lower(source) || '.pdf' as name, 'pdf' as kind from documents")
-def fn13_flt15_names(s, d):
-    t = V.table(s, d, "documents")
-    name = F.concat(F.lower("source"), F.lit(".pdf"))
-    return t.select("doc_id", X.font_name(F.col("source")).alias("font"), X.font_is_subset(F.col("source")).alias("subset"), name.alias("name"), X.file_kind(name).alias("kind"))
-
-
-@query(f"""{_L} select doc_id, min(ord) as ord, lower(line) as key from lines where trim(line) <> '' group by doc_id, lower(line)""")
-def wn5_wn6_st3_first_of_equal(s, d):
-    key = F.lower("line")
-    w = Window.partitionBy("doc_id", "key").orderBy("ord")
-    return V.lines(s, d).where(F.trim("line") != "").withColumn("key", key).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "ord", "key")
-
-
-@query(f"{_F} select slide, ord, row_number() over (partition by slide order by y0, x0, ord) as place from f")
-def so1_reading_order(s, d):
-    w = Window.partitionBy("slide").orderBy(F.col("bbox.y0"), F.col("bbox.x0"), "ord")
-    return V.findings(s, d).select("slide", "ord", F.row_number().over(w).cast("bigint").alias("place"))
-
-
-@query(f"{_F} select slide, ord, greatest(total - 36, 0) as omitted from (select *, row_number() over (partition by slide order by y0, x0, ord) as rn, count(*) over (partition by slide) as total from f) where rn <= 36")
-def so2_top_items(s, d):
-    w = Window.partitionBy("slide").orderBy(F.col("bbox.y0"), F.col("bbox.x0"), "ord")
-    total = F.count("*").over(Window.partitionBy("slide"))
-    ranked = V.findings(s, d).withColumn("total", total).withColumn("rn", F.row_number().over(w)).where("rn <= 36")
-    return ranked.select("slide", "ord", F.greatest(F.col("total") - 36, F.lit(0)).alias("omitted"))
-
-
-@query("""select name, row_number() over (order by n) as place from (select distinct 'Slide_' || o_custkey || '.PNG' as name, o_custkey as n from orders)""")
-def so4_natural_sort(s, d):
-    names = V.table(s, d, "orders").select(F.concat(F.lit("Slide_"), F.col("o_custkey"), F.lit(".PNG")).alias("name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(X.natural_key(F.col("name")))).cast("bigint").alias("place"))
-
-
 @query("""select o_orderkey, round(o_totalprice * 100)::bigint as emu, greatest(1, round_even(round(o_totalprice * 100) / 914400.0::double * 240, 0))::int as pixels from orders""")
 def fn21_emu_to_pixels(s, d):
     o = V.table(s, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("emu"))
@@ -330,20 +231,6 @@ def fn22_fn26_jobs(s, d):
     return o.select("o_orderkey", X.job_identifier(F.col("o_orderdate"), token).alias("job"), X.percent_done(F.col("o_orderkey") % 7, F.col("o_orderkey") % 5).alias("done"))
 
 
-@query("""select page_id, sha256(html) as digest, strlen(html)::int as bytes, base64(html[1:30]::blob) as head from pages""")
-def snk7_fn19_digests(s, d):
-    p = V.table(s, d, "pages")
-    return p.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("bytes"), F.base64(F.substring("html", 1, 30).cast("binary")).alias("head"))
-
-
-@query("""select p_partkey, coalesce(nullif(trim(case when p_size % 3 = 0 then ' ' else p_name end), ''), p_brand) as filled, lower(p_type) in ('1', 'true', 'yes', 'on') as flag,
- case when trim(p_brand) <> '' then chr(10) || chr(10) || 'Additional run-specific user QC instructions:' || chr(10) || trim(p_brand) else '' end as suffix, length(p_name) > 12 as too_long from part""")
-def prj2_prj5_fn18_flt12_settings(s, d):
-    p = V.table(s, d, "part")
-    given = F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.col("p_name"))
-    return p.select("p_partkey", F.coalesce(X.non_blank(given), F.col("p_brand")).alias("filled"), X.flag(F.col("p_type")).alias("flag"), X.prompt_suffix(F.col("p_brand")).alias("suffix"), (F.length("p_name") > 12).alias("too_long"))
-
-
 _G = f"""{_F}, m as (select slide, ord, x0, y0, x1, y1, (ord % 4 * 90)::int as angle from f),
  c as (select *, [x0, x0, x1, x1] as xs, [y0, y1, y0, y1] as ys from m),
  t as (select *, case angle when 90 then ys when 180 then list_transform(xs, lambda v: 1 - v) when 270 then list_transform(ys, lambda v: 1 - v) else xs end as rx,
@@ -364,16 +251,6 @@ def ge11_expanded(s, d):
     return _corners(V.findings(s, d).withColumn("bbox", G.expanded(F.col("bbox"))), "slide", "ord")
 
 
-@query(f"""{_F}, p as (select slide, ord, x0, y0, x1, y1, lead(x0) over w as u0, lead(y0) over w as v0, lead(x1) over w as u1, lead(y1) over w as v1 from f window w as (partition by slide order by ord))
- select slide, ord, round(greatest(0, 1 - sqrt(((x0 + x1) / 2 - (u0 + u1) / 2) ** 2 + ((y0 + y1) / 2 - (v0 + v1) / 2) ** 2) / 1.2::double), 6) as position,
- abs(x0 - u0) > 0.026::double or abs(y0 - v0) > 0.028::double or sqrt(((x0 + x1) / 2 - (u0 + u1) / 2) ** 2 + ((y0 + y1) / 2 - (v0 + v1) / 2) ** 2) > 0.036::double or abs((x1 - x0) - (u1 - u0)) > 0.05::double as drifts
- from p where u0 is not null""")
-def ge13_flt8_drift(s, d):
-    nxt = F.lead("bbox").over(Window.partitionBy("slide").orderBy("ord"))
-    p = V.findings(s, d).withColumn("other", nxt).where("other is not null")
-    return p.select("slide", "ord", F.round(G.position_similarity(F.col("bbox"), F.col("other")), 6).alias("position"), G.drifts(F.col("bbox"), F.col("other")).alias("drifts"))
-
-
 @query("""select l_orderkey, l_linenumber, round(least(1, l_quantity / 60.0::double), 6) as x0, round(least(1, l_discount), 6) as y0,
  round(greatest(least(1, l_quantity / 60.0::double), least(1, (l_quantity + greatest(l_linenumber, 1)) / 60.0::double)), 6) as x1, round(greatest(least(1, l_discount), least(1, l_discount + 1)), 6) as y1 from lineitem""")
 def ge8_ge1_from_emu(s, d):
@@ -394,65 +271,13 @@ def ge17_aspect(s, d):
     return li.select("l_orderkey", "l_linenumber", F.round(G.aspect_score(F.col("l_quantity"), F.col("l_linenumber"), F.lit(1.5), F.lit(1.0)), 6).alias("score"))
 
 
-_FT = f"with {V.SQL_FONTS}, t as (select name, type, bool_or(embedded) as embedded, bool_or(subset) as subset, count(distinct page) as n_pages, min(page) as first_page from fonts group by name, type)"
-
-
-@query(f"{_FT} select * from t")
-def ag5_font_groups(s, d):
-    return fonts.font_table(V.fonts(s, d))
-
-
-@query(f"with {V.SQL_FONTS} select name, type, page, sum(chars)::bigint as chars from fonts group by all")
-def ag6_font_usage(s, d):
-    return fonts.usage(V.fonts(s, d))
-
-
-@query(f"""{_FT}, sp as (select name, page, chars, row_number() over () as span from fonts)
- select sp.name, page, chars, coalesce(arg_min(t.type, (t.type = 'Unknown')::int::varchar || t.type), 'Unknown') as type from sp left join t on sp.name = t.name and t.first_page <= sp.page group by span, sp.name, page, chars""")
-def jn8_font_resolution(s, d):
-    f = V.fonts(s, d)
-    return fonts.resolve(f.select("name", "page", "chars"), fonts.font_table(f))
-
-
-@query(f"{_FT} select name, type, row_number() over (order by embedded desc, lower(name), name, type) as place, count(*) over () as fonts, count(*) filter (embedded) over () as embedded_fonts from t")
-def so5_ag13_font_order(s, d):
-    whole = Window.partitionBy(F.lit(1))
-    r = fonts.ranked(fonts.font_table(V.fonts(s, d)))
-    return r.select("name", "type", "place", F.count("*").over(whole).alias("fonts"), F.count_if("embedded").over(whole).alias("embedded_fonts"))
-
-
-@query(f"""{_FT} select name, type, '{{"name":"' || name || '","type":"' || type || '","embedded":' || embedded || ',"pages":' || n_pages || '}}' as json from t""")
-def snk9_font_json(s, d):
-    t = fonts.font_table(V.fonts(s, d))
-    return t.select("name", "type", F.to_json(F.struct("name", "type", "embedded", F.col("n_pages").alias("pages"))).alias("json"))
-
-
 _NCC = f"""with {V.SQL_RASTER}, p as (select a.vec_id, a.grid as g, b.grid as h from r a join r b on b.vec_id = a.vec_id + 1),
  q as (select vec_id, list_transform(g, lambda v: v - list_avg(g)) as g, list_transform(h, lambda v: v - list_avg(h)) as h from p)"""
 
 
-@query(f"{_NCC} select vec_id, round(case when sqrt(list_dot_product(g, g)) * sqrt(list_dot_product(h, h)) = 0 then -1 else list_dot_product(g, h) / (sqrt(list_dot_product(g, g)) * sqrt(list_dot_product(h, h))) end, 6) as score from q")
-def ag9_correlation(s, d):
-    r = V.rasters(s, d)
-    other = r.select((F.col("vec_id") - 1).alias("vec_id"), F.col("grid").alias("other"))
-    return r.join(other, "vec_id").select("vec_id", F.round(raster.ncc(F.col("grid"), F.col("other")), 6).alias("score"))
-
-
 _TURN = "list_transform(range(64), lambda i: h[(i % 8) * 8 + 8 - (i // 8)])"
 
 
-@query(f"""{_NCC}, t as (select vec_id, g, h, {_TURN} as h90 from q), u as (select vec_id, g, h, h90, list_transform(range(64), lambda i: h90[(i % 8) * 8 + 8 - (i // 8)]) as h180 from t),
- w as (select vec_id, list_dot_product(g, h) as s0, list_dot_product(g, h90) as s1, list_dot_product(g, list_transform(range(64), lambda i: h180[(i % 8) * 8 + 8 - (i // 8)])) as s2 from u)
- select vec_id, case when s0 >= s1 and s0 >= s2 then 0 when s1 >= s2 then 90 else 270 end::int as angle from w""")
-def ag8_im1_best_rotation(s, d):
-    r = V.rasters(s, d)
-    other = r.select((F.col("vec_id") - 1).alias("vec_id"), F.col("grid").alias("other"))
-    turned = r.join(other, "vec_id").select("vec_id", F.explode(F.array(*(
-        F.struct(F.lit(a).alias("angle"), raster.ncc(F.col("grid"), raster.rotate_grid(F.col("other"), 8, a // 90)).alias("score")) for a in (0, 90, 270)
-    ))).alias("t"))
-    return turned.groupBy("vec_id").agg(F.max_by("t.angle", F.struct(F.col("t.score"), -F.col("t.angle"))).alias("angle"))
-
-
 @query(f"""with {V.SQL_RASTER}, c as (select vec_id, unnest(grid) as v, unnest(range(64)) as i from r)
  select vec_id, min(i % 8)::int as x0, min(i // 8)::int as y0, max(i % 8)::int as x1, max(i // 8)::int as y1 from c where v < -0.2::double group by vec_id""")
 def ag10_content_box(s, d):
@@ -470,47 +295,6 @@ def ag11_so7_flt7_components(s, d):
     return raster.components(V.rasters(s, d), 8, 0.0)
 
 
-@query(f"""with {V.SQL_REF}, {V.SQL_CAND}, n as (select 'r' as side, job_id, replace(lower(text), 'ß', 'ss') as norm from ref union all select 'c', job_id, replace(lower(text), 'ß', 'ss') from cand),
- k as (select *, row_number() over (partition by side, job_id, norm) as nth from n)
- select side, job_id, norm, nth from k where not exists (select 1 from k o where o.side <> k.side and o.job_id = k.job_id and o.norm = k.norm and o.nth = k.nth)""")
-def jn11_ag14_multiset_difference(s, d):
-    a, b = _sides(s, d)
-    n = a.withColumn("side", F.lit("r")).unionByName(b.withColumn("side", F.lit("c"))).select("side", "job_id", "page_index", F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")).alias("norm"))
-    nth = n.withColumn("nth", F.row_number().over(Window.partitionBy("side", "job_id", "norm").orderBy("page_index")).cast("bigint")).drop("page_index")
-    other = nth.withColumn("side", F.when(F.col("side") == "r", "c").otherwise("r"))
-    return nth.join(other, ["side", "job_id", "norm", "nth"], "left_anti")
-
-
-@query("""select doc_id, case when doc_id % 3 = 0 then null else upper(lang) end as lang, source from documents where doc_id % 3 <> 0 union all select doc_id, 'new', source from documents where doc_id % 3 = 0""")
-def st2_keyed_upsert(s, d):
-    docs = V.table(s, d, "documents").select("doc_id", F.upper("lang").alias("lang"), "source")
-    late = docs.where("doc_id % 3 = 0").withColumn("lang", F.lit("new"))
-    return docs.withColumn("version", F.lit(0)).unionByName(late.withColumn("version", F.lit(1))).groupBy("doc_id").agg(F.max_by("lang", "version").alias("lang"), F.max_by("source", "version").alias("source"))
-
-
-@query("select lang, coalesce(max(regexp_extract(source, '([0-9]+)$', 1)::int), 0) + 1 as next_id from documents group by lang")
-def ag12_next_ids(s, d):
-    return V.table(s, d, "documents").groupBy("lang").agg((F.coalesce(F.max(F.regexp_extract("source", "([0-9]+)$", 1).cast("int")), F.lit(0)) + 1).alias("next_id"))
-
-
-@query("select doc_id as document_id, n_chars as character_count, lang as language_code from documents where n_chars >= 24")
-def prj1_flt3_renamed(s, d):
-    return V.table(s, d, "documents").where("n_chars >= 24").select("doc_id", "n_chars", "lang").withColumnsRenamed({"doc_id": "document_id", "n_chars": "character_count", "lang": "language_code"})
-
-
-@query("select user_id as job_id, arg_max(event_type, event_id) as state from events group by 1")
-def str2_latest_state(s, d):
-    from folioqc.streaming.intake import latest_states
-
-    return latest_states(V.table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state")))
-
-
-@query("select event_type || '::' || user_id || '::' || (event_id % 3) as fingerprint, min(event_id) as first_id from events group by 1")
-def str5_fn25_fingerprints(s, d):
-    e = V.table(s, d, "events")
-    return e.groupBy(F.concat_ws("::", "event_type", F.col("user_id").cast("string"), (F.col("event_id") % 3).cast("string")).alias("fingerprint")).agg(F.min("event_id").alias("first_id"))
-
-
 def _paragraphs(pages: DataFrame) -> DataFrame:
     """Every line of each page as a paragraph in a column of boxes: 16 places, or more if the page has more lines."""
     lines = X.split_lines(F.col("text"))
@@ -527,14 +311,6 @@ def jn3_fn3_greedy_matches(s, d):
     return fuzzy.greedy_matches(_paragraphs(a).select(*cols), _paragraphs(b).select(*cols))
 
 
-@query()
-def pl1_pl2_rule_review(s, d):
-    a, b = _sides(s, d)
-    found = rule_qc.text_findings(_paragraphs(a), _paragraphs(b)).withColumn("slide", F.col("job_id") * 1000 + F.col("page_index"))
-    pages = a.select((F.col("job_id") * 1000 + F.col("page_index")).alias("slide"), F.lit(0.9).alias("similarity"), F.lit(False).alias("ocr"), F.lit(1.0).alias("ocr_confidence"))
-    return rule_qc.review(found, pages)
-
-
 @query()
 def pl7_jn4_jn12_text_discrepancies(s, d):
     a, b = _sides(s, d)
@@ -542,46 +318,5 @@ def pl7_jn4_jn12_text_discrepancies(s, d):
     return fuzzy.text_discrepancies(flat(a), flat(b))
 
 
-@query(f"""{_F}, c as (select slide, count(*) as n, bool_or(type = 'wrong_color') as colour from f where ord % 2 = 0 group by slide)
- select slide, 'AI review findings' as summary, case when colour then 'AI review findings' || chr(10) || '- Wrong COLOR of the title' || chr(10) || '- Text differs' else 'AI review findings' || chr(10) || '- Text differs' end as note from c""")
-def fn15_flt10_wn5_comments(s, d):
-    f = V.findings(s, d).where("ord % 2 = 0").groupBy("slide").agg(F.collect_set("type").alias("types"))
-    raw = f.select("slide", "types", F.lit("  ").alias("raw_summary"), F.lit(None).cast("string").alias("raw_note"),
-                   F.array(*map(F.lit, ("Wrong COLOR of the title", "Text differs", "text DIFFERS", " ", "The box is shifted"))).alias("raw_bullets"), F.array(F.lit("m")).alias("messages"))
-    return report.comments(raw).select("slide", "summary", "note")
-
-
-@query(f"""{_F}, c as (select slide, bool_or(type = 'wrong_color') as colour from f group by slide), s as (select c_custkey as slide from customer union select slide from c)
- select s.slide, case when c.slide is not null then 'AI review findings' end as summary,
- case when colour then 'AI review findings' || chr(10) || '- Wrong COLOR of the title' || chr(10) || '- Text differs' when c.slide is not null then 'AI review findings' || chr(10) || '- Text differs' end as note
- from s left join c on s.slide is not distinct from c.slide""")
-def fn15_wn5_all_comments(s, d):
-    """As fn15_flt10_wn5_comments over every finding, with a row of nulls for a customer's slide without any."""
-    f = V.findings(s, d).groupBy("slide").agg(F.collect_set("type").alias("types"), F.lit(True).alias("found"))
-    slides = V.table(s, d, "customer").select(F.col("c_custkey").alias("slide")).union(f.select("slide")).distinct()
-    joined = slides.alias("s").join(f.alias("f"), F.col("s.slide").eqNullSafe(F.col("f.slide")), "left").select("s.slide", "types", "found")
-    bullets = F.array(*map(F.lit, ("Wrong COLOR of the title", "Text differs", "text DIFFERS", " ", "The box is shifted")))
-    raw = joined.select("slide", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.lit("  ").alias("raw_summary"), F.lit(None).cast("string").alias("raw_note"),
-                        bullets.alias("raw_bullets"), F.when(F.col("found"), F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("messages"))
-    return report.comments(raw).select("slide", "summary", "note")
-
-
-@query("""select p_partkey, case when p_size % 4 = 0 then 'numeric-token mismatch' when p_size % 4 = 1 then 'possible unicode/confusable-character mismatch' when p_size % 4 = 2 then 'short label or symbol-level text mismatch'
- when p_size > 25 then 'likely line-level typo/spelling difference' else 'line-level text mismatch' end as label from part""")
-def fn9_fn10_fn11_labels(s, d):
-    p = V.table(s, d, "part")
-    k = F.col("p_size") % 4
-    a = F.when(k == 0, "total 12").when(k == 1, "CAB").when(k == 2, "a%").otherwise("a somewhat longer line")
-    b = F.when(k == 0, "total 13").when(k == 1, "САВ").when(k == 2, "b%").otherwise("a somewhat longer lime")
-    return p.select("p_partkey", X.mismatch_label(a, b, F.when(F.col("p_size") > 25, 0.9).otherwise(0.5)).alias("label"))
-
-
-@query(rf"""{_L}, c as (select doc_id, ord, trim(regexp_replace(line, '{_WS}', ' ', 'g')) as t from lines), k as (select *, row_number() over (partition by doc_id order by ord) as rn, count(*) over (partition by doc_id) as n from c where t <> '')
- select doc_id, string_agg('- ' || case when length(t) > 180 then rtrim(t[1:179]) || '…' else t end, chr(10) order by ord) || case when max(n) > 36 then chr(10) || '- ... ' || (max(n) - 36) || ' more text blocks omitted' else '' end as listing from k where rn <= 36 group by doc_id""")
-def fn14_fn27_listing(s, d):
-    rows = V.lines(s, d).withColumn("t", X.trimmed(F.col("line"))).where("t <> ''")
-    w = Window.partitionBy("doc_id")
-    top = rows.withColumn("n", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("ord"))).where("rn <= 36")
-    listed = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.concat(F.lit("- "), "t").alias("x")))).alias("r"), F.max("n").alias("n"))
-    more = F.when(F.col("n") > 36, F.concat(F.lit("\n- ... "), (F.col("n") - 36).cast("string"), F.lit(" more text blocks omitted"))).otherwise("")
-    return listed.select("doc_id", F.concat(F.array_join(F.col("r.x"), "\n"), more).alias("listing"))
+# The other modules register theirs.
+from folioqc.plans import deck_queries, finding_queries, text_queries  # noqa: E402, F401
