@@ -110,11 +110,12 @@ def test_components_are_eight_connected():
 def test_page_compare_finds_kinds():
     ref, cand = (np.full((300, 400, 3), 255, np.uint8) for _ in range(2))
     ref[50:120, 60:180] = 0
-    found = raster.compare(ref, cand)
-    assert found["missing"] and not found["color"]
+    best, masks, found = raster.compare(ref, cand)
+    assert found["missing"] and not found["color"] and best["similarity"] == -1.0 and masks["missing"].shape == (300, 400)
     cand[50:120, 60:180] = (200, 0, 0)
     ref[50:120, 60:180] = (0, 0, 200)
-    assert raster.compare(ref, cand)["color"]
+    best, _, found = raster.compare(ref, cand)
+    assert found["color"] and not found["missing"] and (best["angle"], best["offset"], best["scaled"]) == (0, (0, 0), (400, 300)) and best["similarity"] > 0.9
 
 
 def package() -> bytes:
