@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,15 +86,17 @@ def greedy_matches(reference: DataFrame, candidate: DataFrame, accept: float = D
 def greedy_by_score(scores: DataFrame, accept: float = DEFAULT.paragraph_match) -> DataFrame:
     """page, ref_ord, cand_ord, score: greedy matches over given scores (page, ref_ord, cand_ord, score)."""
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="ref_ord", columns="cand_ord", values="score", fill_value=0.0).sort_index().sort_index(axis=1)
-        values = table.to_numpy()
-        found = pick(values.shape[1], len(values), lambda r, c, least: float(values[r, c]), accept)
-        page = pdf["page"].iloc[0]
-        rows = [(page, r, None if c is None else table.columns[c], None if c is None else s) for r, (c, s) in zip(table.index, found)]
-        return pd.DataFrame(rows, columns=["page", "ref_ord", "cand_ord", "score"]).astype({"cand_ord": "Int64", "score": "Float64"})
-
-    return scores.groupBy("page").applyInPandas(match, "page long, ref_ord long, cand_ord long, score double")
+    def match(table: pa.Table) -> pa.Table:
+        refs, r = np.unique(table["ref_ord"].to_numpy(), return_inverse=True)
+        cands, c = np.unique(table["cand_ord"].to_numpy(), return_inverse=True)
+        values = np.zeros((len(refs), len(cands)))
+        values[r, c] = table["score"].to_numpy()
+        found = pick(len(cands), len(refs), lambda i, j, least: values[i, j], accept)
+        page = table["page"][0].as_py()
+        columns = [page] * len(refs), refs.tolist(), [None if j is None else int(cands[j]) for j, _ in found], [None if j is None else float(s) for j, s in found]
+        return pa.table([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["page", "ref_ord", "cand_ord", "score"])
+
+    return scores.groupBy("page").applyInArrow(match, "page long, ref_ord long, cand_ord long, score double")
 
 
 def _box(row) -> tuple[float, float, float, float]:

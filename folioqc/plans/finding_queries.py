@@ -85,7 +85,7 @@ _NUM = "case when {v} = floor({v}) then ({v})::bigint::varchar || '.0' else ({v}
 @query(rf"""{_F}, r as (select *, slide % 10 as job_id, row_number() over (partition by slide order by ord) as id from f),
  sl as (select distinct job_id, slide from r),
  fs as (select job_id, slide, '[' || string_agg('{{"id":' || id || ',"type":"' || type || '","severity":"' || {_SEVERITY} || '","bbox":[' ||
-  {_NUM.format(v="round(x0, 2)")} || ',' || {_NUM.format(v="round(y0, 2)")} || ',' || {_NUM.format(v="round(x1, 2)")} || ',' || {_NUM.format(v="round(y1, 2)")} || '],"message":"Finding ' || ord || '","confidence":' || {_NUM.format(v="round(confidence, 2)")} || '}}', ',' order by id) || ']' as items from r group by all),
+  {_NUM.format(v="round(x0, 2)")} || ',' || {_NUM.format(v="round(y0, 2)")} || ',' || {_NUM.format(v="round(x1, 2)")} || ',' || {_NUM.format(v="round(y1, 2)")} || '],"message":"Finding ' || ord || '","confidence":' || {_NUM.format(v="floor(confidence * 100) / 100")} || '}}', ',' order by id) || ']' as items from r group by all),
  ct as (select job_id, '{{' || string_agg('"' || type || '":' || n, ',' order by type) || '}}' as counts from (select job_id, type, count(*) as n from r group by all) group by job_id)
  select sl.job_id, '{{"slideCount":' || count(*) || ',"manualReviewCount":' || count(*) filter (sl.slide % 4 = 0) || ',"countsByType":' || any_value(counts) || ',"slides":[' ||
   string_agg('{{"slideIndex":' || sl.slide || ',"pageIndex":' || sl.slide || ',"status":"' || case when sl.slide % 4 = 0 then 'manual_review' else 'findings' end || '","alignmentConfidence":' || case when sl.slide % 4 = 0 then '0.0' else '0.9' end ||
@@ -97,7 +97,7 @@ def snk1_report_json(s, d):
     severity = F.when(F.col("type").isin("missing_content", "extra_content"), "high").otherwise("medium")
     b = F.col("bbox")
     found = f.select("job_id", F.col("slide").alias("slide_index"), F.col("finding_id").alias("id"), "type", severity.alias("severity"), G.box(*(F.round(b[n], 2) for n in _B)).alias("bbox"),
-                     F.concat(F.lit("Finding "), F.col("ord").cast("string")).alias("message"), F.round("confidence", 2).alias("confidence"))
+                     F.concat(F.lit("Finding "), F.col("ord").cast("string")).alias("message"), (F.floor(F.col("confidence") * 100) / 100).alias("confidence"))
     i = F.col("slide")
     manual, silent = i % 4 == 0, i % 3 == 0
     results = f.select("job_id", "slide").distinct().select(
