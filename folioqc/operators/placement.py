@@ -14,6 +14,27 @@ def place(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return r.join(c, ["job_id", "page_index"], "full_outer").select("job_id", "page_index", F.coalesce(status, F.when(F.col("has_candidate"), "no_matching_pdf_page").otherwise("extra_pdf_page")).alias("status"))
 
 
+# What a placement says of itself.
+MESSAGES = {
+    "placed": "Prepared the PDF page as a full-slide reference image",
+    "extra_pdf_page": "Appended unmatched PDF page as a new reference slide",
+    "no_matching_pdf_page": "No matching PDF page for this slide",
+}
+
+
+def described(placements: DataFrame) -> DataFrame:
+    """placements with the slide and the page that they name (null: none) and their message."""
+    said = F.create_map(*(F.lit(v) for pair in MESSAGES.items() for v in pair))[F.col("status")]
+    slide = F.when(F.col("status") != "extra_pdf_page", F.col("page_index"))
+    page = F.when(F.col("status") != "no_matching_pdf_page", F.col("page_index"))
+    return placements.withColumn("candidate_slide_index", slide).withColumn("reference_page_index", page).withColumn("message", said)
+
+
+def with_image(placements: DataFrame) -> DataFrame:
+    """Placed and extra pages that have an image."""
+    return placements.where(F.col("image").isNotNull() & F.col("status").isin("placed", "extra_pdf_page"))
+
+
 def page_totals(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """Pages to process for each job: the larger of the two counts."""
     a = reference.groupBy("job_id").agg(F.count("*").alias("n_reference"))

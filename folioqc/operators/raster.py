@@ -106,6 +106,35 @@ def grids_as_png(pairs: DataFrame, side: int) -> DataFrame:
     return pairs.select("vec_id", "ref").mapInPandas(run, "vec_id long, content binary")
 
 
+def fits(pairs: DataFrame) -> DataFrame:
+    """id, off_x, off_y, scaled_w, scaled_h of references fitted to candidates by their contents.
+    Pairs have id, ref_height, ref_width, ref, cand_height, cand_width, cand (RGB bytes)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, rh, rw, ref, ch, cw, cand in pdf[["id", "ref_height", "ref_width", "ref", "cand_height", "cand_width", "cand"]].itertuples(index=False):
+                x, y, w, h = content_bounds(np.frombuffer(cand, np.uint8).reshape(ch, cw, 3))
+                _, offset, size = fitted(np.frombuffer(ref, np.uint8).reshape(rh, rw, 3), cw, ch, (x + w / 2, y + h / 2))
+                rows.append((i, *offset, *size))
+            yield pd.DataFrame(rows, columns=["id", "off_x", "off_y", "scaled_w", "scaled_h"])
+
+    return pairs.mapInPandas(run, "id long, off_x int, off_y int, scaled_w int, scaled_h int")
+
+
+def framed_as_png(pages: DataFrame) -> DataFrame:
+    """id, content (PNG) of pages (id, height, width, image: RGB bytes) under the frame of a reference."""
+
+    def run(batches):
+        from folioqc.sources import png
+
+        for pdf in batches:
+            rows = [(i, png.encode(bordered(np.frombuffer(image, np.uint8).reshape(h, w, 3)))) for i, h, w, image in pdf[["id", "height", "width", "image"]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["id", "content"])
+
+    return pages.mapInPandas(run, "id long, content binary")
+
+
 def components(grids: DataFrame, side: int, threshold: float, least_area: int = 1, least_ratio: float = 0.0) -> DataFrame:
     """vec_id, region_ord, x0, y0, x1, y1, area of cells below the threshold, through both gates."""
 

@@ -5,13 +5,13 @@ Names start with the identifiers of the operators they cover.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioqc.functions import fuzzy
 from folioqc.functions import geometry as G
 from folioqc.functions import text as X
-from folioqc.operators import folds, fonts, layouts, placement, raster, report, spatial
+from folioqc.operators import folds, placement, raster, report, spatial
 from folioqc.plans import model_qc
 from folioqc.plans import views as V
 from folioqc.plans.registry import ORACLES, QUERIES, query  # noqa: F401

@@ -259,3 +259,57 @@ def st3_fn25_distinct_fingerprints(s, d):
     e = V.table(s, d, "events").withColumn("fingerprint", X.fingerprint("event_type", F.col("user_id").cast("string"), (F.col("event_id") % 3).cast("string")))
     first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("event_id"))
     return e.withColumn("n", first).where("n = 1").select("fingerprint", F.col("event_id").alias("first_id"))
+
+
+@query(f"""{C._PLACED} select job_id, status, case when status <> 'extra_pdf_page' then page_index else -1 end as slide, case when status <> 'no_matching_pdf_page' then page_index else -1 end as page,
+ case status when 'placed' then 'Prepared the PDF page as a full-slide reference image' when 'extra_pdf_page' then 'Appended unmatched PDF page as a new reference slide' else 'No matching PDF page for this slide' end as message from p""")
+def pl5_sup7_placements(s, d):
+    from folioqc.operators import placement
+
+    found = placement.described(placement.place(*C._sides(s, d)))
+    return found.select("job_id", "status", F.coalesce("candidate_slide_index", F.lit(-1)).alias("slide"), F.coalesce("reference_page_index", F.lit(-1)).alias("page"), "message")
+
+
+@query(f"{C._SWAPPED} select job_id, page_index, status from p where status in ('placed', 'extra_pdf_page') and (job_id + page_index) % 3 <> 0")
+def flt11_with_image(s, d):
+    from folioqc.operators import placement
+
+    a, b = C._sides(s, d)
+    image = F.when((F.col("job_id") + F.col("page_index")) % 3 != 0, "p.png")
+    return placement.with_image(placement.place(b, a).withColumn("image", image)).select("job_id", "page_index", "status")
+
+
+# Notes on slides: a summary on even slides, a manual review on the others; read back with the text.
+@query(f"""{_DECK}, nt as (select job_id, page_index, case when page_index % 2 = 0 then ['Slide ' || page_index, '• one', '• two'] else ['look & see'] end as l from ref),
+ al as (select job_id, page_index, 0 as late, ord, kind, text from sh union all select job_id, page_index, 1, generate_subscripts(l, 1), 'paragraph', unnest(l) from nt)
+ select 'deck-' || job_id || '.pptx' as path, page_index as slide_index, (row_number() over (partition by job_id, page_index order by late, ord) - 1)::int as ord, kind, text from al""")
+def snk2_snk11_noted_decks(s, d):
+    k = F.col("page_index")
+    lines = F.when(k % 2 == 0, F.array(F.concat(F.lit("Slide "), k.cast("string")), F.lit("• one"), F.lit("• two"))).otherwise(F.array(F.lit("look & see")))
+    notes = V.pages(s, d, "user").select(F.concat(F.lit("deck-"), F.col("job_id").cast("string"), F.lit(".pptx")).alias("path"), k.alias("slide_index"), F.when(k % 2 == 0, "summary").otherwise("manual_review").alias("kind"),
+                                         *(F.lit(v).alias(n) for n, v in (("left", 1), ("top", 2), ("width", 30), ("height", 40))), lines.alias("lines"))
+    return ooxml.slide_text(ooxml.with_notes(_decks(s, d), notes)).select("path", "slide_index", "ord", "kind", "text")
+
+
+def _page(height, width, top, high):
+    """RGB bytes of a white page with a black band across it."""
+    row = lambda v, n: F.repeat(F.lit(v), n)
+    return F.unhex(F.concat(row("FFFFFF", width * top), row("000000", width * high), row("FFFFFF", width * (height - top - high))))
+
+
+@query("""select p_partkey as id, 0::int as off_x, greatest(0, least(20, (p_size % 30 + 4) - (p_partkey % 14 + 4)))::int as off_y, 40::int as scaled_w, 30::int as scaled_h from part""")
+def im2_im4_fitted_pages(s, d):
+    forty, high = F.lit(40), F.lit(8)
+    pairs = V.table(s, d, "part").select(
+        F.col("p_partkey").alias("id"), F.lit(30).alias("ref_height"), forty.alias("ref_width"), _page(F.lit(30), forty, (F.col("p_partkey") % 14 + 4).cast("int"), high).alias("ref"),
+        F.lit(50).alias("cand_height"), forty.alias("cand_width"), _page(F.lit(50), forty, (F.col("p_size") % 30 + 4).cast("int"), high).alias("cand"))
+    return raster.fits(pairs)
+
+
+@query("""with p as (select p_partkey as id, (20 + p_size % 30)::int as w, (19 + p_partkey % 40)::int as h from part) select id, h as height, w as width, ((w - 6) * (h - 6) - greatest(0, w - 18) * greatest(0, h - 18))::bigint as framed from p""")
+def snk10_framed_pages(s, d):
+    w, h = (F.lit(20) + F.col("p_size") % 30).cast("int"), (F.lit(19) + F.col("p_partkey") % 40).cast("int")
+    pages = V.table(s, d, "part").select(F.col("p_partkey").alias("id"), h.alias("height"), w.alias("width"), _page(h, w, F.lit(2), F.lit(1)).alias("image"))
+    read = png.page_images(raster.framed_as_png(pages), ["id"])
+    red = F.size(F.filter(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda i: F.hex(F.substring("content", i * 3 + 1, 3)) == "DC2828")).cast("bigint")
+    return read.select("id", "height", "width", red.alias("framed"))

@@ -173,6 +173,45 @@ def renamed(content: bytes) -> bytes:
     return out.getvalue()
 
 
+def with_notes(packages: DataFrame, notes: DataFrame) -> DataFrame:
+    """path, content: packages with a note drawn on each slide that has one (path, slide_index, kind,
+    left, top, width, height, lines); summaries are light, manual reviews dark with one bold line."""
+    from xml.sax.saxutils import escape
+
+    # Fill, line and letter colours.
+    colours = {"summary": ("FFF9E7", "D4C48C", "3A3A3A"), "manual_review": ("585E68", "585E68", "FFFFFF")}
+
+    def shape(n, number: int) -> str:
+        fill, line, ink = colours[n.kind]
+        solid = lambda c: f'<a:solidFill><a:srgbClr val="{c}"/></a:solidFill>'
+        rows = "".join(
+            f'<a:p><a:r><a:rPr sz="{1200 if not k else 1100}" b="{int(not k)}">{solid(ink)}</a:rPr><a:t>{escape(t)}</a:t></a:r></a:p>' for k, t in enumerate(n.lines)
+        )
+        return (
+            f'<p:sp xmlns:p="{P.strip("{}")}" xmlns:a="{A.strip("{}")}"><p:nvSpPr><p:cNvPr id="{number}" name="{REFERENCE_NAME}"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr>'
+            f'<p:spPr><a:xfrm><a:off x="{n.left}" y="{n.top}"/><a:ext cx="{n.width}" cy="{n.height}"/></a:xfrm><a:prstGeom prst="roundRect"><a:avLst/></a:prstGeom>{solid(fill)}<a:ln>{solid(line)}</a:ln></p:spPr>'
+            f"<p:txBody><a:bodyPr wrap=\"square\"><a:spAutoFit/></a:bodyPr>{rows}</p:txBody></p:sp>"
+        )
+
+    def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        content = bytes(old["content"].iloc[0])
+        for prefix, space in (("p", P), ("a", A), ("r", R)):
+            ET.register_namespace(prefix, space.strip("{}"))
+        changes = {}
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            slides = slide_order(z)
+            for n in new.itertuples():
+                if n.slide_index < len(slides):
+                    root = ET.fromstring(z.read(slides[n.slide_index]))
+                    tree = root.find(f"{P}cSld/{P}spTree")
+                    number = _top([e.get("id", "") for e in tree.iter(f"{P}cNvPr")], r"(\d+)", 1)
+                    tree.append(ET.fromstring(shape(n, number)))
+                    changes[slides[n.slide_index]] = _xml(ET.tostring(root, encoding="unicode"))
+        return pd.DataFrame([(key[0], rewritten(content, changes))], columns=["path", "content"])
+
+    return packages.select("path", "content").groupBy("path").cogroup(notes.groupBy("path")).applyInPandas(run, "path string, content binary")
+
+
 def numbered_names(packages: DataFrame) -> DataFrame:
     """path, content with reference slides numbered, as slides of one deck need names of their own while
     a native program builds it."""
