@@ -7,10 +7,11 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioqc.functions import geometry as G
 from folioqc.functions.text import normalise_strict, normalise_text
 from folioqc.params import DEFAULT
 
@@ -99,6 +100,21 @@ def greedy_by_score(scores: DataFrame, accept: float = DEFAULT.paragraph_match)
     return scores.groupBy("page").applyInArrow(match, "page long, ref_ord long, cand_ord long, score double")
 
 
+def combined_score(text: Column, a: Column, b: Column) -> Column:
+    """Text and position scores as one, with a bonus for boxes in the same cell of the page."""
+    p = DEFAULT
+    return text * p.text_weight + G.position_similarity(a, b) * p.position_weight + F.when(G.grid_cell(a) == G.grid_cell(b), p.same_cell_bonus).otherwise(0.0)
+
+
+def nearest_by_score(scores: DataFrame) -> DataFrame:
+    """page, ref_ord, text, position: the lexicographically greatest pair of scores of each reference,
+    no less than (0, 0), of scores (page, ref_ord, text, position)."""
+    best = F.max(F.struct("text", "position")).alias("m")
+    found = scores.groupBy("page", "ref_ord").agg(best)
+    least = F.greatest("m", F.struct(F.lit(0.0).alias("text"), F.lit(0.0).alias("position")))
+    return found.select("page", "ref_ord", least.alias("m")).select("page", "ref_ord", "m.text", "m.position")
+
+
 def _box(row) -> tuple[float, float, float, float]:
     return row.x0, row.y0, row.x1, row.y1
 

@@ -255,3 +255,54 @@ def jn3_greedy_by_score(s, d):
     score = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("ref_ord") * F.col("cand_ord") * 31) % 101 / 100.0
     scores = r.join(c, "page").select("page", "ref_ord", "cand_ord", score.alias("score")).where("score > 0")
     return fuzzy.greedy_by_score(scores).select("page", "ref_ord", F.coalesce("cand_ord", F.lit(-1)).alias("cand_ord"), F.coalesce("score", F.lit(-1.0)).alias("score"))
+
+
+# Scores of reference and candidate items of a slide: given text scores, positions of their boxes.
+_SCORED = f"""{_F}, r as (select * from f where type = 'wrong_text' and ord % 3 = 0), c as (select * from f where type = 'wrong_color' and ord % 2 = 0),
+ sc as (select r.slide as page, r.ord as ref_ord, c.ord as cand_ord, ((r.ord * 7 + c.ord * 13) % 101) / 100.0::double as text, greatest(0, 1 - sqrt(((r.x0 + r.x1) / 2 - (c.x0 + c.x1) / 2) ** 2 + ((r.y0 + r.y1) / 2 - (c.y0 + c.y1) / 2) ** 2) / 1.2::double) as position,
+  {V.sql_cell('r')} = {V.sql_cell('c')} as same from r join c on r.slide = c.slide)"""
+
+
+def _scored(s, d):
+    from folioqc.functions import fuzzy
+
+    f = V.findings(s, d)
+    r = f.where("type = 'wrong_text' and ord % 3 = 0").select(F.col("slide").alias("page"), F.col("ord").alias("ref_ord"), F.col("bbox").alias("a"))
+    c = f.where("type = 'wrong_color' and ord % 2 = 0").select(F.col("slide").alias("page"), F.col("ord").alias("cand_ord"), F.col("bbox").alias("b"))
+    text = (F.col("ref_ord") * 7 + F.col("cand_ord") * 13) % 101 / 100.0
+    both = r.join(c, "page").withColumn("text", text)
+    return both.select("page", "ref_ord", "cand_ord", "text", G.position_similarity(F.col("a"), F.col("b")).alias("position"), fuzzy.combined_score(F.col("text"), F.col("a"), F.col("b")).alias("score"))
+
+
+@query(f"""{_SCORED}, st as (select page, ref_ord, list(struct_pack(c := cand_ord, s := round(text * 0.55::double + position * 0.45::double + case when same then 0.04::double else 0 end, 9)) order by round(text * 0.55::double + position * 0.45::double + case when same then 0.04::double else 0 end, 9) desc, cand_ord) as l from sc group by all),
+ gg as (select page, list(ref_ord order by ref_ord) as refs, list(l order by ref_ord) as ls from st group by page),
+ zz as (select page, refs, list_reduce(ls, lambda acc, x: acc || [coalesce(list_filter(x, lambda q: not coalesce(list_contains(list_transform(acc, lambda e: e.c), q.c), false))[1], struct_pack(c := null::bigint, s := null::double))], []::struct(c bigint, s double)[]) as picks from gg)
+ select page, unnest(refs)::bigint as ref_ord, coalesce(unnest(picks).c, -1)::bigint as cand_ord, round(coalesce(unnest(picks).s, -1), 6) as score from zz""")
+def jn4_combined_matches(s, d):
+    from folioqc.functions import fuzzy
+
+    scores = _scored(s, d).select("page", "ref_ord", "cand_ord", F.round("score", 9).alias("score"))
+    return fuzzy.greedy_by_score(scores, 0.0).select("page", "ref_ord", F.coalesce("cand_ord", F.lit(-1)).alias("cand_ord"), F.round(F.coalesce("score", F.lit(-1.0)), 6).alias("score"))
+
+
+@query(f"""{_SCORED}, m as (select page, ref_ord, text, position, row_number() over (partition by page, ref_ord order by text desc, position desc) as n from sc) select page, ref_ord, round(text, 6) as text, round(position, 6) as position from m where n = 1""")
+def jn12_nearest_scores(s, d):
+    from folioqc.functions import fuzzy
+
+    found = fuzzy.nearest_by_score(_scored(s, d).select("page", "ref_ord", "text", "position"))
+    return found.select("page", "ref_ord", F.round("text", 6).alias("text"), F.round("position", 6).alias("position"))
+
+
+# The ratio itself: the longest common block, the first in a and then in b, and again on both sides of it.
+@query("""with recursive p as (select p_partkey as id, p_brand || p_size as a, case when p_partkey % 2 = 0 then reverse(p_brand) || p_partkey % 10 else 'Brand#' || p_size || p_brand[1:3] end as b from part),
+ s as (select id, a, b, 1 as alo, length(a)::int + 1 as ahi, 1 as blo, length(b)::int + 1 as bhi, 0 as k from p
+  union all select id, a, b, h.alo, h.ahi, h.blo, h.bhi, h.k from (select id, a, b, unnest(case when m.k > 0 then [struct_pack(alo := alo, ahi := m.i, blo := blo, bhi := m.j, k := m.k), struct_pack(alo := m.i + m.k, ahi := ahi, blo := m.j + m.k, bhi := bhi, k := 0)] else [] end) as h from (
+   select *, (list_reverse_sort(list_transform(range((ahi - alo) * (bhi - blo)), lambda t: struct_pack(k := len(list_filter(range(1, least(ahi - (alo + t // (bhi - blo)), bhi - (blo + t % (bhi - blo))) + 1), lambda q: a[alo + t // (bhi - blo):alo + t // (bhi - blo) + q - 1] = b[blo + t % (bhi - blo):blo + t % (bhi - blo) + q - 1]))::int,
+    ni := -(alo + t // (bhi - blo))::int, nj := -(blo + t % (bhi - blo))::int, i := (alo + t // (bhi - blo))::int, j := (blo + t % (bhi - blo))::int))))[1] as m from s where ahi > alo and bhi > blo) where m.k > 0))
+ select id, round(2.0::double * sum(k) / (any_value(length(a)) + any_value(length(b))), 6) as ratio from s group by id""")
+def fn3_ratios(s, d):
+    from folioqc.functions import fuzzy
+
+    p, i, size = V.table(s, d, "part"), F.col("p_partkey"), F.col("p_size").cast("string")
+    b = F.when(i % 2 == 0, F.concat(F.reverse("p_brand"), (i % 10).cast("string"))).otherwise(F.concat(F.lit("Brand#"), size, F.substring("p_brand", 1, 3)))
+    return p.select(i.alias("id"), F.round(fuzzy.similarity(F.concat("p_brand", size), b), 6).alias("ratio"))
