@@ -6,6 +6,8 @@ rounding and resampling differ slightly.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -195,6 +197,7 @@ def crop_to_content(rgb: np.ndarray, padding: int = DEFAULT.crop_padding) -> np.
     return rgb[max(0, ys.min() - padding) : min(h, ys.max() + 1 + padding), max(0, xs.min() - padding) : min(w, xs.max() + 1 + padding)]
 
 
+@functools.lru_cache(maxsize=64)
 def _kernel(n: int, m: int, how: str) -> np.ndarray:
     """(m, n) weights that resample n samples to m: area (linear when growing), cubic, or lanczos."""
     if how == "area" and m < n:
@@ -489,3 +492,37 @@ def composed(reference: np.ndarray, candidate: np.ndarray | None, size: tuple[in
         if best is None or score > best[2]:
             best = canvas, angle, score
     return best
+
+
+def painted_pages(boxes: DataFrame) -> DataFrame:
+    """id, height, width, image (RGB bytes) of white pages with one filled box each (id, height, width,
+    x, y, w, h, red, green, blue)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, height, width, x, y, w, h, *colour in pdf[["id", "height", "width", "x", "y", "w", "h", "red", "green", "blue"]].itertuples(index=False):
+                page = np.full((height, width, 3), 255, np.uint8)
+                page[y : y + h, x : x + w] = colour
+                rows.append((i, height, width, page.tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "height", "width", "image"])
+
+    return boxes.mapInPandas(run, "id long, height int, width int, image binary")
+
+
+def prepared(pairs: DataFrame, most: int) -> DataFrame:
+    """What a model is shown of page pairs (as compared() takes them): both pages with no side over
+    most and the panel of both, as PNG, and their heights and widths."""
+    names = ("candidate", "reference", "panel")
+
+    def run(batches):
+        from folioqc.sources import png
+
+        for pdf in batches:
+            rows = []
+            for job, page, rh, rw, ref, ch, cw, cand in pdf[["job_id", "page_index", "ref_height", "ref_width", "ref", "cand_height", "cand_width", "cand"]].itertuples(index=False):
+                a, b = (downscaled(np.frombuffer(i, np.uint8).reshape(h, w, 3), most) for i, h, w in ((cand, ch, cw), (ref, rh, rw)))
+                rows.append((job, page, *(v for image in (a, b, side_by_side(a, b)) for v in (*image.shape[:2], png.encode(image)))))
+            yield pd.DataFrame(rows, columns=["job_id", "page_index", *(f"{n}_{k}" for n in names for k in ("height", "width", "png"))])
+
+    return pairs.mapInPandas(run, "job_id long, page_index int, " + ", ".join(f"{n}_height int, {n}_width int, {n}_png binary" for n in names))

@@ -313,3 +313,53 @@ def snk10_framed_pages(s, d):
     read = png.page_images(raster.framed_as_png(pages), ["id"])
     red = F.size(F.filter(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda i: F.hex(F.substring("content", i * 3 + 1, 3)) == "DC2828")).cast("bigint")
     return read.select("id", "height", "width", red.alias("framed"))
+
+
+# Pages with one box each: what is missing, moved or recoloured, and what a model is shown.
+_BOXES = "bx as (select n_nationkey::bigint as id, 150 as ph, (200 + n_nationkey % 3 * 20)::int as pw, (12 + n_nationkey * 3)::int as x, (10 + n_nationkey * 2)::int as y, (40 + n_regionkey * 5)::int as w, (30 + n_nationkey % 7 * 3)::int as h from nation)"
+
+
+def _boxes(s, d, colour):
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    at = lambda c: c.cast("int")
+    return V.table(s, d, "nation").select(
+        n.cast("bigint").alias("id"), F.lit(150).alias("height"), at(F.lit(200) + n % 3 * 20).alias("width"), at(F.lit(12) + n * 3).alias("x"), at(F.lit(10) + n * 2).alias("y"), at(F.lit(40) + r * 5).alias("w"),
+        at(F.lit(30) + n % 7 * 3).alias("h"), *(F.lit(v).alias(k) for v, k in zip(colour, ("red", "green", "blue"))))
+
+
+def _page_pairs(ref, cand):
+    a = raster.painted_pages(ref).select(F.col("id").alias("job_id"), F.lit(0).alias("page_index"), F.col("height").alias("ref_height"), F.col("width").alias("ref_width"), F.col("image").alias("ref"))
+    b = raster.painted_pages(cand).select(F.col("id").alias("job_id"), F.col("height").alias("cand_height"), F.col("width").alias("cand_width"), F.col("image").alias("cand"))
+    return a.join(b, "job_id")
+
+
+@query(f"""with {_BOXES} select id as job_id, 0::int as angle, round(-1.0::double, 6) as similarity, 'missing' as kind, round((x - 2) / pw::double, 6) as x0, round((y - 2) / ph::double, 6) as y0, round((x + w + 2) / pw::double, 6) as x1, round((y + h + 2) / ph::double, 6) as y1, round((w * h + 4 * w + 4 * h + 4) / (pw * ph)::double, 6) as area_ratio from bx
+ union all select id, 0::int, -1.0::double, 'geometry', round((x - 3) / pw::double, 6), round((y - 3) / ph::double, 6), round((x + w + 3) / pw::double, 6), round((y + h + 3) / ph::double, 6), round((w * h + 6 * w + 6 * h + 24) / (pw * ph)::double, 6) from bx""")
+def im12_missing_regions(s, d):
+    ref = _boxes(s, d, (0, 0, 0))
+    found = raster.compared(_page_pairs(ref, ref.withColumn("w", F.lit(0))))
+    regions = raster.page_regions(found)
+    return regions.join(found.select("job_id", "angle", "similarity"), "job_id").select("job_id", "angle", F.round("similarity", 6).alias("similarity"), "kind", *(F.round(c, 6).alias(c) for c in (*_B, "area_ratio")))
+
+
+@query(f"with {_BOXES} select id as job_id, 'color' as kind, 0::int as angle, true as near from bx")
+def im7_recoloured_regions(s, d):
+    ref, cand = _boxes(s, d, (0, 0, 200)), _boxes(s, d, (200, 0, 0))
+    found = raster.compared(_page_pairs(ref, cand))
+    regions = raster.page_regions(found).join(found.select("job_id", "angle"), "job_id").join(ref.withColumnRenamed("id", "job_id"), "job_id")
+    close = lambda side, at, size: F.abs(F.col(side) * F.col(size) - at) <= 3
+    near = close("x0", F.col("x"), "width") & close("y0", F.col("y"), "height") & close("x1", F.col("x") + F.col("w"), "width") & close("y1", F.col("y") + F.col("h"), "height")
+    return regions.select("job_id", "kind", "angle", near.alias("near"))
+
+
+@query(f"""with {_BOXES}, sz as (select *, (pw + 30) as rw, 120 as rh from bx), sc as (select *, greatest(1, round_even(ph * 100.0::double / greatest(pw, ph), 0))::int as ch, greatest(1, round_even(pw * 100.0::double / greatest(pw, ph), 0))::int as cw,
+  greatest(1, round_even(rh * 100.0::double / greatest(rw, rh), 0))::int as eh, greatest(1, round_even(rw * 100.0::double / greatest(rw, rh), 0))::int as ew from sz),
+ pn as (select *, greatest(ch, eh) as t from sc), gt as (select *, greatest(28, round_even(t * 0.02::double, 0))::int as g, greatest(72, round_even(t * 0.08::double, 0))::int as hd from pn), pd as (select *, greatest(24, g) as p from gt)
+ select id as job_id, ch as candidate_height, cw as candidate_width, eh as reference_height, ew as reference_width, (2 * p + hd + t)::int as panel_height,
+ (2 * p + g + case when ch = t then cw else greatest(1, round_even(cw * (t / ch::double), 0)) end + case when eh = t then ew else greatest(1, round_even(ew * (t / eh::double), 0)) end)::int as panel_width from pd""")
+def im8_im9_sup6_shown_pages(s, d):
+    cand = _boxes(s, d, (10, 20, 30))
+    ref = cand.withColumn("width", F.col("width") + 30).withColumn("height", F.lit(120)).withColumn("h", F.lit(5))
+    sizes = [f"{n}_{k}" for n in ("candidate", "reference", "panel") for k in ("height", "width")]
+    return raster.prepared(_page_pairs(ref, cand), 100).select("job_id", *sizes)
+
