@@ -24,7 +24,8 @@ def summed_up(results: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: slides, slides for manual review, and the counts by type as JSON with sorted names."""
     slides = results.agg(F.count("*").alias("slide_count"), F.count_if(F.col("status") == "manual_review").alias("manual_review_count"))
     counts = counts_by_type(findings).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n"))))).alias("counts_by_type"))
-    return slides.crossJoin(F.broadcast(counts))
+    both = slides.withColumn("counts_by_type", F.lit(None).cast("string")).unionByName(counts, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def numbered(findings: DataFrame, order: str = "ord") -> DataFrame:

@@ -227,8 +227,8 @@ def str5_fn25_repeated_pairs(s, d):
 @query("select event_id from events where ts < timestamp '2024-01-01 12:00:00' - interval 24 hours or event_id < 0 union all select event_id from events where ts >= timestamp '2024-01-01 12:00:00' - interval 24 hours and ts < (select max(ts) from events) - interval 24 hours")
 def str4_fn23_expired(s, d):
     e = V.table(s, d, "events")
-    last = e.agg(F.max("ts").alias("now"))
-    old = files.expired(e.crossJoin(F.broadcast(last)).withColumnRenamed("ts", "modificationTime"), 24, F.col("now"))
+    last = e.agg(F.max("ts")).first()[0]
+    old = files.expired(e.withColumnRenamed("ts", "modificationTime"), 24, F.lit(last))
     return old.select("event_id")
 
 
