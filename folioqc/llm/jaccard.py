@@ -62,23 +62,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _PLACE = _mix(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64)) | _U(1)
 
 
-class _Words(dict):
-    """The 64-bit hash of each word met, bounded in number."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word of a text, in order. In bytes, lower() and split() know ASCII alone."""
-    listed = text.lower().split()
-    return np.fromiter(map(_words.__getitem__, listed), np.uint64, len(listed))
+    """A 64-bit hash of each word of a text, in order. In bytes, lower() and split() know ASCII alone."""
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -299,7 +286,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with a doc_id in ids; the identifiers are broadcast when their count allows it."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    return docs.join(_short(ids), "doc_id", "left_semi")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -369,8 +356,14 @@ def _marked(spark: SparkSession, members: DataFrame, links: DataFrame | None) ->
 
 def _blocks(seated: DataFrame, keys: list[str]) -> DataFrame:
     """seated with the number of blocks of about BLOCK_ITEMS shingles that its kind and name fill."""
-    crowd = seated.groupBy(*keys).agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).alias("blocks"))
-    return seated.join(crowd, keys)
+    crowd = cut(seated.groupBy(*keys).agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).alias("blocks")), "crowds")
+    return seated.join(_short(crowd), keys)
+
+
+def _short(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows. The other side then stays where it is, so a key of very
+    many rows lands in no one task."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
@@ -388,14 +381,15 @@ def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
     spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
     apart = cut(marked.join(spans, "sig"), "apart")
     crowded = apart.agg(F.max("n")).first()[0] or 1
-    slots = 8
+    slots = 32
     while slots * LIST_DOCS < crowded:
         slots *= 2
     seekers = probes.join(apart, ["doc_id", "sig"]).select("doc_id", "sig", "n", "component", "n_shingles")
     home = seekers.groupBy("doc_id").agg(F.max_by("sig", F.struct("n", "sig")).alias("home"), F.max("n").alias("n"), F.first("component").alias("component"), F.first("n_shingles").alias("n_shingles"))
+    home = cut(home, "homes")
 
     def full(key: str, name: str) -> DataFrame:
-        return home.groupBy(key).agg(F.sum("n_shingles").alias("all")).where(F.col("all") >= BLOCK_ITEMS).select(key, F.lit(True).alias(name))
+        return _short(cut(home.groupBy(key).agg(F.sum("n_shingles").alias("all")).where(F.col("all") >= BLOCK_ITEMS).select(key, F.lit(True).alias(name)), name))
 
     band = F.floor(F.log2("n")).cast("long")
     kind = F.when(F.col("large"), "component").when(F.col("crowded"), "signature").otherwise("band")
@@ -420,7 +414,7 @@ def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
     about = apart.select("doc_id", "component", "n_shingles").distinct()
     met = cut(met.join(about, "doc_id"), "met")
     chunks = cut(met.groupBy("block").agg(F.ceil(F.sum("n_shingles") / CHUNK_ITEMS).cast("int").alias("chunks")), "chunks")
-    chunks = F.broadcast(chunks) if chunks.count() <= BROADCAST_ROWS else chunks
+    chunks = _short(chunks)
     ys = met.join(chunks, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "component", F.lit(False).alias("asks"))
     xs = placed.join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id").join(about.select("doc_id", "component"), "doc_id")
     rows = ys.unionByName(xs.withColumn("asks", F.lit(True))).join(items, "doc_id").select("block", "chunk", "doc_id", "asks", "component", "items")
