@@ -105,12 +105,12 @@ class ShardWriter:
     def finish(self) -> None:
         self._flush()
         bits = max(64, -(-len(self.keys) * BLOOM_BITS // 8) * 8)
-        bloom = np.zeros(bits // 8, np.uint8)
+        bloom = bytearray(bits // 8)
         for key in self.keys:
             for p in _probes(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         index = b"".join(self.index)
-        self.out.write(index + bloom.tobytes())
+        self.out.write(index + bytes(bloom))
         self.out.write(FOOTER.pack(self.at, len(self.index), self.at + len(index), len(bloom), BLOOM_PROBES, len(self.keys), self.ids, MAGIC))
 
 
@@ -126,7 +126,7 @@ class ShardReader:
         raw = file.read_at(blocks * INDEX.size, at) if blocks else b""
         self.index = list(INDEX.iter_unpack(raw))
         self.first_keys = [key for key, _, _ in self.index]
-        self.bloom = np.frombuffer(file.read_at(bloom_bytes, bloom_at), np.uint8)
+        self.bloom = file.read_at(bloom_bytes, bloom_at)
 
     def block(self, n: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, at, size = self.index[n]
@@ -141,10 +141,14 @@ class ShardReader:
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for n in range(len(self.index)):
-            yield from self.block(n)
+            self._open = n, dict(self.block(n))
+            yield from self._open[1].items()
 
     def may_hold(self, doc_id: int | None) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(make_key(doc_id), len(self.bloom) * 8))
+        for p in _probes(make_key(doc_id), len(self.bloom) * 8):
+            if not self.bloom[p >> 3] >> (p & 7) & 1:
+                return False
+        return True
 
     def get(self, doc_id: int | None) -> np.ndarray | None:
         """Identifiers of the shard's first row with this identifier: the Bloom filter, then binary
@@ -329,7 +333,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                     for key, ids in reader:
                         doc_id = key_id(key)
                         hit = reader.get(doc_id)
-                        same = hit is not None and (key != make_key(doc_id) or np.array_equal(hit, ids))
+                        same = hit is not None and (key != make_key(doc_id) or hit is ids)
                         rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), same))
                         start += len(ids)
                         if len(rows) == 4096:
