@@ -207,8 +207,10 @@ class Scorer:
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[str]]:
-    """Texts of a bounded sample of confirmed toxic and of all other learning documents."""
+    """Texts of a bounded sample of confirmed toxic and of all other learning documents. Of the labels
+    the first 2 * max_positive toxic identifiers by digest are looked for, so their list is short."""
     toxic = labels.where("doc_id is not null and toxic = 1").where(crc_fold() != 2).select("doc_id").distinct()
+    toxic = F.broadcast(toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_positive))
     rows = docs.where("text is not null and doc_id is not null").where(crc_fold() != 2).select("doc_id", "text")
     positive = sample_rows(rows.join(toxic, "doc_id", "left_semi"), "text", max_positive, max_bytes, "toxic")
     unlabelled = sample_rows(rows, "text", max_unlabelled, max_bytes, "unlabelled")
