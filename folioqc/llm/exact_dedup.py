@@ -127,8 +127,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     broadcast.
     """
     judged = equal_texts(docs)
-    dropped = cut(judged.where("not kept").select("doc_id", F.col("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "dropped")
-    rows = packed(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(normalised().cast("binary"), 256).alias("sha"))
+    dropped = cut(judged.where("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "dropped")
+    rows = packed(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("sha"))
     stay = but_for(rows, dropped.where("not again"), ["doc_id", "sha"])
     again = dropped.where("again")
     if not again.isEmpty():

@@ -23,6 +23,8 @@ LINE_LIMIT = 20
 LEFT_SHARE = 0.5
 #: Tasks that one very common line or text is dealt to where a list is too long to broadcast.
 SALTS = 16
+#: Narrow rows whose memory a text's list of heavy lines takes.
+MARK_ROWS = 4
 
 
 def _text() -> Column:
@@ -33,10 +35,10 @@ def _text_key() -> Column:
     return F.xxhash64(_text(), F.length(_text()))
 
 
-def _meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def _meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
     """Join with a table whose rows have no key twice. It is broadcast while short; else a key of
     very many rows is dealt to SALTS tasks, each of which gets the one row it needs."""
-    if narrow.count() <= BROADCAST_ROWS:
+    if narrow.count() <= (BROADCAST_ROWS if most is None else most):
         return rows.join(F.broadcast(narrow), keys, how)
     salted = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
@@ -144,7 +146,7 @@ def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_
     heavy = cut(boilerplate(listed, limit), "boilerplate")
     marks = cut(heavy_lines(listed, heavy), "heavy-lines")
     release(listed, heavy)
-    judged = _meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left")
+    judged = _meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left", BROADCAST_ROWS // MARK_ROWS)
     lines = F.split(_text(), "\n")
     rest = F.filter(lines, lambda x: ~F.array_contains(F.col("heavy"), F.xxhash64(normal_line(x))) | ~x.rlike(WORD))
     judged = judged.withColumn("rest", F.when(F.col("heavy").isNotNull(), rest))
