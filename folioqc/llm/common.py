@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
-#: Narrow rows (identifiers, digests) that are broadcast at once; beyond, joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Narrow rows (identifiers, digests; about 100 bytes each in memory) that are broadcast at once;
+#: beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,14 +94,19 @@ def but_for(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(listed) if gone.count() <= BROADCAST_ROWS else listed, same, "left_anti")
 
 
-def sample_rows(rows: DataFrame, text: str, max_rows: int, max_bytes: int, salt: str, order: tuple[str, ...] = ()) -> list[Row]:
+def sample_rows(rows: DataFrame, text: str, max_rows: int, max_bytes: int, salt: str, turns: str | None = None) -> list[Row]:
     """A bounded sample of distinct rows, whole, on the driver: at most max_rows rows and max_bytes
-    bytes of text, by the columns of `order` and then by a digest. A text that does not fit what
-    is left is passed over; equal rows count once. The narrow pass brings at most 4 * max_rows
-    digests and lengths, the second one only the chosen rows."""
-    tagged = rows.select("*", F.xxhash64(F.lit(salt), *(named(c) for c in rows.columns if c not in order)).alias("digest"), F.octet_length(text).alias("bytes"))
+    bytes of text, in the order of a digest; with `turns`, the first row of every value of that
+    column, then the second ones, and so on. A text that does not fit what is left is passed over;
+    equal rows count once. The narrow pass moves digests and lengths only, and brings at most
+    4 * max_rows of them; the second one brings the chosen rows."""
+    tagged = rows.select("*", F.xxhash64(F.lit(salt), *map(named, rows.columns)).alias("digest"), F.octet_length(text).alias("bytes"))
+    narrow, order = tagged.select(*([turns] if turns else []), "digest", "bytes"), ["digest"]
+    if turns:
+        nth = F.row_number().over(Window.partitionBy(turns).orderBy("digest"))
+        narrow, order = narrow.withColumn("nth", nth).where(F.col("nth") <= max_rows), ["nth", "digest"]
     left, chosen = max_bytes, {}
-    for r in tagged.select(*order, "digest", "bytes").orderBy(*order, "digest").limit(4 * max_rows).collect():
+    for r in narrow.select(*order, "bytes").orderBy(*order).limit(4 * max_rows).collect():
         if len(chosen) < max_rows and r.digest not in chosen and r.bytes <= left:
             chosen[r.digest] = len(chosen)
             left -= r.bytes

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioqc.llm.common import crc_fold, sample_rows, slices
@@ -22,7 +22,7 @@ from folioqc.llm.common import crc_fold, sample_rows, slices
 HIDDEN = 6
 #: Bytes of text that run side by side, positions of a block, and bytes of backward states that are
 #: kept from block to block; beyond that they are made again for each block.
-POOL_BYTES, BLOCK_POSITIONS, KEPT_BYTES = 16 << 20, 1 << 18, 256 << 20
+POOL_BYTES, BLOCK_POSITIONS, KEPT_BYTES = 16 << 20, 1 << 18, 48 << 20
 #: Bounds of the learning sample, of whole documents: rows and bytes.
 MAX_DOCUMENTS, MAX_BYTES = 3000, 24 << 20
 #: Training: window bytes, windows of a step, steps.
@@ -259,9 +259,7 @@ def learning_sample(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_byt
     """Texts and languages of a bounded sample of the learning folds: of every language in turn the
     next document by digest, so that a rare language is learnt as well."""
     rows = docs.where("lang is not null and doc_id is not null and text is not null").where(crc_fold() != 2).select("doc_id", "text", "lang")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = rows.withColumn("turn", turn).where(F.col("turn") <= max_documents)
-    found = sample_rows(known, "text", max_documents, max_bytes, "lang", ("turn",))
+    found = sample_rows(rows, "text", max_documents, max_bytes, "lang", "lang")
     return [r.text for r in found], [r.lang for r in found]
 
 
