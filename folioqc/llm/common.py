@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+_local = threading.local()
 #: Narrow rows (identifiers, digests; about 100 bytes each in memory) that are broadcast at once;
 #: beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -48,9 +51,38 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._cut_folder = path
+    if scopes := _scopes():
+        scopes[-1].append(found)
     return found
 
 
+def _scopes() -> list[list[DataFrame]]:
+    return _local.__dict__.setdefault("scopes", [])
+
+
+@contextlib.contextmanager
+def scratch():
+    """Within, tables that are cut live until the end, but for those that the given function keeps:
+
+        with scratch() as keep:
+            return keep(cut(result, "name"))
+    """
+    scopes, kept = _scopes(), []
+    scopes.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        gone = [t for t in scopes.pop() if not any(t is k for k in kept)]
+        if scopes:
+            scopes[-1].extend(kept)
+        release(*gone)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of cut tables that nothing reads any more."""
     for df in tables:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, packed, unpacked
+from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, packed, scratch, unpacked
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Least and greatest bytes of a chunk, and the share of byte values in each class of a cut.
@@ -126,8 +126,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     have any names. Documents stay where they are unless the list of dropped ones is too long to
     broadcast.
     """
-    judged = equal_texts(docs)
-    dropped = cut(judged.where("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "dropped")
+    with scratch() as keep:
+        judged = equal_texts(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again"))
+        dropped = keep(cut(judged.distinct(), "dropped"))
     rows = packed(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("sha"))
     stay = but_for(rows, dropped.where("not again"), ["doc_id", "sha"])
     again = dropped.where("again")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, packed, release, slices, unpacked
+from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, packed, release, scratch, slices, unpacked
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= THRESHOLD * union.
@@ -295,8 +295,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     Texts without words (null, empty, blank) have an empty set and link with nothing: their
     component is their own doc_id. Fewer than five words are one shingle. Rows that repeat a
     doc_id or a text share a set. Rows with a null doc_id take no part in links and get a null
-    component. Columns but doc_id and text are not read.
+    component. No row gives no row. Columns but doc_id and text are not read.
     """
+    with scratch() as keep:
+        return keep(cut(_components_of(docs), "components"))
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     profile = cut(profiles(docs), "profiles")
     has_set = profile.where("n_shingles > 0 and doc_id is not null")
@@ -313,7 +318,6 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     allowed = has_set.select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*").dropDuplicates(["doc_id", "part"])
     links = cut(_links(spark, single, shared, sets, allowed), "links")
-    release(shared)
     labelled = sets.join(components(spark, links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component"))
     found = profile.select("doc_id", "n_shingles", "h1", "h2").join(labelled.where("h1 is not null"), ["h1", "h2"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
@@ -483,6 +487,6 @@ def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; null identifiers and texts
     without words stay, and so do rows that repeat one that stays. Columns may have any names."""
-    found = similar_components(docs)
-    gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    with scratch() as keep:
+        gone = keep(cut(similar_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies"))
     return unpacked(but_for(packed(docs, F.col("doc_id").cast("bigint").alias("doc_id")), gone, ["doc_id"]), docs.columns)

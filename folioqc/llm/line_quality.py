@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import BROADCAST_ROWS, cut, let, packed, release
+from folioqc.llm.common import BROADCAST_ROWS, cut, let, packed, scratch
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -142,10 +142,10 @@ def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_
     gets only the heavy lines of its own text, so no limit bounds what a row carries.
     """
     rows = packed(docs, F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
-    listed = cut(host_lines(rows), "host-lines")
-    heavy = cut(boilerplate(listed, limit), "boilerplate")
-    marks = cut(heavy_lines(listed, heavy), "heavy-lines")
-    release(listed, heavy)
+    with scratch() as keep:
+        listed = cut(host_lines(rows), "host-lines")
+        heavy = cut(boilerplate(listed, limit), "boilerplate")
+        marks = keep(cut(heavy_lines(listed, heavy), "heavy-lines"))
     judged = _meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left", BROADCAST_ROWS // MARK_ROWS)
     lines = F.split(_text(), "\n")
     rest = F.filter(lines, lambda x: ~F.array_contains(F.col("heavy"), F.xxhash64(normal_line(x))) | ~x.rlike(WORD))

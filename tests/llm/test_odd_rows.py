@@ -171,3 +171,19 @@ def test_mix_of_rows_without_identifiers(spark):
         target = {r.source: r.target for r in mixing.mix(docs).collect()}[s]
         words = sum(n * len(t.split()) for t, n in got.items() if t in {r[1] for r in rows})
         assert abs(words - target) <= 2.5
+
+
+def test_scratch_tables_go(spark, odd):
+    """What an operator cuts on its way is deleted; what its result is read from stays."""
+    from pathlib import Path
+
+    from folioqc.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "folioqc"
+    names = lambda: {p.name.rsplit("-", 1)[0] for p in folder.iterdir()} if folder.exists() else set()
+    before = set(folder.iterdir()) if folder.exists() else set()
+    kept = jaccard.one_of_each(odd)
+    new = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert new == {"near-copies"} and "near-copies" in names() and kept.count() == 13
+    before = set(folder.iterdir())
+    assert exact_dedup.drop_copies(odd).count() == 12 and {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"dropped"}
