@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioqc.llm import bpe_tree, exact_dedup, jaccard, line_quality, mixing
-from folioqc.llm.common import cut, release, table, unpacked
+from folioqc.llm.common import cut, release, scratch, table, unpacked
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with scratch() as keep:
+            docs = keep(cut(stage(spark, before, sf_dir), name.replace(" ", "-")))
         release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
