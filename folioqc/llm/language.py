@@ -22,7 +22,7 @@ from folioqc.llm.common import crc_fold, sample_rows, slices
 HIDDEN = 6
 #: Bytes of text that run side by side, positions of a block, and bytes of backward states that are
 #: kept from block to block; beyond that they are made again for each block.
-POOL_BYTES, BLOCK_POSITIONS, KEPT_BYTES = 16 << 20, 1 << 18, 48 << 20
+POOL_BYTES, BLOCK_POSITIONS, KEPT_BYTES = 14 << 20, 1 << 18, 224 << 20
 #: Bounds of the learning sample, of whole documents: rows and bytes.
 MAX_DOCUMENTS, MAX_BYTES = 3000, 24 << 20
 #: Training: window bytes, windows of a step, steps.
