@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioqc.llm import bpe_tree, exact_dedup, html_main, jaccard, language, line_quality, mixing, pii, sstable, toxicity
+from folioqc.llm import bpe_tree, conversations, exact_dedup, html_main, importance, jaccard, language, line_quality, mixing, pii, sstable, toxicity, warc
 from folioqc.llm.common import table
 from folioqc.llm.oracles import ORACLES  # noqa: F401
 
@@ -59,10 +59,25 @@ def op10_lstm_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("problem").isNull().alias("valid"))
+
+
+def op12_importance_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(rows, conversations.damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_skip_chain_pii, op2_exact_dedup, op3_token_shards, op4_mix_sources, op5_pu_toxicity,
         op6_gru_language, op7_bpe_tree, op8_ngram_jaccard, op9_line_quality, op10_lstm_html,
+        op11_warc_zstd, op12_importance_duckdb, op13_conversation_repair,
     )
 }

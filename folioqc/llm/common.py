@@ -17,6 +17,10 @@ _local = threading.local()
 #: Narrow rows (identifiers, digests; about 100 bytes each in memory) that are broadcast at once;
 #: beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Tasks that one very common key is dealt to where a list is too long to broadcast.
+SALTS = 16
+#: Bits of the largest bitmap that is broadcast to keep rows from a shuffle (64 MB).
+FILTER_BITS = 1 << 29
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,15 +119,65 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
+def may_match(rows: DataFrame, listed: DataFrame, keys: list[str], n: int) -> DataFrame | None:
+    """rows with a flag `may`: false where the keys are certainly not among the n rows of listed.
+
+    A bitmap with sixteen bits for each listed row is broadcast in blocks of 4 KB, at most
+    FILTER_BITS in all; None where the list is too long for one. Built-in functions only.
+    """
+    bits = 1 << max(15, (16 * n - 1).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    place = F.pmod(F.xxhash64(*map(named, keys)), F.lit(bits)) + 1
+    blocks = listed.select(F.bitmap_bucket_number(place).alias("bit_block"), F.bitmap_bit_position(place).alias("bit"))
+    blocks = blocks.groupBy("bit_block").agg(F.bitmap_construct_agg("bit").alias("bit_map"))
+    byte = F.conv(F.hex(F.substring("bit_map", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("bit_block", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
+    found = placed.join(F.broadcast(blocks), "bit_block", "left").withColumn("bit_byte", byte)
+    hit = F.expr("shiftright(bit_byte, cast(bit % 8 as int)) & 1 = 1")
+    return found.withColumn("may", F.coalesce(hit, F.lit(False))).drop("bit_block", "bit", "bit_map", "bit_byte")
+
+
+def meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """Join (inner or left) with a table whose rows have no key twice; keys are not null.
+
+    A short table is broadcast. Of a longer one a bitmap is, so that rows that cannot match stay
+    where they are; the others meet it by shuffle, each key dealt to SALTS tasks.
+    """
+    n = narrow.count()
+    if n <= (BROADCAST_ROWS if most is None else most):
+        return rows.join(F.broadcast(narrow), keys, how)
+    salted = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def shuffled(part: DataFrame) -> DataFrame:
+        return part.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+    split = may_match(rows, narrow, keys, n)
+    if split is None:
+        return shuffled(rows)
+    met = shuffled(split.where("may").drop("may"))
+    if how == "inner":
+        return met
+    more = {f.name: f.dataType for f in narrow.schema if f.name not in keys}
+    return met.unionByName(split.where("not may").drop("may").select("*", *(F.lit(None).cast(t).alias(c) for c, t in more.items())))
+
+
 def but_for(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """rows without those whose keys (nulls equal nulls) are in gone. A list of at most
-    BROADCAST_ROWS is broadcast, so rows stay where they are; a longer one is shuffled."""
+    BROADCAST_ROWS is broadcast, so rows stay where they are; of a longer one a bitmap is, and only
+    rows that it does not rule out are shuffled."""
     names = [f"gone_{k}" for k in keys]
     listed = gone.select(*(F.col(k).alias(n) for k, n in zip(keys, names)))
     same = F.lit(True)
     for k, n in zip(keys, names):
         same = same & F.col(k).eqNullSafe(F.col(n))
-    return rows.join(F.broadcast(listed) if gone.count() <= BROADCAST_ROWS else listed, same, "left_anti")
+    n = gone.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(listed), same, "left_anti")
+    split = may_match(rows, gone, keys, n)
+    if split is None:
+        return rows.join(listed, same, "left_anti")
+    return split.where("not may").drop("may").unionByName(split.where("may").drop("may").join(listed, same, "left_anti"))
 
 
 def sample_rows(rows: DataFrame, text: str, max_rows: int, max_bytes: int, salt: str, turns: str | None = None) -> list[Row]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import BROADCAST_ROWS, cut, let, packed, scratch
+from folioqc.llm.common import BROADCAST_ROWS, cut, let, meet, packed, scratch
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -21,8 +21,6 @@ MIN_WORDS = 50
 LINE_LIMIT = 20
 #: A document that lost lines is depleted when fewer words than MIN_WORDS, or than this share, are left.
 LEFT_SHARE = 0.5
-#: Tasks that one very common line or text is dealt to where a list is too long to broadcast.
-SALTS = 16
 #: Narrow rows whose memory a text's list of heavy lines takes.
 MARK_ROWS = 4
 
@@ -35,15 +33,6 @@ def _text_key() -> Column:
     return F.xxhash64(_text(), F.length(_text()))
 
 
-def _meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
-    """Join with a table whose rows have no key twice. It is broadcast while short; else a key of
-    very many rows is dealt to SALTS tasks, each of which gets the one row it needs."""
-    if narrow.count() <= (BROADCAST_ROWS if most is None else most):
-        return rows.join(F.broadcast(narrow), keys, how)
-    salted = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
@@ -119,7 +108,7 @@ def boilerplate(listed: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """
     single = listed.select("host", "doc", F.explode("lines").alias("line"))
     often = cut(single.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("host", "line"), "often")
-    exact = _meet(single, often, ["host", "line"]).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
+    exact = meet(single, often, ["host", "line"]).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
     return exact.where(F.col("n") > limit).select("host", "line")
 
 
@@ -127,7 +116,7 @@ def heavy_lines(listed: DataFrame, heavy: DataFrame) -> DataFrame:
     """host, text_key, heavy: the boilerplate lines of each text that has any."""
     texts = listed.dropDuplicates(["host", "text_key"])
     lines = texts.select("host", "text_key", F.explode("lines").alias("line"))
-    return _meet(lines, heavy, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
+    return meet(lines, heavy, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
 
 
 def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE) -> DataFrame:
@@ -146,7 +135,7 @@ def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_
         listed = cut(host_lines(rows), "host-lines")
         heavy = cut(boilerplate(listed, limit), "boilerplate")
         marks = keep(cut(heavy_lines(listed, heavy), "heavy-lines"))
-    judged = _meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left", BROADCAST_ROWS // MARK_ROWS)
+    judged = meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left", BROADCAST_ROWS // MARK_ROWS)
     lines = F.split(_text(), "\n")
     rest = F.filter(lines, lambda x: ~F.array_contains(F.col("heavy"), F.xxhash64(normal_line(x))) | ~x.rlike(WORD))
     judged = judged.withColumn("rest", F.when(F.col("heavy").isNotNull(), rest))
