@@ -28,7 +28,7 @@ LETTERS = "ABCDEFGHIJKLMNOP"
 #: Names of roles by their initial, for rows that an edit makes.
 NAMES = {"u": "user", "a": "assistant"}
 #: Positions that recursion goes down before it returns; longer strings are solved from their end.
-STRIDE = 200
+STRIDE = 50
 
 #: What is emitted so far: nothing, s, u or a; the role that may follow each, and what it leads to.
 START, SYSTEM, USER, ASSISTANT = range(4)
