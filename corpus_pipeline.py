@@ -13,10 +13,12 @@ from folioqc.llm.common import cut, release, scratch, table, unpacked
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without boilerplate lines; n_chars follows the new text.
 
-    Null and empty texts fail. Rows that repeat a document stay or go together; null identifiers are
-    judged as all others; no row gives no row; other columns pass through whatever their names.
+    Null and empty texts fail. Copies are there still, so equal texts count once and the first
+    document that has a line keeps it. Rows that repeat a document stay or go together; null
+    identifiers are judged as all others; no row gives no row; other columns pass through whatever
+    their names.
     """
-    judged = line_quality.verdicts(docs).where("kept")
+    judged = line_quality.verdicts(docs, by_text=True).where("kept")
     new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
