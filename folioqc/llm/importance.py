@@ -82,12 +82,12 @@ def pieces(texts: Iterator[tuple[int, str]], most: int) -> Iterator[tuple[int, b
         while len(text) - at > most:
             end = next((m.start() for m in SEPARATOR.finditer(text, at + most)), len(text))
             yield doc, bool(carried), carried + text[at:end]
-            while at < end and SEPARATOR.match(text, end - 1):
-                end -= 1
-            last = max((m.end() for m in SEPARATOR.finditer(text, max(at, end - most), end)), default=at)
-            word = text[last:end]
-            if word:
-                carried = word + " "
+            stop = end
+            while stop > at and SEPARATOR.match(text, stop - 1):
+                stop -= 1
+            first = max((m.end() for m in SEPARATOR.finditer(text, at, stop)), default=at)
+            if first < stop:
+                carried = text[first:stop] + " "
             at = end
         yield doc, bool(carried), carried + text[at:]
 

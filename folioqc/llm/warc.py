@@ -187,7 +187,7 @@ class Record(NamedTuple):
 
 
 def number(fields: dict[str, str], name: str) -> int | None:
-    value = fields.get(name)
+    value = fields.get(name.lower())
     if value is None:
         return None
     if not re.fullmatch("-?[0-9]+", value):
@@ -213,7 +213,7 @@ def parsed(data: bytes) -> Record | None:
     digest = re.fullmatch("sha256:([0-9a-f]{64})", fields.get("warc-payload-digest", ""))
     if not digest:
         raise Damaged("WARC-Payload-Digest is no sha256")
-    refers_to = number(fields, "refers-to-page-id")
+    refers_to = number(fields, "Refers-To-Page-ID")
     if kind == "revisit":
         if payload:
             raise Damaged("a revisit has a payload")
@@ -222,7 +222,7 @@ def parsed(data: bytes) -> Record | None:
     elif len(payload) != full or hashlib.sha256(payload).hexdigest() != digest[1]:
         raise Damaged("the payload is not what its length and digest say")
     url = fields.get("warc-target-uri")
-    return Record(kind, fields["warc-record-id"], number(fields, "page-id"), None if url is None else unquote(url), refers_to, full, digest[1], payload)
+    return Record(kind, fields["warc-record-id"], number(fields, "Page-ID"), None if url is None else unquote(url), refers_to, full, digest[1], payload)
 
 
 def records(stream) -> Iterator[tuple[Record | None, str | None]]:
