@@ -19,6 +19,8 @@ _local = threading.local()
 BROADCAST_ROWS = 1_000_000
 #: Tasks that one very common key is dealt to where a list is too long to broadcast.
 SALTS = 16
+#: Shares that the rows of a value are ranked in before they are ranked together.
+SHARES = 64
 #: Bits of the largest bitmap that is broadcast to keep rows from a shuffle (64 MB).
 FILTER_BITS = 1 << 29
 
@@ -189,8 +191,12 @@ def sample_rows(rows: DataFrame, text: str, max_rows: int, max_bytes: int, salt:
     tagged = rows.select("*", F.xxhash64(F.lit(salt), *map(named, rows.columns)).alias("digest"), F.octet_length(text).alias("bytes"))
     narrow, order = tagged.select(*([turns] if turns else []), "digest", "bytes"), ["digest"]
     if turns:
-        nth = F.row_number().over(Window.partitionBy(turns).orderBy("digest"))
-        narrow, order = narrow.withColumn("nth", nth).where(F.col("nth") <= max_rows), ["nth", "digest"]
+        # The first of each of many shares, then of these: no task holds all rows of a common value.
+        share = F.pmod(F.hash("digest"), F.lit(SHARES))
+        for by in ([turns, share], [turns]):
+            nth = F.row_number().over(Window.partitionBy(*by).orderBy("digest"))
+            narrow = narrow.withColumn("nth", nth).where(F.col("nth") <= max_rows)
+        order = ["nth", "digest"]
     left, chosen = max_bytes, {}
     for r in narrow.select(*order, "bytes").orderBy(*order).limit(4 * max_rows).collect():
         if len(chosen) < max_rows and r.digest not in chosen and r.bytes <= left:

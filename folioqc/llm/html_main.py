@@ -536,9 +536,11 @@ def train(sample: list[str], steps: int = STEPS, seed: int = 23) -> Labeller:
 
 
 def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
+    """Main text of each page. A page without markup around any of its text has nothing but its text."""
     parsed = [blocks(p) for p in pages]
     probabilities = net.probabilities([vectors(p) for p in parsed])
-    return [" ".join(b.text for b, p in zip(page, ps) if p >= 0.5) for page, ps in zip(parsed, probabilities)]
+    plain = [not any(b.tags for b in page) for page in parsed]
+    return [" ".join(b.text for b, p in zip(page, ps) if whole or p >= 0.5) for page, ps, whole in zip(parsed, probabilities, plain)]
 
 
 def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

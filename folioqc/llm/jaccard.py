@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, packed, release, scratch, slices, unpacked
+from folioqc.llm.common import BROADCAST_ROWS, but_for, cut, meet, packed, release, scratch, slices, unpacked
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= THRESHOLD * union.
@@ -236,7 +236,7 @@ def shared_signatures(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataF
         if n:
             yield flush()
 
-    def meet(key: tuple, packed: pa.Table) -> pa.Table:
+    def gather(key: tuple, packed: pa.Table) -> pa.Table:
         sig, own = [], []
         for s, o, i in zip(packed["sigs"], packed["owners"], packed["ids"]):
             sig.append(np.frombuffer(s.as_py(), np.uint64))
@@ -256,7 +256,7 @@ def shared_signatures(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataF
         )
 
     packed = _slim(docs).mapInArrow(emit, "bucket bigint, sigs binary, owners binary, ids binary")
-    found = packed.groupBy("bucket").applyInArrow(meet, "doc_id bigint, part int, sig bigint, holders int")
+    found = packed.groupBy("bucket").applyInArrow(gather, "doc_id bigint, part int, sig bigint, holders int")
     if not len(hot):
         return found
     found = cut(found, "packed-signatures")
@@ -336,7 +336,7 @@ def _links(spark: SparkSession, single: DataFrame, shared: DataFrame, sets: Data
         chosen = F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id"))
         spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), chosen.alias("centre")).where("lo <> hi").select("sig", "centre")
         pairs = (
-            marked.join(spans, "sig")
+            meet(marked, cut(spans, "spans"), ["sig"])
             .where("component <> centre.component")
             .where(_sizes_allow(F.col("n_shingles"), F.col("centre.n_shingles")))
             .groupBy("doc_id").agg(F.min("centre.doc_id").alias("other"))
@@ -383,7 +383,7 @@ def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
     pieces of about LIST_DOCS.
     """
     spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
-    apart = cut(marked.join(spans, "sig"), "apart")
+    apart = cut(meet(marked, cut(spans, "spans"), ["sig"]), "apart")
     crowded = apart.agg(F.max("n")).first()[0] or 1
     slots = 32
     while slots * LIST_DOCS < crowded:
@@ -426,29 +426,60 @@ def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _meet_all(rows: pa.Table) -> pa.Table:
-    """One link (a, b) for each asking set and component that it is linked with, by exact counts."""
+    """One link (a, b) for each asking set and component that it is linked with, by exact counts.
+
+    Shingles are ranked from the rarest of the chunk to the most common. Sets that are linked share
+    one among the first few of each (the more of these, the smaller the overlap that a partner's
+    size may ask for), so only sets that do are compared: what a whole crowd shares is not met.
+    """
     rows = rows.combine_chunks()
     asks = rows["asks"].to_numpy()
     ids, parts = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
     column = rows["items"].chunk(0) if rows["items"].num_chunks else pa.array([], pa.list_(pa.int64()))
     ends = column.offsets.to_numpy()
-    values, size = column.values.to_numpy(zero_copy_only=False), np.diff(ends)
-    held = np.flatnonzero(~asks)
-    flat = np.concatenate([values[ends[k] : ends[k + 1]] for k in held]) if len(held) else values[:0]
-    owner = np.repeat(np.arange(len(held)), size[held])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    values, size = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(len(size)), size)
+    value = rank[place]
+    order = np.lexsort((value, owner))
+    value = value[order]
+    start = np.cumsum(size) - size
+    at = np.arange(len(value)) - start[owner]
+    # Against a partner that is no larger (far), and no smaller (near).
+    far = at < (size - -(-size * THRESHOLD // 100) + 1)[owner]
+    near = at < (size - -(-size * 2 * THRESHOLD // (100 + THRESHOLD)) + 1)[owner]
+
+    def index(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen = np.flatnonzero(first & ~asks[owner])
+        chosen = chosen[np.argsort(value[chosen], kind="stable")]
+        return value[chosen], owner[chosen]
+
+    def holders(indexed: tuple[np.ndarray, np.ndarray], sought: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(indexed[0], sought, "left"), np.searchsorted(indexed[0], sought, "right")
+        n = hi - lo
+        return indexed[1][np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    near_index, far_index = index(near), index(far)
+    marked = np.zeros(len(count), np.int64)
     a, b = [], []
     for k in np.flatnonzero(asks):
-        mine = values[ends[k] : ends[k + 1]]
-        lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(held))
-        ok = np.flatnonzero((both * 100 >= (size[k] + size[held] - both) * THRESHOLD) & (parts[held] != parts[k]))
-        _, first = np.unique(parts[held][ok], return_index=True)
+        mine = slice(start[k], start[k] + size[k])
+        smaller, larger = holders(near_index, value[mine][far[mine]]), holders(far_index, value[mine][near[mine]])
+        found = np.unique(np.concatenate([smaller[size[smaller] <= size[k]], larger[size[larger] > size[k]]]))
+        found = found[(parts[found] != parts[k]) & (np.minimum(size[found], size[k]) * 100 >= np.maximum(size[found], size[k]) * THRESHOLD)]
+        if not len(found):
+            continue
+        marked[value[mine]] = 1
+        n = size[found]
+        ahead = np.cumsum(n) - n
+        both = np.add.reduceat(marked[value[np.repeat(start[found] - ahead, n) + np.arange(n.sum())]], ahead)
+        marked[value[mine]] = 0
+        ok = found[both * 100 >= (size[k] + n - both) * THRESHOLD]
+        _, first = np.unique(parts[ok], return_index=True)
         a += [int(ids[k])] * len(first)
-        b += ids[held][ok][first].tolist()
+        b += ids[ok][first].tolist()
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ MAX_DOCUMENTS, MAX_BYTES = 3000, 24 << 20
 WINDOW, TRAIN_LANES, STEPS = 128, 256, 350
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _hard_sigmoid(x: np.ndarray) -> np.ndarray:

@@ -96,30 +96,40 @@ def host_lines(rows: DataFrame) -> DataFrame:
     """host, text_key, doc and lines (distinct hashes) of each row. A document is its identifier;
     rows without one are told apart by their text."""
     hashed = F.array_distinct(F.transform(F.filter(F.split(_text(), "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(normal_line(x))))
-    doc = F.struct(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), _text_key()).alias("other"))
+    none = F.col("doc_id").isNull()
+    doc = F.struct(none.alias("none"), F.col("doc_id").alias("id"), F.when(none, _text_key()).alias("other"))
     return rows.select("host", _text_key().alias("text_key"), doc.alias("doc"), hashed.alias("lines"))
 
 
+def one_of_text(listed: DataFrame) -> DataFrame:
+    """host_lines with one document for all rows of a text: its smallest identifier."""
+    return listed.groupBy("host", "text_key").agg(F.min("doc").alias("doc"), F.first("lines").alias("lines"))
+
+
 def boilerplate(listed: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """host, line (hash) of lines that more than limit distinct documents of their host hold.
+    """host, line (hash) and first document of lines that more than limit distinct documents of their
+    host hold.
 
     Rows are counted first, summed before the shuffle; only lines of enough rows have their
     documents told apart, in two steps whose first deals a line's documents to all tasks.
     """
     single = listed.select("host", "doc", F.explode("lines").alias("line"))
     often = cut(single.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("host", "line"), "often")
-    exact = meet(single, often, ["host", "line"]).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"))
-    return exact.where(F.col("n") > limit).select("host", "line")
+    exact = meet(single, often, ["host", "line"]).groupBy("host", "line").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first"))
+    return exact.where(F.col("n") > limit).select("host", "line", "first")
 
 
-def heavy_lines(listed: DataFrame, heavy: DataFrame) -> DataFrame:
-    """host, text_key, heavy: the boilerplate lines of each text that has any."""
-    texts = listed.dropDuplicates(["host", "text_key"])
-    lines = texts.select("host", "text_key", F.explode("lines").alias("line"))
-    return meet(lines, heavy, ["host", "line"]).groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
+def heavy_lines(listed: DataFrame, heavy: DataFrame, spare_first: bool = False) -> DataFrame:
+    """host, text_key, heavy: the boilerplate lines of each text that has any; with spare_first, but
+    for lines whose first document it is."""
+    texts = listed if spare_first else listed.dropDuplicates(["host", "text_key"])
+    lines = meet(texts.select("host", "text_key", "doc", F.explode("lines").alias("line")), heavy, ["host", "line"])
+    if spare_first:
+        lines = lines.where("doc <> first")
+    return lines.groupBy("host", "text_key").agg(F.collect_set("line").alias("heavy"))
 
 
-def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE, by_text: bool = False) -> DataFrame:
     """row (each row of docs as a struct), doc_id, the base columns, clean_text (without boilerplate
     lines), n_removed_lines, n_words_left and kept.
 
@@ -129,12 +139,17 @@ def verdicts(docs: DataFrame, limit: int = LINE_LIMIT, left_share: float = LEFT_
     Columns of docs may have any names, as they stay inside `row`. Very long texts and lines are
     read whole. Boilerplate is a table of (host, line) rows: it meets the lines' hashes, and a row
     gets only the heavy lines of its own text, so no limit bounds what a row carries.
+
+    by_text is for rows that hold copies still: equal texts count as one document, and a line stays
+    in the first document of its host that has it. So a text that very many rows hold is no
+    boilerplate, and of texts that are nearly the same one keeps its lines.
     """
     rows = packed(docs, F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
     with scratch() as keep:
-        listed = cut(host_lines(rows), "host-lines")
+        listed = host_lines(rows)
+        listed = cut(one_of_text(listed) if by_text else listed, "host-lines")
         heavy = cut(boilerplate(listed, limit), "boilerplate")
-        marks = keep(cut(heavy_lines(listed, heavy), "heavy-lines"))
+        marks = keep(cut(heavy_lines(listed, heavy, by_text), "heavy-lines"))
     judged = meet(base_rules(rows).withColumn("text_key", _text_key()), marks, ["host", "text_key"], "left", BROADCAST_ROWS // MARK_ROWS)
     lines = F.split(_text(), "\n")
     rest = F.filter(lines, lambda x: ~F.array_contains(F.col("heavy"), F.xxhash64(normal_line(x))) | ~x.rlike(WORD))

@@ -39,7 +39,7 @@ WORD = re.compile(r"\S+")
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])*")
 GROUP = re.compile(r"[+(]{0,2}[0-9](?:[().-]{0,2}[0-9])*")
 
-#: Digits that an uncovered run must have to be a mention, digits that a part of a run may have to be
+#: Digits that an uncovered run must have to be a mention if no base span has the same ones, digits that a part of a run may have to be
 #: one, and the marginal of spans that are kept.
 MIN_DIGITS, PART_DIGITS, MIN_MARGINAL = 7, (10, 19), 0.5
 #: Bounds of the learning sample, of whole documents: rows and bytes.
@@ -149,8 +149,8 @@ def keys(text: str) -> list[tuple[int, str]]:
     """What a mention has in common with similar ones, by kind of skip edge."""
     found = [(0, text.lower())]
     d = _digits(text)
-    if len(d) >= MIN_DIGITS and "@" not in text:
-        found += [(1, d), (2, d[-7:])]
+    if d and "@" not in text:
+        found += [(1, d), (2, d[-7:])] if len(d) >= MIN_DIGITS else [(1, d)]
     if "@" in text:
         found.append((3, text.lower().partition("@")[0]))
     return found
@@ -194,16 +194,47 @@ def gaps(a: int, b: int, starts: list[int], ends: list[int]) -> Iterator[tuple[i
         yield a, b
 
 
-def number_mentions(text: str, starts: list[int], ends: list[int], field: Field | None) -> Iterator[tuple[int, int]]:
-    """Runs of digits outside of base spans, divided where the field finds mentions in them."""
+def number_mentions(text: str, starts: list[int], ends: list[int], field: Field | None, known: frozenset[str] = frozenset()) -> Iterator[tuple[int, int]]:
+    """Runs of digits outside of base spans, divided where the field finds mentions in them. What has
+    the very digits of a base span (known) is a mention however short it is."""
     for run in RUN.finditer(text):
-        if run.end() - run.start() < MIN_DIGITS:
+        if run.end() - run.start() < MIN_DIGITS and not known:
             continue
         for lo, hi in gaps(run.start(), run.end(), starts, ends):
             for part in RUN.finditer(text, lo, hi):
-                for a, b in divided(text, part.start(), part.end(), field) if field else [part.span()]:
-                    if b - a >= MIN_DIGITS and len(_digits(text[a:b])) >= MIN_DIGITS:
-                        yield a, b
+                for c, d, same in repeats(text, part.start(), part.end(), known) if known else [(*part.span(), False)]:
+                    if same:
+                        yield c, d
+                        continue
+                    for a, b in divided(text, c, d, field) if field else [(c, d)]:
+                        if b - a >= MIN_DIGITS and len(_digits(text[a:b])) >= MIN_DIGITS:
+                            yield a, b
+
+
+def repeats(text: str, a: int, b: int, known: frozenset[str]) -> Iterator[tuple[int, int, bool]]:
+    """text[a:b], a run of digit groups, as parts whose digits are known, leftmost first and longest
+    of these, and what lies between."""
+    groups = [g.span() for g in GROUP.finditer(text, a, b)]
+    digits = [_digits(text[x:y]) for x, y in groups]
+    most = max(map(len, known))
+    k = free = 0
+    while k < len(groups):
+        said, hit = "", 0
+        for j in range(k, len(groups)):
+            said += digits[j]
+            if len(said) > most:
+                break
+            if said in known:
+                hit = j + 1
+        if hit:
+            if free < k:
+                yield groups[free][0], groups[k - 1][1], False
+            yield groups[k][0], groups[hit - 1][1], True
+            k = free = hit
+        else:
+            k += 1
+    if free < len(groups):
+        yield groups[free][0], groups[-1][1], False
 
 
 def divided(text: str, a: int, b: int, field: Field) -> list[tuple[int, int]]:
@@ -262,7 +293,7 @@ def open_mentions(text: str, base: list[Span], field: Field | None = None) -> li
                 b = m.end() - len(m[0]) + len(m[0].rstrip(")>]}\"'*#$%&!.,;:"))
                 if b - a > 2 and next(gaps(a, b, starts, ends), None) == (a, b):
                     found.append((a, b))
-    found += number_mentions(text, starts, ends, field)
+    found += number_mentions(text, starts, ends, field, frozenset(_digits(text[a:b]) for a, b, k in base if k))
     found.sort()
     out, free = [], 0
     for a, b in found:
@@ -354,7 +385,8 @@ def degrade(text: str, kind: int, rng: np.random.Generator) -> str:
 
 
 def training_graphs(texts: list[str], rng: np.random.Generator) -> list[tuple[Graph, np.ndarray]]:
-    """Documents' mentions with degraded copies of some base spans (labelled as these), whole cards
+    """Documents' mentions (those with a base span's digits labelled as it, others none) with degraded
+    copies of some base spans (labelled as these), whole cards
     and phones as they are where two numbers were cut apart (labelled as these), degraded spans of
     other documents without support and similar-looking numbers (labelled none)."""
     made, spare = [], [("+1 (555) 010-1234", 3), ("4111111111111111", 2), ("10.20.30.40", 1), ("ab.c@mail.example.com", 0)]
@@ -362,7 +394,8 @@ def training_graphs(texts: list[str], rng: np.random.Generator) -> list[tuple[Gr
         base = base_spans(text)
         loose = open_mentions(text, base)
         nodes = [(a, b, text[a:b], text[a - 1 : a] if a else "", text[b : b + 1], k + 1, k + 1) for a, b, k in base]
-        nodes += [(a, b, text[a:b], text[a - 1 : a] if a else "", text[b : b + 1], -1, 0) for a, b in loose]
+        said = {_digits(text[a:b]): k + 1 for a, b, k in base if k}
+        nodes += [(a, b, text[a:b], text[a - 1 : a] if a else "", text[b : b + 1], -1, said.get(_digits(text[a:b]), 0)) for a, b in loose]
         for a, b, k in base:
             if rng.random() < 0.6:
                 nodes.append((int(rng.integers(0, len(text) + 1)), -1, degrade(text[a:b], k, rng), " ", " ", -1, k + 1))

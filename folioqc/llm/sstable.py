@@ -256,13 +256,13 @@ def _encoder(path: str, memo_words: int) -> WordEncoder:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """Encode every whole text, append end_id and write shards; returns shard, path, documents, ids.
+    """Encode every whole text, append end_id and write shards; returns part, shard, path, documents, ids.
 
     One range shuffle on doc_id and a digest of the text moves texts (not the longer identifiers)
     into key order, so that rows of one identifier, or of none, are dealt to as many tasks as they
     fill; each task then encodes its range and writes shards of at most about SHARD_IDS
-    identifiers. Files go to a name of the attempt's own and are moved into place, so a lost or
-    repeated task leaves no half shard. Null texts are empty; null identifiers sort last; repeated
+    identifiers. A file's name is its attempt's own, and only shards that a task which succeeded
+    lists are read, so a lost or repeated task leaves none. Null texts are empty; null identifiers sort last; repeated
     identifiers keep one entry each, ordered by that digest.
     """
 
@@ -278,9 +278,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             nonlocal stream, writer, shard
             writer.finish()
             stream.close()
-            name = f"{root}/shard-{part:06d}-{shard:05d}.sst"
-            store.move(temporary, name)
-            rows.append((part * 100_000 + shard, name, len(writer.keys), writer.ids))
+            rows.append((part, shard, path, len(writer.keys), writer.ids))
             stream = writer = None
             shard += 1
 
@@ -288,8 +286,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             ids = batch.column(0).to_pylist()
             for doc_id, encoded in zip(ids, encoder.encode(batch.column(1))):
                 if writer is None:
-                    temporary = f"{root}/attempt-{uuid.uuid4().hex}"
-                    stream = store.open_output_stream(temporary)
+                    path = f"{root}/shard-{part:06d}-{shard:05d}-{uuid.uuid4().hex}.sst"
+                    stream = store.open_output_stream(path)
                     writer = ShardWriter(stream)
                 nth = nth + 1 if last == (doc_id,) else 0
                 last = (doc_id,)
@@ -299,8 +297,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         if writer is not None:
             close()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))],
-            ["shard", "path", "documents", "ids"],
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+            ["part", "shard", "path", "documents", "ids"],
         )
 
     store, root = fs.FileSystem.from_uri(folder)
@@ -308,7 +306,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     ranged = slim.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    return cut(ranged.mapInArrow(run, "shard bigint, path string, documents bigint, ids bigint"), "shards")
+    return cut(ranged.mapInArrow(run, "part bigint, shard bigint, path string, documents bigint, ids bigint"), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
@@ -318,15 +316,15 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     Only the list of shards is summed in one place (a row for each file of SHARD_IDS identifiers);
     documents are read block by block where their shard is.
     """
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = shards.select("shard", "path", before.alias("before"))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = shards.select("part", "shard", "path", before.alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         names = ["doc_id", "start", "n_tokens", "ids_crc32", "found"]
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
-            for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for path, start in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 rows = []
                 with store.open_input_file(path) as file:
                     reader = ShardReader(file)
@@ -342,7 +340,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    spread = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    spread = listed.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "shard")
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, found boolean")
 
 
