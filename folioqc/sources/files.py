@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,13 +44,13 @@ def job_copies(files: DataFrame, folder: str) -> DataFrame:
     return files.select(F.col("path").alias("source"), F.concat(F.lit(f"{folder}/"), F.col("job_id").cast("string"), F.lit("/"), F.regexp_replace("name", "^.*/", "")).alias("target"))
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if ":" in uri else f"file://{os.path.abspath(uri)}")
 
 
 def _put(data: bytes, target: str) -> None:
     """Write beside the target and move into place: readers see the old file or the whole new one."""
-    store, path = _store(target)
+    store, path = store_of(target)
     folder, _, name = path.rpartition("/")
     store.create_dir(folder, recursive=True)
     temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
@@ -72,13 +74,55 @@ def copy_files(copies: DataFrame) -> None:
 
     def run(rows) -> None:
         for r in rows:
-            store, path = _store(r.source)
+            store, path = store_of(r.source)
             with store.open_input_file(path) as f:
                 _put(f.read(), r.target)
 
     copies.select("source", "target").foreachPartition(run)
 
 
+def run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """path, modificationTime of the folders of a root, as listed on an executor."""
+
+    def run(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, path = store_of(uri)
+                found = [i for i in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if i.type == fs.FileType.Directory]
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{uri.rstrip('/')}/{i.base_name}" for i in part], pa.string()), pa.array([i.mtime for i in part], pa.timestamp("us", "UTC"))], ["path", "modificationTime"])
+
+    return spark.createDataFrame([(root,)], "uri string").mapInArrow(run, "path string, modificationTime timestamp")
+
+
+def delete_expired(folders: DataFrame, hours: int = 24, now: datetime | None = None) -> DataFrame:
+    """path, outcome of folders that are listed as expired: each is looked at again where it is
+    deleted, so one that came to life after the listing stays (kept); one that is gone is gone, and
+    one that cannot be deleted is told (failed) and left to the next run. An action deletes."""
+    cutoff = (now or datetime.now(timezone.utc)) - timedelta(hours=hours)
+
+    def outcome(uri: str) -> str:
+        store, path = store_of(uri)
+        info = store.get_file_info(path)
+        if info.type != fs.FileType.Directory:
+            return "gone"
+        if info.mtime >= cutoff:
+            return "kept"
+        try:
+            store.delete_dir(path)
+        except OSError:
+            return "gone" if store.get_file_info(path).type == fs.FileType.NotFound else "failed"
+        return "deleted"
+
+    def run(batches):
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(outcome, paths), pa.string())], ["path", "outcome"])
+
+    return expired(folders, hours, F.lit(now) if now else None).select("path").mapInArrow(run, "path string, outcome string")
+
+
 def expired(files: DataFrame, hours: int = 24, now: Column | None = None) -> DataFrame:
     now = F.current_timestamp() if now is None else now
     return files.where(F.col("modificationTime") < now - F.expr(f"INTERVAL {hours} HOURS"))

@@ -17,7 +17,6 @@ from folioqc.functions.text import normalise_strict, normalise_text
 from folioqc.operators import folds, raster
 from folioqc.plans import model_qc
 from folioqc.sources import files, ooxml
-from folioqc.streaming import intake
 
 
 def iou(a, b):
@@ -167,16 +166,3 @@ def test_model_errors_stay_on_their_page(spark):
 
     got = {r.slide: (r.result is not None, r.error is not None) for r in model_qc.call_model(spark.range(3).withColumnRenamed("id", "slide"), model).collect()}
     assert got == {0: (True, False), 1: (False, True), 2: (False, True)}
-
-
-def test_intake_runs_each_submission_once(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    row = {"job_id": 1, "pdf": "a", "pptx": "b", "size": 1, "modified": 2, "submitted": "2024-01-01T00:00:00"}
-    (src / "1.json").write_text(json.dumps(row))
-    (src / "2.json").write_text(json.dumps(row | {"job_id": 2}))
-    (src / "3.json").write_text(json.dumps(row | {"job_id": 3, "pdf": "c"}))
-    q = intake.run_jobs(intake.submissions(spark, str(src)), lambda df: df.select("job_id"), str(tmp_path / "ev"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    states = intake.latest_states(spark.read.parquet(str(tmp_path / "ev"))).collect()
-    assert len(states) == 2 and {r.state for r in states} == {"completed"}
