@@ -28,8 +28,8 @@ def summed_up(results: DataFrame, findings: DataFrame) -> DataFrame:
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
-def numbered(findings: DataFrame, order: str = "ord") -> DataFrame:
-    return findings.withColumn("finding_id", F.row_number().over(Window.partitionBy("slide").orderBy(order)).cast("bigint"))
+def numbered(findings: DataFrame, *order: str) -> DataFrame:
+    return findings.withColumn("finding_id", F.row_number().over(Window.partitionBy("slide").orderBy(*(order or ("ord",)))).cast("bigint"))
 
 
 def mean_confidence(findings: DataFrame, kept: Column) -> DataFrame:

@@ -130,8 +130,8 @@ def flt14_visual_fallback(s, d):
 _BOX = "struct_pack(ord := ord, x0 := x0, y0 := y0, x1 := x1, y1 := y1{more})"
 
 
-def _fold_sql(view: str, keys: str, more: str, body: str, result: str) -> str:
-    return f"""{view}, g as (select {keys}, list({_BOX.format(more=more)} order by ord) as rows from {{source}} group by {keys}),
+def _fold_sql(view: str, keys: str, more: str, body: str, result: str, order: str = "ord") -> str:
+    return f"""{view}, g as (select {keys}, list({_BOX.format(more=more)} order by {order}) as rows from {{source}} group by {keys}),
  h as (select {keys}, list_reduce(list_transform(rows, lambda r: [r]), lambda acc, x: {body}) as kept from g) {result}"""
 
 
@@ -156,19 +156,19 @@ def wn3_keep_best(s, d):
     return folds.keep_best(V.overlapping(s, d)).select("slide", "type", "ord", "place")
 
 
-_STAGED = """(select slide, (case type when 'missing_content' then 0 when 'size_position_issue' then 1 else 2 end) * 10000000000 + ord as ord, type = 'missing_content' as fixed, x0, y0, x1, y1
+_STAGED = """(select slide, (case type when 'missing_content' then 0 when 'size_position_issue' then 1 else 2 end) as stage, ord, type = 'missing_content' as fixed, x0, y0, x1, y1
  from o where type in ('missing_content', 'size_position_issue', 'wrong_color'))"""
 
 
 @query(
     _fold_sql(_O, "slide", ", fixed := fixed", f"case when not x[1].fixed and len(list_filter(acc, lambda k: {V.sql_overlap('x[1]', 'k')} >= 0.55::double)) > 0 then acc else acc || x end",
-              "select slide, unnest(kept).ord as ord from h").replace("{source}", _STAGED)
+              "select slide, unnest(kept).ord as ord from h", "stage, ord").replace("{source}", _STAGED)
 )
 def wn4_suppress_covered(s, d):
     o = V.overlapping(s, d).where("type in ('missing_content', 'size_position_issue', 'wrong_color')")
     stage = F.when(F.col("type") == "missing_content", 0).when(F.col("type") == "size_position_issue", 1).otherwise(2)
-    staged = o.select("slide", (stage.cast("bigint") * 10_000_000_000 + F.col("ord")).alias("ord"), (F.col("type") == "missing_content").alias("fixed"), "bbox")
-    return folds.suppress_covered(staged).select("slide", "ord")
+    staged = o.select("slide", stage.alias("stage"), "ord", (F.col("type") == "missing_content").alias("fixed"), "bbox")
+    return folds.suppress_covered(staged, order=("stage", "ord")).select("slide", "ord")
 
 
 @query(f"""{_F}, c as (select slide, count(*) as n from f where type = 'wrong_text' group by slide), p as (select distinct slide, slide % 5 = 0 as manual from f)

@@ -30,8 +30,8 @@ REGIONS = {
     "color": ("wrong_color", "medium", 0.72, 16, 0.92, "An element appears to use the wrong color compared with the PDF reference."),
 }
 _PLACE = ("angle", "target_w", "target_h", "off_x", "off_y", "scaled_w", "scaled_h")
-#: Findings come in phases: missing text, matches, missing, geometry and colour regions.
-_PHASE = 1_000_000_000
+#: Findings come in phases, and within one by number.
+TEXT, MATCHES, PHASES = 0, 1, {"missing": 2, "geometry": 3, "color": 4}
 
 
 def matches_of(reference: DataFrame, candidate: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -63,19 +63,19 @@ def text_findings(matches: DataFrame, reference: DataFrame, candidate: DataFrame
     box = F.when(missing, F.col("ref_box")).when(breaks, F.col("cand_box")).otherwise(G.union_box(F.col("ref_box"), F.col("cand_box")))
     wraps = F.format_string("Paragraph wraps into %d lines on the slide versus %d lines in the PDF.", F.col("cand_lines"), F.col("ref_lines"))
     message = F.when(missing, MISSING_TEXT).when(breaks, wraps).otherwise(WRONG_PLACE)
-    order = (F.when(missing, F.lit(0)).otherwise(F.lit(_PHASE)) + F.col("ref_ord")).cast("bigint")
-    return j.select("slide", order.alias("ord"), kind.alias("type"), F.when(missing, "high").otherwise("medium").alias("severity"), G.clamp(confidence).alias("confidence"), message.alias("message"), box.alias("bbox")).where("type is not null")
+    phase = F.when(missing, TEXT).otherwise(MATCHES)
+    return j.select("slide", phase.alias("phase"), F.col("ref_ord").cast("bigint").alias("ord"), kind.alias("type"), F.when(missing, "high").otherwise("medium").alias("severity"), G.clamp(confidence).alias("confidence"), message.alias("message"), box.alias("bbox")).where("type is not null")
 
 
 def region_findings(regions: DataFrame, reference: DataFrame, found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Findings of regions that text does not explain: missing regions that no mapped reference box
     covers, then geometry and colour regions that no earlier finding of any kind covers."""
     missing = spatial.uncovered(regions.where("kind = 'missing'"), reference, p.missing_overlap)
-    late = F.when(F.col("kind") == "missing", 2).when(F.col("kind") == "geometry", 3).otherwise(4).cast("bigint") * F.lit(_PHASE).cast("bigint")
-    rest = missing.unionByName(regions.where("kind <> 'missing'")).select("slide", (late + F.col("ord")).cast("bigint").alias("ord"), (F.col("kind") == "missing").alias("fixed"), "bbox", "kind", "area_ratio")
-    before = found.select("slide", "ord", F.lit(True).alias("fixed"), "bbox")
-    kept = folds.suppress_covered(before.unionByName(rest.select("slide", "ord", "fixed", "bbox")), p.region_overlap)
-    joined = kept.select("slide", "ord").join(rest, ["slide", "ord"])
+    late = F.when(F.col("kind") == "missing", PHASES["missing"]).when(F.col("kind") == "geometry", PHASES["geometry"]).otherwise(PHASES["color"])
+    rest = missing.unionByName(regions.where("kind <> 'missing'")).select("slide", late.alias("phase"), F.col("ord").cast("bigint").alias("ord"), (F.col("kind") == "missing").alias("fixed"), "bbox", "kind", "area_ratio")
+    before = found.select("slide", "phase", "ord", F.lit(True).alias("fixed"), "bbox")
+    kept = folds.suppress_covered(before.unionByName(rest.select("slide", "phase", "ord", "fixed", "bbox")), p.region_overlap, ("phase", "ord"))
+    joined = kept.select("slide", "phase", "ord").join(rest, ["slide", "phase", "ord"])
 
     def by_kind(value) -> Column:
         out = None
@@ -84,7 +84,7 @@ def region_findings(regions: DataFrame, reference: DataFrame, found: DataFrame,
         return out
 
     confidence = by_kind(lambda r: F.least(F.lit(r[4]), r[2] + F.col("area_ratio") * r[3]))
-    return joined.select("slide", "ord", by_kind(lambda r: F.lit(r[0])).alias("type"), by_kind(lambda r: F.lit(r[1])).alias("severity"), G.clamp(confidence).alias("confidence"), by_kind(lambda r: F.lit(r[5])).alias("message"), "bbox")
+    return joined.select("slide", "phase", "ord", by_kind(lambda r: F.lit(r[0])).alias("type"), by_kind(lambda r: F.lit(r[1])).alias("severity"), G.clamp(confidence).alias("confidence"), by_kind(lambda r: F.lit(r[5])).alias("message"), "bbox")
 
 
 def findings(matches: DataFrame, reference: DataFrame, candidate: DataFrame, regions: DataFrame, pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -92,9 +92,9 @@ def findings(matches: DataFrame, reference: DataFrame, candidate: DataFrame, reg
     Identifiers count all findings in the order in which they arise; dropped ones leave gaps."""
     reference = mapped(reference, pages)
     text = text_findings(matches, reference, candidate, p)
-    everything = report.numbered(text.unionByName(region_findings(regions, reference, text, p)))
+    everything = report.numbered(text.unionByName(region_findings(regions, reference, text, p)), "phase", "ord")
     kept = folds.keep_first(everything.select("slide", "type", F.col("finding_id").alias("ord"), "bbox"), p.dedup_rule).select("slide", F.col("ord").alias("finding_id"))
-    return everything.drop("ord").join(kept, ["slide", "finding_id"])
+    return everything.drop("phase", "ord").join(kept, ["slide", "finding_id"])
 
 
 def results(pages: DataFrame, found: DataFrame, p: Params = DEFAULT) -> DataFrame:
