@@ -140,19 +140,19 @@ def may_match(rows: DataFrame, listed: DataFrame, keys: list[str], n: int) -> Da
     return found.withColumn("may", F.coalesce(hit, F.lit(False))).drop("bit_block", "bit", "bit_map", "bit_byte")
 
 
-def meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+def meet(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str = "inner", most: int | None = None, salts: int = SALTS) -> DataFrame:
     """Join (inner or left) with a table whose rows have no key twice; keys are not null.
 
     A short table is broadcast. Of a longer one a bitmap is, so that rows that cannot match stay
-    where they are; the others meet it by shuffle, each key dealt to SALTS tasks.
+    where they are; the others meet it by shuffle, each key dealt to `salts` tasks.
     """
     n = narrow.count()
     if n <= (BROADCAST_ROWS if most is None else most):
         return rows.join(F.broadcast(narrow), keys, how)
-    salted = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def shuffled(part: DataFrame) -> DataFrame:
-        return part.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+        return part.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
 
     split = may_match(rows, narrow, keys, n)
     if split is None:

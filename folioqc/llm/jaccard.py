@@ -40,6 +40,8 @@ THRESHOLD = 75
 SEGMENTS_PER_SIZE = 0.42
 BAND_RATIO = 1.7
 STAR_ROUNDS = 3
+#: Signatures between components that are broadcast at once, and tasks that one is dealt to beyond.
+SPANS, SPAN_SALTS = 250_000, 4
 #: Bytes of packed signatures that one bucket holds, and entries that a task sends at once.
 BUCKET_BYTES = 24 << 20
 FLUSH_ENTRIES = 1 << 20
@@ -336,7 +338,7 @@ def _links(spark: SparkSession, single: DataFrame, shared: DataFrame, sets: Data
         chosen = F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id"))
         spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), chosen.alias("centre")).where("lo <> hi").select("sig", "centre")
         pairs = (
-            meet(marked, cut(spans, "spans"), ["sig"])
+            meet(marked, cut(spans, "spans"), ["sig"], most=SPANS, salts=SPAN_SALTS)
             .where("component <> centre.component")
             .where(_sizes_allow(F.col("n_shingles"), F.col("centre.n_shingles")))
             .groupBy("doc_id").agg(F.min("centre.doc_id").alias("other"))
@@ -383,7 +385,7 @@ def _rest(marked: DataFrame, probes: DataFrame, items: DataFrame) -> DataFrame:
     pieces of about LIST_DOCS.
     """
     spans = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
-    apart = cut(meet(marked, cut(spans, "spans"), ["sig"]), "apart")
+    apart = cut(meet(marked, cut(spans, "spans"), ["sig"], most=SPANS, salts=SPAN_SALTS), "apart")
     crowded = apart.agg(F.max("n")).first()[0] or 1
     slots = 32
     while slots * LIST_DOCS < crowded:
@@ -439,17 +441,21 @@ def _meet_all(rows: pa.Table) -> pa.Table:
     ends = column.offsets.to_numpy()
     values, size = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
     _, place, count = np.unique(values, return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    owner = np.repeat(np.arange(len(size)), size)
-    value = rank[place]
-    order = np.lexsort((value, owner))
-    value = value[order]
+    rank = np.empty(len(count), np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    # One number a shingle, its set's and its rank, sorts each set's shingles where they are.
+    both_keys = owner.astype(np.int64) << 32 | rank[place]
+    del values, place
+    both_keys.sort()
+    value = (both_keys & 0xFFFFFFFF).astype(np.int32)
+    del both_keys
     start = np.cumsum(size) - size
-    at = np.arange(len(value)) - start[owner]
+    at = np.arange(len(value), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
     # Against a partner that is no larger (far), and no smaller (near).
-    far = at < (size - -(-size * THRESHOLD // 100) + 1)[owner]
-    near = at < (size - -(-size * 2 * THRESHOLD // (100 + THRESHOLD)) + 1)[owner]
+    far = at < np.repeat(size - -(-size * THRESHOLD // 100) + 1, size)
+    near = at < np.repeat(size - -(-size * 2 * THRESHOLD // (100 + THRESHOLD)) + 1, size)
+    del at
 
     def index(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chosen = np.flatnonzero(first & ~asks[owner])
@@ -462,7 +468,7 @@ def _meet_all(rows: pa.Table) -> pa.Table:
         return indexed[1][np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     near_index, far_index = index(near), index(far)
-    marked = np.zeros(len(count), np.int64)
+    marked = np.zeros(len(count), np.int16)
     a, b = [], []
     for k in np.flatnonzero(asks):
         mine = slice(start[k], start[k] + size[k])
@@ -474,7 +480,7 @@ def _meet_all(rows: pa.Table) -> pa.Table:
         marked[value[mine]] = 1
         n = size[found]
         ahead = np.cumsum(n) - n
-        both = np.add.reduceat(marked[value[np.repeat(start[found] - ahead, n) + np.arange(n.sum())]], ahead)
+        both = np.add.reduceat(marked[value[np.repeat(start[found] - ahead, n) + np.arange(n.sum())]], ahead, dtype=np.int64)
         marked[value[mine]] = 0
         ok = found[both * 100 >= (size[k] + n - both) * THRESHOLD]
         _, first = np.unique(parts[ok], return_index=True)
