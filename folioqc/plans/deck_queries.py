@@ -84,14 +84,14 @@ def snk13_one_name(s, d):
     return names.groupBy("path").agg(F.count_if(F.col("name") == "PDF_ORIGINAL").alias("named"), F.count_if(F.col("name").startswith("PDF_ORIGINAL_")).alias("numbered"))
 
 
-@query("""with e as (select distinct p_size as path, p_partkey % 12 as n from part where p_partkey % 3 <> 0), t as (select path, n from e where n >= 1),
- w as (select p_size as path, p_partkey as ord, row_number() over (partition by p_size order by p_partkey) as k from part where p_partkey % 2 = 0),
+@query("""with e as (select distinct p_size as path, p_partkey % 12 as n from part), t as (select path, n from e where n >= 1),
+ w as (select p_size as path, p_partkey as ord, row_number() over (partition by p_size order by p_partkey) as k from part),
  c as (select path, unnest(range(1, 2000)) as n from (select distinct path from w)), f as (select c.path, c.n, row_number() over (partition by c.path order by c.n) as k from c where not exists (select 1 from t where t.path = c.path and t.n = c.n))
  select w.path::varchar as path, w.ord, 'PDF_ORIGINAL_' || lpad(f.n::varchar, greatest(3, length(f.n::varchar))::int, '0') as name from w join f using (path, k)""")
 def sup11_unique_names(s, d):
     p = V.table(s, d, "part").withColumn("path", F.col("p_size").cast("string"))
-    existing = p.where("p_partkey % 3 <> 0").select("path", F.concat(F.lit("PDF_ORIGINAL_"), F.lpad((F.col("p_partkey") % 12).cast("string"), 3, "0")).alias("name"))
-    return ooxml.unique_names(existing, p.where("p_partkey % 2 = 0").select("path", F.col("p_partkey").alias("ord")))
+    existing = p.select("path", F.concat(F.lit("PDF_ORIGINAL_"), F.lpad((F.col("p_partkey") % 12).cast("string"), 3, "0")).alias("name"))
+    return ooxml.unique_names(existing, p.select("path", F.col("p_partkey").alias("ord")))
 
 
 @query("""select p_brand as path, coalesce(min('slideLayout' || p_partkey || '.xml') filter (p_size % 10 = 0), min('slideLayout' || p_partkey || '.xml')) as part from part group by p_brand""")
@@ -227,8 +227,8 @@ def str5_fn25_repeated_pairs(s, d):
 @query("select event_id from events where ts < timestamp '2024-01-01 12:00:00' - interval 24 hours or event_id < 0 union all select event_id from events where ts >= timestamp '2024-01-01 12:00:00' - interval 24 hours and ts < (select max(ts) from events) - interval 24 hours")
 def str4_fn23_expired(s, d):
     e = V.table(s, d, "events")
-    last = e.agg(F.max("ts")).first()[0]
-    old = files.expired(e.withColumnRenamed("ts", "modificationTime"), 24, F.lit(last))
+    last = e.agg(F.max("ts").alias("last")).scalar()
+    old = files.expired(e.withColumnRenamed("ts", "modificationTime"), 24, last)
     return old.select("event_id")
 
 

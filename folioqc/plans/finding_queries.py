@@ -258,7 +258,7 @@ def jn3_greedy_by_score(s, d):
 
 
 # Scores of reference and candidate items of a slide: given text scores, positions of their boxes.
-_SCORED = f"""{_F}, r as (select * from f where type = 'wrong_text' and ord % 3 = 0), c as (select * from f where type = 'wrong_color' and ord % 2 = 0),
+_SCORED = f"""{_F}, r as (select * from f where type = 'wrong_text'), c as (select * from f where type = 'wrong_color'),
  sc as (select r.slide as page, r.ord as ref_ord, c.ord as cand_ord, ((r.ord * 7 + c.ord * 13) % 101) / 100.0::double as text, greatest(0, 1 - sqrt(((r.x0 + r.x1) / 2 - (c.x0 + c.x1) / 2) ** 2 + ((r.y0 + r.y1) / 2 - (c.y0 + c.y1) / 2) ** 2) / 1.2::double) as position,
   {V.sql_cell('r')} = {V.sql_cell('c')} as same from r join c on r.slide = c.slide)"""
 
@@ -267,8 +267,8 @@ def _scored(s, d):
     from folioqc.functions import fuzzy
 
     f = V.findings(s, d)
-    r = f.where("type = 'wrong_text' and ord % 3 = 0").select(F.col("slide").alias("page"), F.col("ord").alias("ref_ord"), F.col("bbox").alias("a"))
-    c = f.where("type = 'wrong_color' and ord % 2 = 0").select(F.col("slide").alias("page"), F.col("ord").alias("cand_ord"), F.col("bbox").alias("b"))
+    r = f.where("type = 'wrong_text'").select(F.col("slide").alias("page"), F.col("ord").alias("ref_ord"), F.col("bbox").alias("a"))
+    c = f.where("type = 'wrong_color'").select(F.col("slide").alias("page"), F.col("ord").alias("cand_ord"), F.col("bbox").alias("b"))
     text = (F.col("ref_ord") * 7 + F.col("cand_ord") * 13) % 101 / 100.0
     both = r.join(c, "page").withColumn("text", text)
     return both.select("page", "ref_ord", "cand_ord", "text", G.position_similarity(F.col("a"), F.col("b")).alias("position"), fuzzy.combined_score(F.col("text"), F.col("a"), F.col("b")).alias("score"))

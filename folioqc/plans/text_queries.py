@@ -43,14 +43,16 @@ def fn13_font_names(s, d):
 _FILE = "lower(event_type) || '_' || event_id || case event_id % 9 when 0 then '.txt' when 1 then '.PDF' when 2 then '.pdf.bak' when 3 then '.pptx' when 4 then '.PPTX' when 5 then '.pdf' when 6 then '.ppt' when 7 then '.pdf' else '.pptx' end"
 
 
-@query(f"""with f as (select event_id // 2 as job_id, event_id, {_FILE} as name from events where event_id % 5 <> 4), k as (select *, case when lower(name) like '%.pdf' then 'pdf' when lower(name) like '%.pptx' then 'pptx' else 'unsupported' end as kind from f)
+@query(f"""with f as (select event_id - [0, 0, 1, 0, 1, 2, 0][event_id % 7 + 1] as job_id, event_id, {_FILE} as name from events), k as (select *, case when lower(name) like '%.pdf' then 'pdf' when lower(name) like '%.pptx' then 'pptx' else 'unsupported' end as kind from f)
  select job_id, case when count(*) filter (kind = 'unsupported') > 0 then 'Only one PDF and one PPTX file are supported.' when count(*) filter (kind = 'pdf') > 1 then 'Please drop only one PDF file.' when count(*) filter (kind = 'pptx') > 1 then 'Please drop only one PPTX file.' end as error,
  string_agg(kind, ',' order by event_id) as kinds, string_agg('/run/' || job_id || '/' || name, ',' order by event_id) as targets from k group by job_id""")
 def flt15_src1_uploads(s, d):
     k = F.col("event_id") % 9
     ending = F.when(k == 0, ".txt").when(k == 1, ".PDF").when(k == 2, ".pdf.bak").when(k == 3, ".pptx").when(k == 4, ".PPTX").when(k == 6, ".ppt").when(k == 8, ".pptx").otherwise(".pdf")
     name = F.concat(F.lower("event_type"), F.lit("_"), F.col("event_id").cast("string"), ending)
-    chosen = V.table(s, d, "events").where("event_id % 5 <> 4").select(F.floor(F.col("event_id") / 2).alias("job_id"), F.col("event_id").alias("ord"), name.alias("name"), F.concat(F.lit("/up/"), name).alias("path"))
+    # Jobs of one, two and three files.
+    job = F.col("event_id") - F.element_at(F.array(*map(F.lit, (0, 0, 1, 0, 1, 2, 0))), (F.col("event_id") % 7 + 1).cast("int"))
+    chosen = V.table(s, d, "events").select(job.alias("job_id"), F.col("event_id").alias("ord"), name.alias("name"), F.concat(F.lit("/up/"), name).alias("path"))
     copies = files.job_copies(chosen, "/run")
     targets = chosen.join(copies, F.col("path") == F.col("source")).select("job_id", "ord", X.file_kind(F.col("name")).alias("kind"), "target")
     listed = targets.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ord", "kind", "target"))).alias("l"))
@@ -186,12 +188,13 @@ def src4_ag7_paragraphs(s, d):
     return p.select("job_id", "page_index", "para_ord", "text", "n_lines", F.round("bbox.y0", 6).alias("y0"))
 
 
-# Recognition of the same pages: two lines of each page, anchored in its text; a paragraph on even ones.
+# Recognition of the same pages: lines of thirty characters, anchored in two pieces of the page's text;
+# one paragraph of all of it on even pages.
 _OCR = rf"""{_LAY}, dc as (select doc_id % 40 as job_id, (doc_id // 40)::int as page_index, coalesce(text, '') as whole from documents),
- ol as (select job_id, page_index, item, regexp_replace(whole[item * 10 + 1:item * 10 + 8] || whole[item * 10 + 9:item * 10 + 30], '^\s+|\s+$', '', 'g') as text, 0.1::double * item as y0, 0.1::double * item + 0.08::double as y1, case when page_index % 3 = 0 then 0.85::double else 0.5::double + item * 0.1::double end as confidence
-  from dc, (select unnest([0, 1, 2]) as item)),
+ ol as (select job_id, page_index, item, regexp_replace(whole[item * 30 + 1:item * 30 + 8] || whole[item * 30 + 9:item * 30 + 30], '^\s+|\s+$', '', 'g') as text, 0.1::double * (item % 10) as y0, 0.1::double * (item % 10) + 0.08::double as y1, case when page_index % 3 = 0 then 0.85::double else 0.5::double + (item % 5) * 0.1::double end as confidence
+  from (select *, unnest(range((length(whole) + 29) // 30)) as item from dc)),
  lx as (select * from ol where text <> ''),
- op as (select job_id, page_index, 0 as item, regexp_replace(whole[1:case when page_index % 4 = 0 then 60 else 8 end], '^\s+|\s+$', '', 'g') as text, 0.0::double as y0, 0.1::double as y1, 0.7::double as confidence from dc where page_index % 2 = 0),
+ op as (select job_id, page_index, 0 as item, regexp_replace(whole, '^\s+|\s+$', '', 'g') as text, 0.0::double as y0, 0.1::double as y1, 0.7::double as confidence from dc where page_index % 2 = 0),
  px as (select * from op where text <> ''),
  oq as (select px.job_id, px.page_index, px.item, px.text, px.confidence, (select count(*) from lx where lx.job_id = px.job_id and lx.page_index = px.page_index and greatest(0, least(lx.y1, px.y1) - greatest(lx.y0, px.y0)) / (px.y1 - px.y0) >= 0.55::double)::int as n_lines from px
   union all select job_id, page_index, item, text, confidence, 1 from lx where not exists (select 1 from px where px.job_id = lx.job_id and px.page_index = lx.page_index))"""
@@ -199,14 +202,16 @@ _OCR = rf"""{_LAY}, dc as (select doc_id % 40 as job_id, (doc_id // 40)::int as
 
 def _recognised(s, d):
     docs = V.table(s, d, "documents").select((F.col("doc_id") % 40).alias("job_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
-    item = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("item")
+    size = F.length("text")
+    item = F.explode(F.when(size > 0, F.sequence(F.lit(0), F.ceil(size / 30).cast("int") - 1))).alias("item")
     seg = lambda a, b: F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"))
-    i = F.col("item")
+    i, y = F.col("item"), (F.col("item") % 10) * 0.1
     lines = docs.select("job_id", "page_index", item).select(
-        "job_id", "page_index", i.cast("bigint").alias("item"), F.array(seg(i * 10, i * 10 + 8), seg(i * 10 + 8, i * 10 + 30)).alias("segments"),
-        G.box(F.lit(0.0), i * 0.1, F.lit(1.0), i * 0.1 + 0.08).alias("bbox"), F.when(F.col("page_index") % 3 != 0, 0.5 + i * 0.1).alias("confidence"))
+        "job_id", "page_index", i.cast("bigint").alias("item"), F.array(seg(i * 30, i * 30 + 8), seg(i * 30 + 8, i * 30 + 30)).alias("segments"),
+        G.box(F.lit(0.0), y, F.lit(1.0), y + 0.08).alias("bbox"), F.when(F.col("page_index") % 3 != 0, 0.5 + (i % 5) * 0.1).alias("confidence"))
+    half = F.floor(size / 2)
     paras = docs.where("page_index % 2 = 0").select(
-        "job_id", "page_index", F.lit(0).cast("bigint").alias("item"), F.array(seg(F.lit(0), F.when(F.col("page_index") % 4 == 0, 60).otherwise(8))).alias("segments"), G.box(*map(F.lit, (0.0, 0.0, 1.0, 0.1))).alias("bbox"), F.lit(0.7).alias("confidence"))
+        "job_id", "page_index", F.lit(0).cast("bigint").alias("item"), F.array(seg(F.lit(0), half), seg(half, size)).alias("segments"), G.box(*map(F.lit, (0.0, 0.0, 1.0, 0.1))).alias("bbox"), F.lit(0.7).alias("confidence"))
     return docs.select("job_id", "page_index"), layouts.recognised(layouts.anchored_text(lines, docs), layouts.anchored_text(paras, docs))
 
 
@@ -238,17 +243,17 @@ def flt3_flt13_udf1_chosen_layout(s, d):
 
 
 # Items of a page: its lines if it has any, blank or not, else its paragraphs; blank ones go after that.
-_TI = f"""{_LAY}, lk as (select job_id, page_index, block, nth, case when page_index % 5 = 0 then ' ' else text end as text, least(1, nth * 20.0::double / 600) as y from ln where page_index % 3 <> 0 and nth < 30),
+# The reader of every third page gives paragraphs only.
+_TI = f"""{_LAY}, lk as (select job_id, page_index, block, nth, case when page_index % 5 = 0 then ' ' else text end as text, case when nth < 30 then least(1, nth * 20.0::double / 600) else 0 end as y from ln where page_index % 3 <> 0),
  it as (select job_id, page_index, block, nth, text, y from lk where trim(text) <> '' union all
-  select job_id, page_index, block, 0, text, least(1, lo * 20.0::double / 600) from pa where hi < 30 and not exists (select 1 from lk where lk.job_id = pa.job_id and lk.page_index = pa.page_index)),
+  select job_id, page_index, block, 0, text, case when hi < 30 then least(1, lo * 20.0::double / 600) else 0 end from pa where not exists (select 1 from lk where lk.job_id = pa.job_id and lk.page_index = pa.page_index)),
  ti as (select job_id, page_index, (row_number() over (partition by job_id, page_index order by block, nth) - 1)::int as ord, text, y from it)"""
 
 
 def _items(s, d):
     pages, lines, paragraphs = _native(s, d)
-    kept = lines.where((F.col("page_index") % 3 != 0) & (F.col("line_ord") < 30)).withColumn("text", F.when(F.col("page_index") % 5 == 0, " ").otherwise(F.col("text")))
-    long = lines.where("line_ord >= 30").select("job_id", "page_index", "para_ord").distinct()
-    return pages, layouts.text_items(kept, paragraphs.join(long, ["job_id", "page_index", "para_ord"], "left_anti"))
+    kept = lines.where(F.col("page_index") % 3 != 0).withColumn("text", F.when(F.col("page_index") % 5 == 0, " ").otherwise(F.col("text")))
+    return pages, layouts.text_items(kept, paragraphs)
 
 
 @query(f"{_TI} select job_id, page_index, ord, text, round(y, 6) as y0 from ti")
