@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioqc.functions import geometry as G
-from folioqc.functions.text import normalise_strict, normalise_text
+from folioqc.functions.text import normalise_strict, normalised
 from folioqc.params import DEFAULT
 
 
@@ -46,55 +46,82 @@ class Ratios:
         return m.ratio()
 
 
-def pick(n_candidates: int, references: int, score, accept: float) -> list[tuple[int | None, float]]:
-    """For each reference in order the unused candidate of highest score above 0, the first of equal
-    ones, if it reaches accept. score(r, c, least) may return least for scores that are not greater."""
-    free, out = list(range(n_candidates)), []
-    for r in range(references):
-        best, found = None, 0.0
-        for c in free:
-            s = score(r, c, found)
-            if s > found:
-                best, found = c, s
-        if best is not None and found >= accept:
-            free.remove(best)
-            out.append((best, found))
-        else:
-            out.append((None, found))
+def bounded_pairs(reference: DataFrame, candidate: DataFrame, least: float) -> DataFrame:
+    """job_id, page_index, ref_ord, cand_ord, a, b: the pairs of a page's texts whose ratio may reach
+    least (above 0).
+
+    A ratio is at most twice the characters that both have, each as often as the rarer side, over
+    their lengths. So characters are an index: texts of a page meet by the characters they hold,
+    and what they share is summed before any text is compared. Lengths that differ too much never
+    meet.
+    """
+    keys = ["job_id", "page_index"]
+    told = lambda d, o, t: d.select(*keys, F.col("ord").alias(o), normalised(F.col("text")).alias(t)).where(F.col(t) != "")
+    a, b = told(reference, "ref_ord", "a"), told(candidate, "cand_ord", "b")
+
+    def counted(d: DataFrame, o: str, t: str, n: str) -> DataFrame:
+        letters = d.select(*keys, o, F.length(t).alias(f"{n}_all"), F.explode(F.split(t, "")).alias("letter"))
+        return letters.groupBy(*keys, o, f"{n}_all", "letter").agg(F.count("*").alias(n))
+
+    shares = counted(a, "ref_ord", "a", "m").join(counted(b, "cand_ord", "b", "n"), [*keys, "letter"])
+    all_of = F.col("m_all") + F.col("n_all")
+    near = shares.where(2 * F.least("m_all", "n_all") >= least * all_of)
+    close = near.groupBy(*keys, "ref_ord", "cand_ord").agg(F.sum(F.least("m", "n")).alias("both"), F.first(all_of).alias("all")).where(2 * F.col("both") >= least * F.col("all"))
+    return close.select(*keys, "ref_ord", "cand_ord").join(a, [*keys, "ref_ord"]).join(b, [*keys, "cand_ord"])
+
+
+def scored_pairs(reference: DataFrame, candidate: DataFrame, least: float) -> DataFrame:
+    """job_id, page_index, ref_ord, cand_ord, score of the pairs of a page whose ratio reaches least.
+    Pairs, not pages, are dealt to tasks, so a long page is worked on by many."""
+    pairs = bounded_pairs(reference, candidate, least).repartition("job_id", "page_index", "ref_ord", "cand_ord")
+    return pairs.select("job_id", "page_index", "ref_ord", "cand_ord", similarity("a", "b").alias("score")).where(F.col("score") >= least)
+
+
+def _taken(r: np.ndarray, c: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """(reference, candidate, score): each reference in order takes the unused candidate of its highest
+    score, the first of equal ones."""
+    order = np.lexsort((c, -scores, r))
+    used: set[int] = set()
+    out: list[tuple[int, int, float]] = []
+    for i, j, s in zip(r[order].tolist(), c[order].tolist(), scores[order].tolist()):
+        if (not out or out[-1][0] != i) and j not in used:
+            used.add(j)
+            out.append((i, j, s))
     return out
 
 
 def greedy_matches(reference: DataFrame, candidate: DataFrame, accept: float = DEFAULT.paragraph_match) -> DataFrame:
-    """Each reference, in order, takes the unused candidate of highest ratio, if it reaches accept.
+    """Each reference, in order, takes the unused candidate of highest ratio, if it reaches accept
+    (above 0); others have a null candidate and score.
 
-    Inputs: job_id, page_index, ord, text. Pages are matched independently, each in one task, as
-    every choice depends on those before it. Unmatched references come with a null candidate.
+    Inputs: job_id, page_index, ord, text. Scores are worked out pair by pair in all tasks; only the
+    choice, as it depends on those before it, is made page by page, over the few pairs that reach
+    accept. A candidate whose ratio does not is never taken, so it is not looked at.
     """
+    scores = scored_pairs(reference, candidate, accept)
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ord"), right.sort_values("ord")
-        wanted, others = [normalise_text(t) for t in left["text"]], [normalise_text(t) for t in right["text"]]
-        ratios = Ratios(others)
-        found = pick(len(others), len(wanted), lambda r, c, least: ratios.above(wanted[r], c, least) if wanted[r] and others[c] else 0.0, accept)
-        ords = right["ord"].tolist()
-        rows = [(job, page, o, None if c is None else ords[c], s) for (job, page, o), (c, s) in zip(left[["job_id", "page_index", "ord"]].itertuples(index=False), found)]
-        return pd.DataFrame(rows, columns=["job_id", "page_index", "ref_ord", "cand_ord", "score"]).astype({"cand_ord": "Int64"})
+    def match(table: pa.Table) -> pa.Table:
+        found = _taken(*(table[n].to_numpy() for n in ("ref_ord", "cand_ord", "score")))
+        head = [[table[n][0].as_py()] * len(found) for n in ("job_id", "page_index")]
+        return pa.table([pa.array(v, t) for v, t in zip([*head, *([f[k] for f in found] for k in range(3))], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["job_id", "page_index", "ref_ord", "cand_ord", "score"])
 
-    keys = ["job_id", "page_index"]
-    return reference.groupBy(keys).cogroup(candidate.groupBy(keys)).applyInPandas(match, "job_id long, page_index int, ref_ord int, cand_ord int, score double")
+    typed = scores.select(F.col("job_id").cast("long").alias("job_id"), F.col("page_index").cast("int").alias("page_index"), F.col("ref_ord").cast("int").alias("ref_ord"), F.col("cand_ord").cast("int").alias("cand_ord"), "score")
+    taken = typed.groupBy("job_id", "page_index").applyInArrow(match, "job_id long, page_index int, ref_ord int, cand_ord int, score double")
+    every = reference.select(F.col("job_id").cast("long").alias("job_id"), F.col("page_index").cast("int").alias("page_index"), F.col("ord").cast("int").alias("ref_ord"))
+    return every.join(taken, ["job_id", "page_index", "ref_ord"], "left")
 
 
 def greedy_by_score(scores: DataFrame, accept: float = DEFAULT.paragraph_match) -> DataFrame:
-    """page, ref_ord, cand_ord, score: greedy matches over given scores (page, ref_ord, cand_ord, score)."""
+    """page, ref_ord, cand_ord, score: greedy matches over given scores (page, ref_ord, cand_ord,
+    score above 0); of scores that do not reach accept none is taken."""
 
     def match(table: pa.Table) -> pa.Table:
-        refs, r = np.unique(table["ref_ord"].to_numpy(), return_inverse=True)
-        cands, c = np.unique(table["cand_ord"].to_numpy(), return_inverse=True)
-        values = np.zeros((len(refs), len(cands)))
-        values[r, c] = table["score"].to_numpy()
-        found = pick(len(cands), len(refs), lambda i, j, least: values[i, j], accept)
-        page = table["page"][0].as_py()
-        columns = [page] * len(refs), refs.tolist(), [None if j is None else int(cands[j]) for j, _ in found], [None if j is None else float(s) for j, s in found]
+        r, c, s = (table[n].to_numpy() for n in ("ref_ord", "cand_ord", "score"))
+        good = (s >= accept) & (s > 0)
+        found = {i: (j, v) for i, j, v in _taken(r[good], c[good], s[good])}
+        refs = np.unique(r).tolist()
+        picked = [found.get(i, (None, None)) for i in refs]
+        columns = [table["page"][0].as_py()] * len(refs), refs, [j for j, _ in picked], [v for _, v in picked]
         return pa.table([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["page", "ref_ord", "cand_ord", "score"])
 
     return scores.groupBy("page").applyInArrow(match, "page long, ref_ord long, cand_ord long, score double")

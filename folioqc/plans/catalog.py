@@ -13,6 +13,7 @@ from folioqc.functions import geometry as G
 from folioqc.functions import text as X
 from folioqc.operators import folds, placement, raster, report, spatial
 from folioqc.plans import model_qc
+from folioqc.plans import ratios as R
 from folioqc.plans import views as V
 from folioqc.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -304,11 +305,41 @@ def _paragraphs(pages: DataFrame) -> DataFrame:
     return p.withColumn("bbox", G.box(F.lit(0.1), y, F.least(F.lit(0.9), 0.1 + F.length("text") / 200.0), y + high)).withColumn("n_lines", F.lit(1) + F.floor(F.length("text") / 80)).drop("places")
 
 
-@query()
+_LINED = r"""{name} as (select job_id, page_index, (row_number() over (partition by job_id, page_index order by nth) - 1)::int as ord, piece as text from (
+  select job_id, page_index, unnest(string_split_regex(text, '[\r\n\v]+')) as piece, generate_subscripts(string_split_regex(text, '[\r\n\v]+'), 1) as nth from {source}) where trim(piece) <> '')"""
+
+
+def _folded(v: str) -> str:
+    return f"replace(lower(trim(regexp_replace({v}, '{_WS}', ' ', 'g'))), 'ß', 'ss')"
+
+
+_GREEDY = """
+ sc as (select job_id, page_index, ref_ord, cand_ord, ratio as score from rt join nr using (id) where ratio >= 0.72::double),
+ st as (select job_id, page_index, ref_ord, list(struct_pack(c := cand_ord, s := score) order by score desc, cand_ord) as l from sc group by all),
+ gg as (select job_id, page_index, list(ref_ord order by ref_ord) as refs, list(l order by ref_ord) as ls from st group by all),
+ zz as (select job_id, page_index, refs, list_reduce(ls, lambda acc, x: acc || [coalesce(list_filter(x, lambda q: not coalesce(list_contains(list_transform(acc, lambda e: e.c), q.c), false))[1], struct_pack(c := null::int, s := null::double))], []::struct(c int, s double)[]) as picks from gg),
+ gm as (select job_id, page_index, unnest(refs) as ref_ord, unnest(picks).c as cand_ord, unnest(picks).s as score from zz)"""
+
+
+def _matched_sql(pairs: str, reference: str) -> str:
+    """SQL of greedy matches: pairs makes pp, reference names the table of all references."""
+    return f"""{pairs}, {R.SQL_BOUNDED.format(least='0.72::double')}, {R.SQL_RATIOS}, {_GREEDY}
+ select r.job_id, r.page_index, r.ord as ref_ord, coalesce(gm.cand_ord, -1) as cand_ord, round(coalesce(gm.score, -1), 6) as score from {reference} r left join gm on gm.job_id = r.job_id and gm.page_index = r.page_index and gm.ref_ord = r.ord"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("job_id", "page_index", "ref_ord", F.coalesce("cand_ord", F.lit(-1)).alias("cand_ord"), F.round(F.coalesce("score", F.lit(-1.0)), 6).alias("score"))
+
+
+_PAIRED = f"""with recursive {V.SQL_REF}, {V.SQL_CAND}, {_LINED.format(name='rl', source='ref')}, {_LINED.format(name='cl', source='cand')},
+ pp as (select rl.job_id, rl.page_index, rl.ord as ref_ord, cl.ord as cand_ord, {_folded('rl.text')} as a, {_folded('cl.text')} as b from rl join cl using (job_id, page_index))"""
+
+
+@query(_matched_sql(_PAIRED, "rl"))
 def jn3_fn3_greedy_matches(s, d):
     a, b = _sides(s, d)
     cols = ("job_id", "page_index", "ord", "text")
-    return fuzzy.greedy_matches(_paragraphs(a).select(*cols), _paragraphs(b).select(*cols))
+    return _shown(fuzzy.greedy_matches(_paragraphs(a).select(*cols), _paragraphs(b).select(*cols)))
 
 
 @query()
