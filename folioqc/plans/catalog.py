@@ -5,14 +5,14 @@ Names start with the identifiers of the operators they cover.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioqc.functions import fuzzy
 from folioqc.functions import geometry as G
 from folioqc.functions import text as X
 from folioqc.operators import folds, placement, raster, report, spatial
-from folioqc.plans import model_qc
+from folioqc.plans import model_qc, rule_qc
 from folioqc.plans import ratios as R
 from folioqc.plans import views as V
 from folioqc.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -349,5 +349,44 @@ def pl7_jn4_jn12_text_discrepancies(s, d):
     return fuzzy.text_discrepancies(flat(a), flat(b))
 
 
+def _named_lines(s: SparkSession, d: str) -> DataFrame:
+    """slide, ord, text: a line for each part, eight parts a slide."""
+    p = V.table(s, d, "part")
+    return p.select(F.floor(F.col("p_partkey") / 8).alias("slide"), (F.col("p_partkey") % 8).alias("ord"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+
+
+def _whole_review(s: SparkSession, d: str) -> DataFrame:
+    """Findings of slides whose candidate side is the reference's lines, some as they are, some wrapped
+    anew, moved, changed, turned round or cut short, and whose regions are those of a raster."""
+    lines, k = _named_lines(s, d), (F.col("slide") + F.col("ord")) % 6
+    y, high, size = F.col("ord") / 16.0, 0.05, F.length("text")
+    x1 = F.least(F.lit(0.9), 0.1 + size / 200.0)
+    told = lines.select("slide", "ord", "text", y.alias("y0"), (y + high).alias("y1"), x1.alias("x1"), (F.lit(1) + F.floor(size / 80)).cast("int").alias("n_lines"), k.alias("k"))
+    blank = F.lit(False).alias("blank")
+    reference = told.select("slide", "ord", "text", G.box(F.lit(0.1), F.col("y0"), F.col("x1"), F.col("y1")).alias("bbox"), "n_lines", blank)
+    other = F.when(F.col("k") == 2, F.concat("text", F.lit("  "))).when(F.col("k") == 3, F.regexp_replace("text", "[ae]", "o")).when(F.col("k") == 4, F.reverse("text")).when(F.col("k") == 5, F.substring("text", F.lit(1), F.floor(F.length("text") * 3 / 5).cast("int"))).otherwise(F.col("text"))
+    moved = F.when(F.col("k") == 2, 0.05).otherwise(0.0)
+    at = lambda v, scale, off, total: (F.col(v) if isinstance(v, str) else v) * scale / total + off / total
+    place = G.box(at(F.lit(0.1), 900.0, 30.0, 1000.0) + moved, at("y0", 700.0, 20.0, 750.0), at("x1", 900.0, 30.0, 1000.0) + moved, at("y1", 700.0, 20.0, 750.0))
+    candidate = told.select("slide", "ord", other.alias("text"), place.alias("bbox"), (F.col("n_lines") + (F.col("k") == 1).cast("int")).alias("n_lines"), blank)
+    kind = F.when(F.col("region_ord") % 3 == 0, "missing").when(F.col("region_ord") % 3 == 1, "geometry").otherwise("color")
+    c = raster.components(V.rasters(s, d), 8, 0.0).join(lines.select(F.col("slide").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    regions = c.select(F.col("vec_id").alias("slide"), kind.alias("kind"), F.col("region_ord").cast("long").alias("ord"), G.box(F.col("x0") / 8.0, F.col("y0") / 8.0, (F.col("x1") + 1) / 8.0, (F.col("y1") + 1) / 8.0).alias("bbox"), (F.col("area") / 640.0).alias("area_ratio"))
+    pages = lines.select("slide").distinct().select("slide", *(F.lit(v).alias(n) for n, v in (("angle", 0), ("target_w", 1000), ("target_h", 750), ("off_x", 30), ("off_y", 20), ("scaled_w", 900), ("scaled_h", 700))))
+    return rule_qc.findings(rule_qc.matches_of(reference, candidate), reference.drop("text"), candidate.drop("text"), regions, pages)
+
+
+_REVIEWED = f"""{_CC}, ll as (select p_partkey // 8 as slide, p_partkey % 8 as ord, concat_ws(' ', p_name, p_type, p_brand) as text, (p_partkey // 8 + p_partkey % 8) % 6 as kk from part),
+ rp as (select slide, ord, text, 0.1::double as x0, ord / 16.0::double as y0, least(0.9::double, 0.1::double + length(text) / 200.0::double) as x1, ord / 16.0::double + 0.05::double as y1, (1 + length(text) // 80)::int as n_lines, false as blank, kk from ll),
+ cp as (select slide, ord, x0 * 900.0::double / 1000 + 30.0::double / 1000 + mv as x0, y0 * 700.0::double / 750 + 20.0::double / 750 as y0, x1 * 900.0::double / 1000 + 30.0::double / 1000 + mv as x1, y1 * 700.0::double / 750 + 20.0::double / 750 as y1, n_lines + (kk = 1)::int as n_lines,
+  case kk when 2 then text || '  ' when 3 then regexp_replace(text, '[ae]', 'o', 'g') when 4 then reverse(text) when 5 then text[1:length(text) * 3 // 5] else text end as text from (select *, case when kk = 2 then 0.05::double else 0 end as mv from rp)),
+ pp as (select r.slide as job_id, 0 as page_index, r.ord as ref_ord, c.ord as cand_ord, {_folded('r.text')} as a, {_folded('c.text')} as b from rp r join cp c using (slide)),
+ {R.SQL_BOUNDED.format(least='0.72::double')}, {R.SQL_RATIOS}, {_GREEDY},
+ mt as (select r.slide, r.ord as ref_ord, gm.cand_ord, gm.score from rp r left join gm on gm.job_id = r.slide and gm.ref_ord = r.ord),
+ cc as (select vec_id, row_number() over (partition by vec_id order by root) - 1 as region_ord, min(x) as cx0, min(y) as cy0, max(x) as cx1, max(y) as cy1, count(*) as area from lab group by vec_id, root),
+ rg as (select vec_id as slide, case region_ord % 3 when 0 then 'missing' when 1 then 'geometry' else 'color' end as kind, region_ord as ord, cx0 / 8.0::double as x0, cy0 / 8.0::double as y0, (cx1 + 1) / 8.0::double as x1, (cy1 + 1) / 8.0::double as y1, area / 640.0::double as area_ratio from cc where vec_id in (select slide from rp)),
+ pg as (select distinct slide, 0 as angle from rp)"""
+
+
 # The other modules register theirs.
 from folioqc.plans import deck_queries, finding_queries, text_queries  # noqa: E402, F401

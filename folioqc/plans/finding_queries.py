@@ -219,6 +219,12 @@ def pl1_rule_findings(s, d):
     return _flat(found.withColumn("confidence", F.round("confidence", 6)), "slide", "finding_id", "type", "severity", "confidence", "message")
 
 
+@query(f"{C._REVIEWED}, {_MAPPED}, {_TEXT}, {_REGIONS} select slide, id as finding_id, type, severity, round(greatest(0, least(1, confidence)), 6) as confidence, message, round(x0, 6) as x0, round(y0, 6) as y0, round(x1, 6) as x1, round(y1, 6) as y1 from fin")
+def pl1_texts_to_findings(s, d):
+    found = C._whole_review(s, d)
+    return _flat(found.withColumn("confidence", F.round("confidence", 6)), "slide", "finding_id", "type", "severity", "confidence", "message")
+
+
 @query(f"""{_RULE}, n as (select slide, count(*) as n from fin group by slide)
  select pg.slide, coalesce(n, 0) as n_findings, case when similarity < 0.28::double or (ocr and ocr_confidence < 0.55::double) then 'manual_review' when coalesce(n, 0) > 0 then 'findings' else 'ok' end as status,
  case when ocr and ocr_confidence < 0.55::double then 'Reference OCR confidence is too low for reliable automated QC.' when similarity < 0.28::double then 'Page alignment confidence is too low for automated QC.'

@@ -27,9 +27,9 @@ SQL_RATIOS = """
 
 #: From pp (job_id, page_index, ref_ord, cand_ord, a, b: normalised texts) to pr: those that may reach a ratio.
 SQL_BOUNDED = """
- cp as (select * from pp where a <> '' and b <> '' and 2 * least(length(a), length(b)) >= {least} * (length(a) + length(b))),
- ca as (select job_id, page_index, ref_ord, cand_ord, ch, count(*) as n from (select *, unnest(string_split(a, '')) as ch from cp) group by all),
- cb as (select job_id, page_index, ref_ord, cand_ord, ch, count(*) as n from (select *, unnest(string_split(b, '')) as ch from cp) group by all),
+ bp as (select * from pp where a <> '' and b <> '' and 2 * least(length(a), length(b)) >= {least} * (length(a) + length(b))),
+ ca as (select job_id, page_index, ref_ord, cand_ord, ch, count(*) as n from (select *, unnest(string_split(a, '')) as ch from bp) group by all),
+ cb as (select job_id, page_index, ref_ord, cand_ord, ch, count(*) as n from (select *, unnest(string_split(b, '')) as ch from bp) group by all),
  cs as (select job_id, page_index, ref_ord, cand_ord, sum(least(ca.n, cb.n)) as both_n from ca join cb using (job_id, page_index, ref_ord, cand_ord, ch) group by all),
- nr as (select cp.*, row_number() over () as id from cp join cs using (job_id, page_index, ref_ord, cand_ord) where 2 * both_n >= {least} * (length(a) + length(b))),
+ nr as (select bp.*, row_number() over () as id from bp join cs using (job_id, page_index, ref_ord, cand_ord) where 2 * both_n >= {least} * (length(a) + length(b))),
  pr as (select id, a, b from nr)"""
