@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioqc.functions import fuzzy
 from folioqc.functions import geometry as G
 from folioqc.functions import text as X
-from folioqc.operators import folds, placement, raster, report, spatial
+from folioqc.operators import folds, placement, raster, report, spatial, tiles
 from folioqc.plans import model_qc, rule_qc
 from folioqc.plans import ratios as R
 from folioqc.plans import views as V
@@ -296,6 +296,20 @@ def ag11_so7_flt7_components(s, d):
     return raster.components(V.rasters(s, d), 8, 0.0)
 
 
+_SHEETS = f"""with recursive {V.SQL_RASTER}, c as (select vec_id // 64 as id, vec_id % 8 * 8 + i % 8 as x, vec_id % 64 // 8 * 8 + i // 8 as y from (select vec_id, unnest(grid) as v, unnest(range(64)) as i from r) where v < -0.12::double),
+ reach as (select id, y * 64 + x as root, x, y from c union select p.id, p.root, c.x, c.y from reach p join c on p.id = c.id and abs(p.x - c.x) <= 1 and abs(p.y - c.y) <= 1),
+ lab as (select id, x, y, min(root) as root from reach group by id, x, y)"""
+
+
+@query(f"{_SHEETS} select id, (row_number() over (partition by id order by root) - 1)::int as region_ord, min(x)::int as x0, min(y)::int as y0, max(x)::int as x1, max(y)::int as y1, count(*)::bigint as area from lab group by id, root")
+def ag11_so7_large_rasters(s, d):
+    """Sixty-four grids a sheet, each a tile."""
+    v = F.col("vec_id")
+    bits = F.unhex(F.array_join(F.transform("grid", lambda x: F.when(x < -0.12, "01").otherwise("00")), ""))
+    sheets = V.rasters(s, d).select(F.floor(v / 64).alias("id"), F.floor(v % 64 / 8).cast("int").alias("ty"), (v % 8).cast("int").alias("tx"), F.lit(8).alias("height"), F.lit(8).alias("width"), bits.alias("mask"))
+    return tiles.large_components(sheets, 8)
+
+
 def _paragraphs(pages: DataFrame) -> DataFrame:
     """Every line of each page as a paragraph in a column of boxes: 16 places, or more if the page has more lines."""
     lines = X.split_lines(F.col("text"))
