@@ -9,7 +9,6 @@ Training backpropagates through windows drawn from all of every sampled text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioqc.llm import bpe_tree, catalog, exact_dedup, html_main, jaccard, language, line_quality, mixing, pii, sstable, toxicity
+from folioqc.llm import bpe_tree, catalog, common, exact_dedup, html_main, jaccard, language, line_quality, mixing, pii, sstable, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 RANKS, BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -351,6 +351,7 @@ def test_lists_of_lines_too_long_to_broadcast(spark, monkeypatch):
     pick = lambda: sorted((r.doc_id, r.n_removed_lines, r.clean_text, r.kept) for r in line_quality.verdicts(docs).collect())
     want = pick()
     monkeypatch.setattr(line_quality, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert pick() == want and sum(w[1] for w in want) == 41
 
 
